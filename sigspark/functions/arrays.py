@@ -41,3 +41,13 @@ def shifted(array: Column, by: int) -> Column:
     if by >= 0:
         return F.concat(F.slice(array, by + 1, F.size(array)), F.array_repeat(F.lit(None), by))
     return F.concat(F.array_repeat(F.lit(None), -by), F.slice(array, 1, F.greatest(F.size(array) + by, F.lit(0))))
+
+
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, also inside lambdas."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def square_deviation(array: Column) -> Column:
+    """Sum of squared deviations from the mean."""
+    return let(mean(array), lambda m: fold_sum(F.transform(array, lambda x: (x - m) * (x - m))))

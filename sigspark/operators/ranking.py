@@ -5,7 +5,7 @@ into buckets of the sort key first; bucket counts are small, their running sums
 say where each bucket starts, and only rows within a bucket are sorted together.
 """
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEX_DIGITS = 3  # 16**3 buckets per group for hashed keys
@@ -38,7 +38,8 @@ def take_lowest(df: DataFrame, key: str, wanted, group: list[str] | None = None)
         starts = starts.withColumn("_wanted", wanted(F.col("_total")).cast("long"))
     else:
         starts = starts.join(wanted.select(*group, "_wanted"), group)
-    edges = starts.filter((F.col("_before") < F.col("_wanted")) & (F.col("_before") + F.col("_n") >= F.col("_wanted")))
+    cut_here = (F.col("_before") < F.col("_wanted")) & (F.col("_before") + F.col("_n") >= F.col("_wanted"))
+    edges = starts.filter(cut_here & (F.col("_wanted") < F.col("_total")))
     in_edge = keyed.select(*group, "_bucket", key).join(
         edges.select(*group, "_bucket", (F.col("_wanted") - F.col("_before")).alias("_need")), [*group, "_bucket"]
     )
@@ -49,10 +50,19 @@ def take_lowest(df: DataFrame, key: str, wanted, group: list[str] | None = None)
     return kept.drop("_cut", "_all") if constant else kept.drop("_cut")
 
 
+def as_number(df: DataFrame, column: str) -> Column:
+    """A double in the order of a numeric or time column, whatever the session's time zone."""
+    c = F.col(column)
+    if df.schema[column].dataType.typeName() == "timestamp_ntz":
+        second = F.extract(F.lit("SECOND"), c).cast("double")
+        return F.datediff(c, F.lit("1970-01-01").cast("date")) * 86400.0 + F.hour(c) * 3600 + F.minute(c) * 60 + second
+    return c.cast("double")
+
+
 def quantile_splits(df: DataFrame, column: str, buckets: int = 64) -> list[float]:
     """Borders that cut ``column`` into nearly equal parts; a fixed number of values reaches the driver."""
     probabilities = [i / buckets for i in range(1, buckets)]
-    borders = df.select(F.col(column).cast("double").alias(column)).approxQuantile(column, probabilities, 0.001)
+    borders = df.select(as_number(df, column).alias(column)).approxQuantile(column, probabilities, 0.001)
     return [float("-inf"), *sorted(set(borders)), float("inf")]
 
 
@@ -68,7 +78,7 @@ def number_rows(
     constant = not group
     if constant:
         df, group = df.withColumn("_all", F.lit(0)), ["_all"]
-    keyed = df.withColumn("_order", F.col(order[0]).cast("double"))
+    keyed = df.withColumn("_order", as_number(df, order[0]))
     if len(splits) >= 3:
         keyed = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket").transform(keyed)
     else:

@@ -139,8 +139,10 @@ def tokens_of(text: Column, vocab_symbols: list[str]) -> Column:
 
 
 def encode(df: DataFrame, text: str, vocab: DataFrame, keep: list[str]) -> DataFrame:
-    """Long form: (keep…, pos, token_id, symbols). The vocabulary is a small fixed table, of at most MAX_TOKENS rows."""
-    known = vocab.limit(MAX_TOKENS).collect()
+    """Long form: (keep…, pos, token_id, symbols). A vocabulary has at most MAX_TOKENS rows, which is checked."""
+    known = vocab.limit(MAX_TOKENS + 1).collect()
+    if len(known) > MAX_TOKENS:
+        raise ValueError(f"a vocabulary has at most {MAX_TOKENS} tokens")
     pieces = df.select(*keep, F.posexplode(tokens_of(F.col(text), [r["symbols"] for r in known])).alias("pos", "symbols"))
     named = F.broadcast(vocab.select("token_id", F.col("symbols").alias("_v")))
     joined = pieces.join(named, pieces["symbols"] == named["_v"], "left")
@@ -162,6 +164,6 @@ def encoded(text: Column, vocab: dict[str, int]) -> Column:
 
 def decode(tokens: DataFrame, vocab: DataFrame, keep: list[str]) -> DataFrame:
     """Symbol string of each sequence from (keep…, pos, token_id)."""
-    named = tokens.join(F.broadcast(vocab.select("token_id", F.col("symbols").alias("_v"))), "token_id")
+    named = tokens.join(vocab.select("token_id", F.col("symbols").alias("_v")), "token_id")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "_v")))
     return named.groupBy(*keep).agg(F.array_join(F.transform(ordered, lambda x: x["_v"]), "").alias("symbols"))

@@ -2,6 +2,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigspark.functions.json import decoded_json
 from sigspark.sources import schemas
 
 
@@ -106,7 +107,7 @@ def json_text(value: Column) -> Column:
 
 def with_decoded(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``decoded`` (VARIANT) if the text is valid JSON and ``raw`` if it is not."""
-    decoded = df.withColumn("decoded", F.try_parse_json(text))
+    decoded = df.withColumn("decoded", decoded_json(F.col(text)))
     return decoded.withColumn("raw", F.when(F.col("decoded").isNull(), F.col(text)))
 
 

@@ -67,26 +67,36 @@ def noise_distribution(freq: DataFrame, alpha: float = 0.75) -> DataFrame:
 
 def window_pairs(seqs: DataFrame, width: int, tokens: str = "tokens") -> DataFrame:
     """(seq_id, center, context) of all positions at most ``width`` apart: at most 2*width rows per token."""
-    n = F.size(tokens)
-    centers = seqs.select("seq_id", tokens, F.posexplode(tokens).alias("pos", "center"))
-    left = F.greatest(F.col("pos") - width, F.lit(0))
-    before = F.slice(tokens, left + 1, F.col("pos") - left)
-    after = F.slice(tokens, F.col("pos") + 2, F.least(F.lit(width), n - F.col("pos") - 1))
-    return centers.select("seq_id", "pos", "center", F.explode(F.concat(before, after)).alias("context"))
+
+    def both_ways(t):
+        n = F.size(t)
+        out = []
+        for d in range(1, width + 1):
+            early, late = F.slice(t, 1, F.greatest(n - d, F.lit(0))), F.slice(t, d + 1, F.greatest(n - d, F.lit(0)))
+            pair = lambda a, b: F.struct(a.alias("center"), b.alias("context"))
+            out += [F.zip_with(early, late, pair), F.zip_with(late, early, pair)]
+        return F.concat(*out)
+
+    pairs = seqs.select("seq_id", F.explode(let(F.col(tokens), both_ways)).alias("p"))
+    return pairs.select("seq_id", "p.center", "p.context")
 
 
 def sampled_pairs(seqs: DataFrame, width: int, per_token: int = 1, seed=42, tokens: str = "tokens") -> DataFrame:
     """``per_token`` draws per centre: a window w in 1…width, then one context position in it. No pair table is built."""
-    n = F.size(tokens)
-    centers = seqs.filter(n > 1).select("seq_id", tokens, F.posexplode(tokens).alias("pos", "center"))
-    drawn = centers.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(per_token - 1))))
-    w = (F.floor(uniform(f"{seed}w", "seq_id", "pos", "draw") * width) + 1).cast("int")
-    drawn = drawn.withColumn("_lo", F.greatest(F.col("pos") - w, F.lit(0)))
-    drawn = drawn.withColumn("_hi", F.least(F.col("pos") + w, n - 1))
-    offset = F.floor(uniform(f"{seed}c", "seq_id", "pos", "draw") * (F.col("_hi") - F.col("_lo"))).cast("int")
-    j = F.col("_lo") + offset
-    j = F.when(j >= F.col("pos"), j + 1).otherwise(j)
-    return drawn.select("seq_id", "pos", "draw", "center", F.get(tokens, j).alias("context"))
+    t, n = F.col(tokens), F.size(tokens)
+
+    def draw(c, i, r):
+        w = (F.floor(uniform(f"{seed}w", "seq_id", i, r) * width) + 1).cast("int")
+        lo, hi = F.greatest(i - w, F.lit(0)), F.least(i + w, n - 1)
+        u = uniform(f"{seed}c", "seq_id", i, r)
+        j = let(lo + F.floor(u * (hi - lo)).cast("int"), lambda x: F.when(x >= i, x + 1).otherwise(x))
+        return F.struct(i.alias("pos"), r.cast("int").alias("draw"), c.alias("center"), F.get(t, j).alias("context"))
+
+    drawn = F.flatten(
+        F.transform(t, lambda c, i: F.transform(F.sequence(F.lit(0), F.lit(per_token - 1)), lambda r: draw(c, i, r)))
+    )
+    pairs = seqs.filter(n > 1).select("seq_id", F.explode(drawn).alias("p"))
+    return pairs.select("seq_id", "p.pos", "p.draw", "p.center", "p.context")
 
 
 def _cumulative(noise: DataFrame, cells: int) -> DataFrame:

@@ -47,9 +47,13 @@ def rows_of(columns, rows):
 SPARK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
+SPENT: dict = {}
+
+
 def compare(df, con, sql):
     """Empty string if equal, else a description of the difference."""
     got_cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    SPENT["spark"] = time.time()
     rel = con.sql(sql)
     want_types = dict(zip(rel.columns, map(str, rel.dtypes if not callable(rel.dtypes) else rel.dtypes())))
     want_cols, want = rows_of(list(rel.columns), rel.fetchall())
@@ -74,17 +78,18 @@ def main(keys, sf_dir="/root/testdata/sf0.01"):
     queries, oracles = entry.queries(), entry.oracle_sql()
     failed = []
     for key in [k for k in queries if not keys or any(k.startswith(p) for p in keys)]:
-        start = time.time()
+        start = SPENT["spark"] = time.time()
         try:
             df = queries[key](spark, sf_dir)
             if key in oracles:
                 diff = compare(df, con, oracles[key])
             else:
-                diff = "" if df.count() >= 0 else "no rows"
+                diff = "" if df.collect() else "no rows"
+                SPENT["spark"] = time.time()
                 key += " (rows only)"
         except Exception as e:  # report and go on with the next query
             diff = f"{type(e).__name__}: {str(e)[:1500]}"
-        print(f"{'FAIL' if diff else 'ok  '} {key} {time.time() - start:.2f}s {diff}", flush=True)
+        print(f"{'FAIL' if diff else 'ok  '} {key} {SPENT['spark'] - start:.2f}s of {time.time() - start:.2f}s {diff}", flush=True)
         if diff:
             failed.append(key)
     print(f"failed: {failed}")

@@ -1,5 +1,5 @@
 """Column helpers on arrays: recordings are ``array<array<double>>`` with the lead outermost."""
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,18 @@ def shifted(array: Column, by: int) -> Column:
     return F.concat(F.array_repeat(F.lit(None), -by), F.slice(array, 1, F.greatest(F.size(array) + by, F.lit(0))))
 
 
+def unrolled(df: DataFrame, keep: list, array: Column, value: str, pos: str | None = None) -> DataFrame:
+    """One row per array element, with ``keep`` columns and, if named, its position.
+
+    For a plain generator the optimiser adds a filter on the array's size and
+    pushes it down, so a computed array is computed twice. The outer generator
+    has no such filter; the row it adds for an empty array is dropped here.
+    """
+    place = pos or "_pos"
+    rows = df.select(*keep, F.posexplode_outer(array).alias(place, value)).filter(F.col(place).isNotNull())
+    return rows if pos else rows.drop(place)
+
+
 def let(value: Column, f) -> Column:
     """``f(value)`` with the value computed once, also inside lambdas."""
     return F.element_at(F.transform(F.array(value), f), 1)

@@ -38,6 +38,11 @@ def scratch_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
+def placed_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-placed on keys, with as many partitions as the session shuffles into."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint; the data outlives the executors that wrote it."""
     shared_folder(df.sparkSession)

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigspark.functions.arrays import unrolled
 from sigspark.functions.session import cut_lineage
 
 BYTES = 256
@@ -29,7 +30,7 @@ def adjacent(text: Column) -> Column:
 
 def pair_counts(df: DataFrame, text: str) -> DataFrame:
     """Counts of adjacent symbols; pairs never cross recordings."""
-    counted = df.select(F.explode(adjacent(F.col(text))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    counted = unrolled(df, [], adjacent(F.col(text)), "pair").groupBy("pair").agg(F.count("*").alias("n"))
     return counted.select(F.substring("pair", 1, 1).alias("left"), F.substring("pair", 2, 1).alias("right"), "n")
 
 
@@ -143,7 +144,7 @@ def encode(df: DataFrame, text: str, vocab: DataFrame, keep: list[str]) -> DataF
     known = vocab.limit(MAX_TOKENS + 1).collect()
     if len(known) > MAX_TOKENS:
         raise ValueError(f"a vocabulary has at most {MAX_TOKENS} tokens")
-    pieces = df.select(*keep, F.posexplode(tokens_of(F.col(text), [r["symbols"] for r in known])).alias("pos", "symbols"))
+    pieces = unrolled(df, keep, tokens_of(F.col(text), [r["symbols"] for r in known]), "symbols", "pos")
     named = F.broadcast(vocab.select("token_id", F.col("symbols").alias("_v")))
     joined = pieces.join(named, pieces["symbols"] == named["_v"], "left")
     unknown = F.coalesce("token_id", F.ascii("symbols"))

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.functions.arrays import let
+from sigspark.functions.arrays import let, unrolled
+from sigspark.functions.session import placed_by
 from sigspark.operators.ranking import number_rows
 
 MAX_N = 4
@@ -28,8 +29,14 @@ def admitted(pairs: DataFrame) -> DataFrame:
 
 
 def _sides(pairs: DataFrame) -> DataFrame:
-    """(pair_id, side, text) of admitted pairs: side 0 is the reference, side 1 the hypothesis."""
-    return admitted(pairs).select("pair_id", F.posexplode(F.array("ref", "hyp")).alias("side", "text"))
+    """(pair_id, side, text) of admitted pairs: side 0 is the reference, side 1 the hypothesis.
+
+    The texts are placed by pair before they are taken apart: one shuffle of the
+    raw text serves every later grouping, window and join that includes the pair,
+    where shuffling n-grams would move a multiple of it. A pair is one row, so
+    the placement is even.
+    """
+    return unrolled(placed_by(admitted(pairs), "pair_id"), ["pair_id"], F.array("ref", "hyp"), "text", "side")
 
 
 def pair_up(refs: DataFrame, hyps: DataFrame, key: str) -> DataFrame:
@@ -68,7 +75,7 @@ def _tagged_ngrams(tokens: Column) -> Column:
 def ngram_matches(pairs: DataFrame) -> DataFrame:
     """(pair_id, n, matched, total): clipped matches and number of hypothesis n-grams, n = 1…4."""
     tokens = _sides(pairs).select("pair_id", "side", words(F.col("text")).alias("w"))
-    each = tokens.select("pair_id", "side", F.explode(let(F.col("w"), _tagged_ngrams)).alias("g"))
+    each = unrolled(tokens, ["pair_id", "side"], let(F.col("w"), _tagged_ngrams), "g")
     each = each.select("pair_id", "side", "g.n", "g.gram")
     counts = each.groupBy("pair_id", "n", "gram").agg(
         F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("h")
@@ -77,7 +84,8 @@ def ngram_matches(pairs: DataFrame) -> DataFrame:
 
 
 def lengths(pairs: DataFrame) -> DataFrame:
-    return admitted(pairs).select("pair_id", F.size(words(F.col("ref"))).alias("ref_len"), F.size(words(F.col("hyp"))).alias("hyp_len"))
+    """(pair_id, ref_len, hyp_len) in words, placed like the n-grams."""
+    return placed_by(admitted(pairs), "pair_id").select("pair_id", F.size(words(F.col("ref"))).alias("ref_len"), F.size(words(F.col("hyp"))).alias("hyp_len"))
 
 
 def _brevity(ref_len: Column, hyp_len: Column) -> Column:
@@ -122,7 +130,7 @@ def unigram_alignment(pairs: DataFrame) -> DataFrame:
     Both sides pair their k-th last occurrence of a word. Stems and synonyms are
     not matched.
     """
-    each = _sides(pairs).select("pair_id", "side", F.posexplode(words(F.lower("text"))).alias("pos", "word"))
+    each = unrolled(_sides(pairs), ["pair_id", "side"], words(F.lower("text")), "word", "pos")
     nth_last = F.row_number().over(Window.partitionBy("pair_id", "word", "side").orderBy(F.desc("pos")))
     matched = (
         each.withColumn("k", nth_last)

@@ -7,7 +7,7 @@ from pyspark.ml.feature import Word2Vec
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.functions.arrays import fold_sum, let
+from sigspark.functions.arrays import fold_sum, let, unrolled
 from sigspark.functions.hashing import uniform
 
 PREFIX = "signal_"  # fixed value: namespace of signal tokens in a text vocabulary
@@ -77,7 +77,7 @@ def window_pairs(seqs: DataFrame, width: int, tokens: str = "tokens") -> DataFra
             out += [F.zip_with(early, late, pair), F.zip_with(late, early, pair)]
         return F.concat(*out)
 
-    pairs = seqs.select("seq_id", F.explode(let(F.col(tokens), both_ways)).alias("p"))
+    pairs = unrolled(seqs, ["seq_id"], let(F.col(tokens), both_ways), "p")
     return pairs.select("seq_id", "p.center", "p.context")
 
 
@@ -95,7 +95,7 @@ def sampled_pairs(seqs: DataFrame, width: int, per_token: int = 1, seed=42, toke
     drawn = F.flatten(
         F.transform(t, lambda c, i: F.transform(F.sequence(F.lit(0), F.lit(per_token - 1)), lambda r: draw(c, i, r)))
     )
-    pairs = seqs.filter(n > 1).select("seq_id", F.explode(drawn).alias("p"))
+    pairs = unrolled(seqs.filter(n > 1), ["seq_id"], drawn, "p")
     return pairs.select("seq_id", "p.pos", "p.draw", "p.center", "p.context")
 
 
@@ -181,7 +181,7 @@ def length_histogram(lengths: DataFrame, length: str, bins: int = 30) -> DataFra
 
 def spans(seqs: DataFrame, lengths: str) -> DataFrame:
     """(seq_id, pos, start, stop) of each token on the signal, from the lengths of its tokens."""
-    numbered = seqs.select("seq_id", F.posexplode(lengths).alias("pos", "_len"))
+    numbered = unrolled(seqs, ["seq_id"], F.col(lengths), "_len", "pos")
     before = Window.partitionBy("seq_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     stop = F.sum("_len").over(before)
     return numbered.select("seq_id", "pos", (stop - F.col("_len")).alias("start"), stop.alias("stop"))

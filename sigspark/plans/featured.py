@@ -1,7 +1,7 @@
 """Queries on signal features of the stream segments (one lead of SEGMENT samples at SEGMENT per second)."""
 from pyspark.sql import functions as F
 
-from sigspark.functions.arrays import rounded
+from sigspark.functions.arrays import rounded, unrolled
 from sigspark.operators import features
 from sigspark.operators.ranking import with_previous
 from sigspark.plans.bindings import REC, SEGMENT, SEGMENTS, STREAM, rec, stream_samples, stream_segments
@@ -45,7 +45,7 @@ psd AS (SELECT rec_id, seg, k * {FS} / {SEGMENT}.0::DOUBLE AS f,
 
 def peak_detection(spark, d):
     s = _segments(spark, d).withColumn("p", features.peaks(F.col("x"), FS))
-    return s.select("rec_id", "seg", F.posexplode("p").alias("place", "peak"))
+    return unrolled(s, ["rec_id", "seg"], F.col("p"), "peak", "place")
 
 
 _DISTANCE, _QRS, _ST = max(int(0.2 * FS), 1), int(0.1 * FS), int(0.08 * FS)
@@ -98,7 +98,7 @@ SELECT rec_id, seg, round(coalesce(q, 0.0), {R}) + 0.0 AS qrs FROM ext LEFT JOIN
 
 def wavelet_energy(spark, d):
     s = _segments(spark, d).withColumn("e", features.wavelet_energy(F.col("x")))
-    e = s.select("rec_id", "seg", F.posexplode("e").alias("band", "energy"))
+    e = unrolled(s, ["rec_id", "seg"], F.col("e"), "energy", "band")
     return e.withColumn("energy", rounded(F.col("energy"), R))
 
 
@@ -136,7 +136,7 @@ def stream_roughness(spark, d):
 
 
 def feature_vector(spark, d):
-    v = features.lead_features(rec(spark, d), 16).select("rec_id", F.posexplode("features").alias("i", "value"))
+    v = unrolled(features.lead_features(rec(spark, d), 16), ["rec_id"], F.col("features"), "value", "i")
     return v.withColumn("value", rounded(F.col("value"), 6))
 
 

@@ -1,7 +1,7 @@
 """Queries on conversations, prompts and labels."""
 from pyspark.sql import functions as F
 
-from sigspark.functions.arrays import let
+from sigspark.functions.arrays import unrolled
 from sigspark.operators import prompts
 from sigspark.operators.templates import TEMPLATES, WATCH_TOKENS
 from sigspark.plans.bindings import WHITESPACE, conv, table
@@ -10,7 +10,7 @@ WATCH = WATCH_TOKENS["llama-3.2"]
 
 
 def _turns(df, column, keep=("conv_id",)):
-    t = df.select(*keep, F.posexplode(column).alias("turn", "t"))
+    t = unrolled(df, keep, F.col(column), "t", "turn")
     return t.select(*keep, F.col("turn").cast("bigint").alias("turn"), F.col("t.from").alias("role"), F.col("t.value").alias("value"))
 
 
@@ -186,7 +186,7 @@ prompts AS (SELECT conv_id, list(id ORDER BY pos) AS ids, count(*) AS n FROM pro
 
 def response_labels(spark, d):
     p = prompt_ids(spark, d).withColumn("labels", prompts.labels(F.col("ids"), WATCH))
-    x = p.select("conv_id", F.posexplode(F.arrays_zip("ids", "labels")).alias("pos", "x"))
+    x = unrolled(p, ["conv_id"], F.arrays_zip("ids", "labels"), "x", "pos")
     return x.select("conv_id", "pos", F.col("x.ids").alias("id"), F.col("x.labels").alias("label"))
 
 
@@ -196,13 +196,13 @@ def _runs(spark, d):
 
 
 def response_ranges(spark, d):
-    r = _runs(spark, d).select("conv_id", F.posexplode("runs").alias("response", "r"))
+    r = unrolled(_runs(spark, d), ["conv_id"], F.col("runs"), "r", "response")
     return r.select("conv_id", "response", F.col("r.start").alias("start"), F.col("r.stop").alias("stop"))
 
 
 def gold_responses(spark, d):
     t = _runs(spark, d).withColumn("texts", prompts.response_texts(F.col("words"), F.col("ids"), F.col("runs"), WATCH["eos"]))
-    return t.select("conv_id", F.posexplode("texts").alias("response", "text")).withColumn("text", F.md5("text"))
+    return unrolled(t, ["conv_id"], F.col("texts"), "text", "response").withColumn("text", F.md5("text"))
 
 
 def generated_continuation(spark, d):
@@ -224,8 +224,7 @@ def range_alignment(spark, d):
 
 
 def pad_and_truncate(spark, d):
-    p = prompt_ids(spark, d).select("conv_id", F.posexplode(prompts.fitted(F.col("ids"), 96, 128004)).alias("pos", "id"))
-    return p
+    return unrolled(prompt_ids(spark, d), ["conv_id"], prompts.fitted(F.col("ids"), 96, 128004), "id", "pos")
 
 
 def token_budget(spark, d):
@@ -233,7 +232,7 @@ def token_budget(spark, d):
     before, after = F.slice("ids", 1, 5), F.slice("ids", 6, F.size("ids"))
     signal = F.transform(F.sequence(F.lit(1), (F.col("conv_id") % 40 + 1).cast("int")), lambda i: i + 200000)
     out = prompts.budgeted(before, signal, after, 80, 10, 128004)
-    return p.select("conv_id", F.posexplode(out).alias("pos", "id"))
+    return unrolled(p, ["conv_id"], out, "id", "pos")
 
 
 _BUDGET = f"""WITH {_IDS},
@@ -253,7 +252,7 @@ def attention_mask(spark, d):
 
 def placeholder_positions(spark, d):
     p = prompt_ids(spark, d).withColumn("at", prompts.positions_of(F.col("ids"), [78191]))
-    return p.select("conv_id", F.posexplode("at").alias("i", "position"))
+    return unrolled(p, ["conv_id"], F.col("at"), "position", "i")
 
 
 def batch_padding(spark, d):

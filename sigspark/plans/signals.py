@@ -2,8 +2,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from sigspark.functions.arrays import mean, rounded
-from sigspark.functions.hashing import hash_hex, uniform  # noqa: F401
+from sigspark.functions.arrays import mean, rounded, unrolled
 from sigspark.operators import signal
 from sigspark.plans.bindings import LEADS, REC, SAMPLES, STREAM, rec, stream_samples, table
 
@@ -12,10 +11,9 @@ R = 8
 
 def _long(df, array, out="x", keep=("rec_id",)):
     """lead, s, value rows of a recording column."""
-    leads = df.select(*keep, F.posexplode(array).alias("lead", "_lead"))
-    return leads.select(*keep, "lead", F.posexplode("_lead").alias("s", "_x")).select(
-        *keep, "lead", "s", rounded(F.col("_x"), R).alias(out)
-    )
+    leads = unrolled(df, keep, F.col(array), "_lead", "lead")
+    samples = unrolled(leads, [*keep, "lead"], F.col("_lead"), "_x", "s")
+    return samples.select(*keep, "lead", "s", rounded(F.col("_x"), R).alias(out))
 
 
 # --- admission -------------------------------------------------------------
@@ -73,10 +71,9 @@ SELECT rec_id, m.lead, s, round(x, {R}) + 0.0 AS x FROM samples JOIN moves m ON
 # --- resampling ------------------------------------------------------------
 def resample(spark, d):
     at_half = rec(spark, d).withColumn("orig_sf", F.lit(16)).withColumn("ecg", signal.resampled(10))
-    leads = at_half.select("rec_id", F.posexplode("ecg").alias("lead", "_lead"))
-    return leads.select("rec_id", "lead", F.posexplode("_lead").alias("s", "x")).select(
-        "rec_id", "lead", "s", rounded(F.col("x"), 5).alias("x")
-    )
+    leads = unrolled(at_half, ["rec_id"], F.col("ecg"), "_lead", "lead")
+    samples = unrolled(leads, ["rec_id", "lead"], F.col("_lead"), "x", "s")
+    return samples.withColumn("x", rounded(F.col("x"), 5))
 
 
 def _spline_weights(n, m):
@@ -124,7 +121,7 @@ def array_segmentation(spark, d):
 
 def segment_shortfall(spark, d):
     """Recordings with the number of segments and of dropped samples; none is lost silently."""
-    n = stream_samples(spark, d).groupBy("rec_id").agg(F.count("*").alias("samples"))
+    n = table(spark, d, "events").groupBy(F.col("user_id").alias("rec_id")).agg(F.count("*").alias("samples"))
     return n.select(
         "rec_id",
         "samples",
@@ -199,7 +196,7 @@ def denormalise(spark, d):
 
 def quantise(spark, d):
     n = signal.with_normalised(rec(spark, d))
-    n = n.select("rec_id", F.explode(F.transform(F.flatten("norm"), signal.level)).alias("level"))
+    n = unrolled(n, ["rec_id"], F.transform(F.flatten("norm"), signal.level), "level")
     return n.groupBy("rec_id", "level").agg(F.count("*").alias("n"))
 
 
@@ -266,9 +263,9 @@ SELECT rec_id, lead, s, round(CASE WHEN noised THEN x + z * 0.05::DOUBLE * sd
 def channel_stack(spark, d):
     n = signal.with_normalised(rec(spark, d))
     levels = n.withColumn("stack", signal.stacked_levels(F.col("norm")))
-    leads = levels.select("rec_id", F.posexplode("stack").alias("lead", "_l"))
-    px = leads.select("rec_id", "lead", F.posexplode("_l").alias("s", "_p"))
-    return px.select("rec_id", "lead", "s", F.posexplode("_p").alias("channel", "level")).groupBy("rec_id", "channel").agg(
+    leads = unrolled(levels, ["rec_id"], F.col("stack"), "_l", "lead")
+    px = unrolled(leads, ["rec_id", "lead"], F.col("_l"), "_p", "s")
+    return unrolled(px, ["rec_id", "lead", "s"], F.col("_p"), "level", "channel").groupBy("rec_id", "channel").agg(
         F.sum("level").alias("total"), F.sum(F.col("level") * (F.col("lead") * 16 + F.col("s") + 1)).alias("weighted")
     )
 
@@ -277,11 +274,11 @@ def channel_stack(spark, d):
 def _patch_rows(r, layout, size):
     p = r.withColumn("p", signal.patches(F.col("ecg"), size, layout))
     if layout == "lead":
-        p = p.select("rec_id", F.posexplode("p").alias("lead", "p"))
+        p = unrolled(p, ["rec_id"], F.col("p"), "q", "lead")
     else:
-        p = p.select("rec_id", F.lit(-1).alias("lead"), "p")
-    p = p.select("rec_id", "lead", F.posexplode("p").alias("patch", "_v"))
-    return p.select(F.lit(layout).alias("layout"), "rec_id", "lead", "patch", F.posexplode("_v").alias("pos", "x"))
+        p = p.select("rec_id", F.lit(-1).alias("lead"), F.col("p").alias("q"))
+    p = unrolled(p, ["rec_id", "lead"], F.col("q"), "_v", "patch")
+    return unrolled(p, [F.lit(layout).alias("layout"), "rec_id", "lead", "patch"], F.col("_v"), "x", "pos")
 
 
 def patchify(spark, d):
@@ -326,7 +323,7 @@ def patch_masking(spark, d):
     both = m.select("rec_id", "lead", F.lit("lowest").alias("rule"), "m").unionByName(
         b.select("rec_id", "lead", F.lit("bernoulli").alias("rule"), "m")
     )
-    return both.select("rule", "rec_id", "lead", F.posexplode("m").alias("patch", "mask"))
+    return unrolled(both, ["rule", "rec_id", "lead"], F.col("m"), "mask", "patch")
 
 
 _MASKS = f"""masks AS (SELECT rec_id, lead, patch, CASE WHEN row_number() OVER (
@@ -339,7 +336,7 @@ def masked_reconstruction_error(spark, d):
     leads = rec(spark, d).select("rec_id", F.posexplode("ecg").alias("lead", "x"))
     leads = leads.withColumn("m", signal.patch_mask(8, 0.75, 42, F.col("rec_id"), F.col("lead")))
     leads = leads.withColumn("level", mean(F.col("x")))
-    p = leads.select("rec_id", "level", "m", F.posexplode(signal.regrouped(F.col("x"), F.lit(2))).alias("patch", "target"))
+    p = unrolled(leads, ["rec_id", "level", "m"], signal.regrouped(F.col("x"), F.lit(2)), "target", "patch")
     p = p.withColumn("pred", F.transform("target", lambda t: F.col("level"))).withColumn(
         "mask", F.element_at("m", F.col("patch") + 1)
     )

@@ -1,7 +1,7 @@
 """Queries on byte-pair tokens and token statistics."""
 from pyspark.sql import functions as F
 
-from sigspark.functions.arrays import rounded
+from sigspark.functions.arrays import rounded, unrolled
 from sigspark.operators import bpe, splits, tokens
 from sigspark.plans.bindings import table
 from sigspark.plans.signals import PAIRS_SQL, SYMBOL_SQL, sql_uniform, symbol_table
@@ -85,7 +85,7 @@ def encode(spark, d):
 
 
 def encode_arrays(spark, d):
-    return sequences(spark, d).select("seq_id", F.posexplode("tokens").alias("pos", "token_id"))
+    return unrolled(sequences(spark, d), ["seq_id"], F.col("tokens"), "token_id", "pos")
 
 
 def decode(spark, d):
@@ -189,7 +189,7 @@ def token_vectors(spark, d):
 
 def vector_renormalisation(spark, d):
     e = table(spark, d, "embeddings").withColumn("v", F.transform("embedding", lambda x: x * F.lit(3.0)))
-    unit = e.select("vec_id", F.posexplode(tokens.renormalised(F.col("v"))).alias("i", "x"))
+    unit = unrolled(e, ["vec_id"], tokens.renormalised(F.col("v")), "x", "i")
     return unit.select("vec_id", "i", rounded(F.col("x"), 6).alias("x"))
 
 

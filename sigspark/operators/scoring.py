@@ -234,7 +234,8 @@ def subsequence_overlap(pairs: DataFrame) -> DataFrame:
     def union(refs: pd.Series, hyps: pd.Series) -> pd.Series:
         return pd.Series([common_subsequence_words(list(r), list(h)) for r, h in zip(refs, hyps)], dtype="int32")
 
-    each = admitted(pairs).select("pair_id", sentences(F.col("ref")).alias("r"), sentences(F.col("hyp")).alias("h"))
+    spread = placed_by(admitted(pairs), "pair_id")  # heavy per row: every core gets its share
+    each = spread.select("pair_id", sentences(F.col("ref")).alias("r"), sentences(F.col("hyp")).alias("h"))
     n = lambda c: F.size(F.array_distinct(F.flatten(F.transform(c, lambda s: F.split(s, " ")))))
     counted = each.select("pair_id", union("r", "h").alias("m"), n("r").alias("nr"), n("h").alias("nh"))
     return counted.select("pair_id", _f1(F.col("m"), F.col("nh"), F.col("nr")).alias("score"))

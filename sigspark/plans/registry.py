@@ -4,7 +4,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-MODULES = ("signals", "stored", "prepared", "tokenized", "prompted", "featured", "scored")
+MODULES = ("signals", "stored", "prepared", "tokenized", "prompted", "featured", "scored", "aligned")
 
 for _name in MODULES:
     _module = importlib.import_module(f"sigspark.plans.{_name}")

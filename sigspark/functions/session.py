@@ -38,9 +38,13 @@ def scratch_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
-def placed_by(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-placed on keys, with as many partitions as the session shuffles into."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Before heavy work per row: dealt out by a unique key if the input has fewer splits than there are cores.
+
+    A large input has splits enough and is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.functions.arrays import at, dot, fold_sum, indices, let, mean
+from sigspark.functions.session import cut_lineage
 from sigspark.operators.ranking import as_number, quantile_splits
 
 BLOCK_ROWS = 4096
@@ -85,7 +86,7 @@ def neighbours(df: DataFrame, k: int, spaces=("a", "b"), block_rows: int = BLOCK
         found = pd.DataFrame({"space": space, "id": np.repeat(rows, take), "other": cols[order].ravel(), "sim": best})
         return found[np.isfinite(found["sim"])]
 
-    def cell(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def cell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         first, second = _sides(pdf, *key)
         out = []
         if len(first) and len(second):
@@ -205,43 +206,53 @@ def moments(df: DataFrame, columns=("a", "b")) -> DataFrame:
 
 
 def _hsic_terms(sums: DataFrame) -> DataFrame:
-    """(pair, biased, unbiased): HSIC of the linear kernels of ab, aa and bb."""
-    one = lambda term: F.max(F.when(F.col("term") == term, F.col("value")))
-    scalars = sums.filter(F.col("term").startswith("q:") | (F.col("term") == "n")).agg(
-        *[one(t).alias(t.replace(":", "_")) for t in ("n", "q:a", "q:b", "q:aa", "q:ab", "q:bb")]
+    """One row: HSIC of the linear kernels, ``biased_xy`` and ``unbiased_xy`` for xy = ab, aa, bb."""
+    part = lambda start, n: F.substr("term", F.lit(start), F.lit(n))
+    gram = sums.filter(F.col("term").startswith("g:")).select(part(3, 2).alias("pair"), "i", "j", F.col("value").alias("g"))
+    total = sums.filter(F.col("term").startswith("s:")).select(part(3, 1).alias("space"), "i", F.col("value").alias("v"))
+    weighted = sums.filter(F.col("term").startswith("w:")).select(
+        "term", part(3, 1).alias("space"), "i", F.col("value").alias("w")
     )
-    rows = []
-    for pair in ("ab", "aa", "bb"):
-        s, t = pair
-        of = lambda term, index, name: sums.filter(F.col("term") == term).select(F.col("i").alias(index), F.col("value").alias(name))
-        gram = sums.filter(F.col("term") == f"g:{pair}").select("i", "j", F.col("value").alias("g"))
-        n = scalars.select("n").scalar()
-        joined = gram.join(of(f"s:{s}", "i", "sx"), "i").join(of(f"s:{t}", "j", "sy"), "j")
-        centred = F.col("g") - F.col("sx") * F.col("sy") / n
-        from_gram = joined.agg(
-            F.sum(centred * centred).alias("biased"), F.sum(F.col("g") * F.col("g")).alias("gg"), F.sum(F.col("sx") * F.col("g") * F.col("sy")).alias("sgs")
-        )
-        norm = lambda space: of(f"s:{space}", "i", "v").agg(F.sum(F.col("v") * F.col("v"))).scalar()
-        weighted = lambda p, space: (
-            of(f"w:{p}", "i", "w").join(of(f"s:{space}", "i", "v"), "i").agg(F.sum(F.col("w") * F.col("v"))).scalar()
-        )
-        qx, qy, qxy = (scalars.select(c).scalar() for c in (f"q_{s}", f"q_{t}", f"q_{pair}"))
-        kl = F.col("gg") - qxy
-        k, l = norm(s) - qx, norm(t) - qy
-        cross = F.col("sgs") - weighted(s + t, s) - weighted(t + s, t) + qxy
-        unbiased = (kl + k * l / ((n - 1) * (n - 2)) - cross * 2 / (n - 2)) / (n * (n - 3))
-        rows.append(from_gram.select(F.lit(pair).alias("pair"), "biased", unbiased.alias("unbiased")))
-    return reduce(DataFrame.unionByName, rows)
-
-
-def _ratio(terms: DataFrame, column: str) -> DataFrame:
-    of = lambda pair: F.max(F.when(F.col("pair") == pair, F.col(column)))
-    return terms.agg((of("ab") / (F.sqrt(of("aa") * of("bb")) + F.lit(1e-6))).alias("value"))
+    n = sums.filter(F.col("term") == "n").select("value").scalar()
+    left = total.select(F.col("space").alias("_x"), "i", F.col("v").alias("sx"))
+    right = total.select(F.col("space").alias("_y"), F.col("i").alias("j"), F.col("v").alias("sy"))
+    joined = gram.withColumn("_x", F.substr("pair", F.lit(1), F.lit(1))).withColumn("_y", F.substr("pair", F.lit(2), F.lit(1)))
+    joined = joined.join(left, ["_x", "i"]).join(right, ["_y", "j"])
+    centred = F.col("g") - F.col("sx") * F.col("sy") / n
+    of_gram = joined.groupBy("pair").agg(
+        F.sum(F.col("g") * F.col("g")).alias("gg"),
+        F.sum(F.col("sx") * F.col("g") * F.col("sy")).alias("sgs"),
+        F.sum(centred * centred).alias("cc"),
+    )
+    facts = [
+        sums.filter(F.col("term").startswith("q:") | (F.col("term") == "n")).select(F.col("term").alias("key"), "value"),
+        of_gram.unpivot("pair", ["gg", "sgs", "cc"], "f", "value").select(F.concat("f", F.lit(":"), "pair").alias("key"), "value"),
+        total.groupBy(F.concat(F.lit("ss:"), "space").alias("key")).agg(F.sum(F.col("v") * F.col("v")).alias("value")),
+        weighted.join(total, ["space", "i"]).groupBy(F.concat(F.lit("s"), "term").alias("key")).agg(F.sum(F.col("w") * F.col("v")).alias("value")),
+    ]
+    f = lambda key: F.max(F.when(F.col("key") == key, F.col("value")))
+
+    def unbiased(s, t):
+        m, q = f("n"), f(f"q:{s}{t}")
+        cross = f(f"sgs:{s}{t}") - f(f"sw:{s}{t}") - f(f"sw:{t}{s}") + q
+        k, l = f(f"ss:{s}") - f(f"q:{s}"), f(f"ss:{t}") - f(f"q:{t}")
+        return (f(f"gg:{s}{t}") - q + k * l / ((m - 1) * (m - 2)) - cross * 2 / (m - 2)) / (m * (m - 3))
+
+    pairs = [("a", "b"), ("a", "a"), ("b", "b")]
+    return reduce(DataFrame.unionByName, facts).agg(
+        *[f(f"cc:{s}{t}").alias(f"biased_{s}{t}") for s, t in pairs], *[unbiased(s, t).alias(f"unbiased_{s}{t}") for s, t in pairs]
+    )
+
+
+def _aligned(ab: Column, aa: Column, bb: Column) -> Column:
+    return ab / (F.sqrt(aa * bb) + F.lit(1e-6))
 
 
 def cka_linear(df: DataFrame, unbiased: bool = False) -> DataFrame:
     """Alignment of linear kernels without any pair of rows."""
-    return _ratio(_hsic_terms(moments(df)), "unbiased" if unbiased else "biased")
+    kind = "unbiased" if unbiased else "biased"
+    terms = _hsic_terms(moments(df))
+    return terms.select(_aligned(*[F.col(f"{kind}_{p}") for p in ("ab", "aa", "bb")]).alias("value"))
 
 
 def cka_rbf(df: DataFrame, sigma: float = 1.0, unbiased: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -251,7 +262,7 @@ def cka_rbf(df: DataFrame, sigma: float = 1.0, unbiased: bool = False, block_row
         square = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T
         return np.exp(-np.maximum(square, 0.0) / (2 * sigma**2))
 
-    def cell(key, pdf):
+    def cell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         first, second = _sides(pdf, *key)
         if not len(first) or not len(second):
             return pd.DataFrame(columns=["id", "k", "l", "kl", "kk", "ll"])
@@ -286,7 +297,7 @@ def cka_rbf(df: DataFrame, sigma: float = 1.0, unbiased: bool = False, block_row
             return value / (n * (n - 3))
         return F.col(p + q) + n - F.col(f"d{p}{q}") * 2 / n + (F.col(p) + n) * (F.col(q) + n) / (n * n)
 
-    return total.select((hsic("k", "l") / (F.sqrt(hsic("k", "k") * hsic("l", "l")) + F.lit(1e-6))).alias("value"))
+    return total.select(_aligned(hsic("k", "l"), hsic("k", "k"), hsic("l", "l")).alias("value"))
 
 
 def cknna(knn: DataFrame, n_rows: Column, k: int, distance_agnostic: bool = False) -> DataFrame:
@@ -319,7 +330,8 @@ def cknna(knn: DataFrame, n_rows: Column, k: int, distance_agnostic: bool = Fals
         m = n_rows
         value = (product + F.col("sx") * F.col("sy") / ((m - 1) * (m - 2)) - cross * 2 / (m - 2)) / (m * (m - 3))
         rows.append(total.select(F.lit(name).alias("pair"), value.alias("v")))
-    return _ratio(reduce(DataFrame.unionByName, rows), "v")
+    of_pair = lambda pair: F.max(F.when(F.col("pair") == pair, F.col("v")))
+    return reduce(DataFrame.unionByName, rows).agg(_aligned(of_pair("ab"), of_pair("aa"), of_pair("bb")).alias("value"))
 
 
 def svcca(df: DataFrame, q: int = 10) -> DataFrame:
@@ -455,7 +467,7 @@ def lead_mean(recording: Column) -> Column:
 
 def sweep(df: DataFrame, k: int = 10, q: int = 10, sigma: float = 1.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(metric, score) of all alignment scores; they are deterministic, so nothing is repeated."""
-    knn = neighbours(df, k, block_rows=block_rows).persist()
+    knn = cut_lineage(neighbours(df, k, block_rows=block_rows))
     rows = df.agg(F.count("*").cast("double")).scalar()
     parts = {
         "cycle_knn": cycle_knn(knn),

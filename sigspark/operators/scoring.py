@@ -1,17 +1,17 @@
 """Scores of generated text against references, and statistics over seeds and training logs.
 
-n-gram scores count on exploded n-grams with combining before the shuffle, so a
-long text or a frequent n-gram is no hot group. Set overlaps stay inside the row.
+A pair is one row, and every per-pair count is taken inside the row. So a score
+is one narrow pass and one small aggregation, whatever the words are.
 """
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.functions.arrays import let, unrolled
-from sigspark.functions.session import placed_by
+from sigspark.functions.arrays import let
+from sigspark.functions.session import cut_lineage, spread
 from sigspark.operators.ranking import number_rows
 
 MAX_N = 4
@@ -28,17 +28,6 @@ def admitted(pairs: DataFrame) -> DataFrame:
     return pairs.filter((F.length("ref") > 0) & (F.length("hyp") > 0))
 
 
-def _sides(pairs: DataFrame) -> DataFrame:
-    """(pair_id, side, text) of admitted pairs: side 0 is the reference, side 1 the hypothesis.
-
-    The texts are placed by pair before they are taken apart: one shuffle of the
-    raw text serves every later grouping, window and join that includes the pair,
-    where shuffling n-grams would move a multiple of it. A pair is one row, so
-    the placement is even.
-    """
-    return unrolled(placed_by(admitted(pairs), "pair_id"), ["pair_id"], F.array("ref", "hyp"), "text", "side")
-
-
 def pair_up(refs: DataFrame, hyps: DataFrame, key: str) -> DataFrame:
     """Join references and hypotheses; fail when a row lacks its counterpart."""
     both = refs.withColumnRenamed("text", "ref").join(hyps.withColumnRenamed("text", "hyp"), key, "full")
@@ -56,97 +45,90 @@ def ngrams(tokens: Column, n: int) -> Column:
     return _longer(tokens, tokens, 1, n)
 
 
-def _longer(tokens: Column, grams: Column, have: int, want: int) -> Column:
-    if have == want:
-        return grams
-    head = F.slice(grams, 1, F.greatest(F.size(grams) - 1, F.lit(0)))
-    tail = F.slice(tokens, have + 1, F.greatest(F.size(tokens) - have, F.lit(0)))
-    longer = F.zip_with(head, tail, lambda g, w: F.concat(g, F.lit(" "), w))
-    return let(longer, lambda x: _longer(tokens, x, have + 1, want))
+def clipped_matches(ref: list, hyp: list, n: int) -> int:
+    """n-grams of the hypothesis found in the reference, each at most as often as there."""
+    count = lambda w: Counter(zip(*(w[i:] for i in range(n))))
+    return (count(ref) & count(hyp)).total()
 
 
-def _tagged_ngrams(tokens: Column) -> Column:
-    def tagged(n):
-        return F.transform(ngrams(tokens, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+def aligned_runs(ref: list, hyp: list) -> tuple[int, int]:
+    """Matched words and unbroken runs of them; both sides pair their k-th last occurrence of a word."""
+    places = defaultdict(list)
+    for i, w in enumerate(ref):
+        places[w].append(i)
+    matches = [(j, places[w].pop()) for j, w in reversed(list(enumerate(hyp))) if places.get(w)]
+    # Walking backwards, a match continues a run if both places are just before those of the match after it.
+    runs = sum(1 for x, y in zip(matches, matches[1:]) if (x[0] - 1, x[1] - 1) != y) + bool(matches)
+    return len(matches), runs
 
-    return F.concat(*[tagged(n) for n in range(1, MAX_N + 1)])
 
+def word_counts(pairs: DataFrame) -> DataFrame:
+    """(pair_id, ref_len, hyp_len, matched[n = 1…4], aligned, runs) of admitted pairs.
 
-def ngram_matches(pairs: DataFrame) -> DataFrame:
-    """(pair_id, n, matched, total): clipped matches and number of hypothesis n-grams, n = 1…4."""
-    tokens = _sides(pairs).select("pair_id", "side", words(F.col("text")).alias("w"))
-    each = unrolled(tokens, ["pair_id", "side"], let(F.col("w"), _tagged_ngrams), "g")
-    each = each.select("pair_id", "side", "g.n", "g.gram")
-    counts = each.groupBy("pair_id", "n", "gram").agg(
-        F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("h")
-    )
-    return counts.groupBy("pair_id", "n").agg(F.sum(F.least("r", "h")).alias("matched"), F.sum("h").alias("total"))
+    Both texts of a pair are in one row, so all counting stays in the row: one
+    narrow pass, where exploded n-grams would shuffle several times the text.
+    """
 
+    @F.pandas_udf("ref_len int, hyp_len int, matched array<bigint>, aligned int, runs int")
+    def count(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
+        rows = []
+        for r, h in zip(refs.map(list), hyps.map(list)):
+            lower = aligned_runs([w.lower() for w in r], [w.lower() for w in h])
+            rows.append((len(r), len(h), [clipped_matches(r, h, n) for n in range(1, MAX_N + 1)], *lower))
+        return pd.DataFrame(rows, columns=["ref_len", "hyp_len", "matched", "aligned", "runs"])
 
-def lengths(pairs: DataFrame) -> DataFrame:
-    """(pair_id, ref_len, hyp_len) in words, placed like the n-grams."""
-    return placed_by(admitted(pairs), "pair_id").select("pair_id", F.size(words(F.col("ref"))).alias("ref_len"), F.size(words(F.col("hyp"))).alias("hyp_len"))
+    counted = spread(admitted(pairs), "pair_id").select("pair_id", count(words(F.col("ref")), words(F.col("hyp"))).alias("c"))
+    return counted.select("pair_id", "c.*")
 
 
 def _brevity(ref_len: Column, hyp_len: Column) -> Column:
-    return F.when(hyp_len > ref_len, F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - ref_len / hyp_len))
+    return F.when(hyp_len > ref_len, F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - ref_len / F.nullif(hyp_len, F.lit(0))))
+
+
+def _possible(n: int) -> Column:
+    """Hypothesis n-grams; a text shorter than n counts as one, as in the published implementation."""
+    return F.greatest(F.col("hyp_len") - n + 1, F.lit(1))
 
 
-def corpus_bleu(pairs: DataFrame) -> DataFrame:
+def _log_precision(matched: Column, possible: Column) -> Column:
+    return F.log(F.when(matched > 0, matched).otherwise(F.lit(SMOOTHING)) / possible)
+
+
+def corpus_bleu(pairs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Corpus score up to 4-grams; 0 without a matching word."""
-    # A pair shorter than n still counts one possible n-gram, as in the published implementation.
-    orders = lengths(pairs).select("pair_id", "hyp_len", F.explode(F.sequence(F.lit(1), F.lit(MAX_N))).alias("n"))
-    possible = orders.groupBy("n").agg(F.sum(F.greatest(F.col("hyp_len") - F.col("n") + 1, F.lit(1))).alias("total"))
-    matched = ngram_matches(pairs).groupBy("n").agg(F.sum("matched").alias("matched"))
-    per_n = possible.join(matched, "n", "left").na.fill(0, ["matched"])
-    hits = F.when(F.col("matched") > 0, F.col("matched")).otherwise(F.lit(SMOOTHING))
-    log_precision = per_n.agg(
-        F.avg(F.log(hits / F.col("total"))).alias("log_p"), F.sum(F.when(F.col("n") == 1, F.col("matched"))).alias("unigrams")
+    counts = word_counts(pairs) if counts is None else counts
+    orders = range(1, MAX_N + 1)
+    sums = counts.agg(
+        F.sum("ref_len").alias("r"),
+        F.sum("hyp_len").alias("h"),
+        *[F.sum(F.get("matched", F.lit(n - 1))).alias(f"m{n}") for n in orders],
+        *[F.sum(_possible(n)).alias(f"p{n}") for n in orders],
     )
-    total = lengths(pairs).agg(F.sum("ref_len").alias("r"), F.sum("hyp_len").alias("h"))
-    score = F.when(log_precision.select("unigrams").scalar() > 0, _brevity(F.col("r"), F.col("h")) * F.exp(log_precision.select("log_p").scalar()))
-    return total.select(F.coalesce(score, F.lit(0.0)).alias("value"))
+    logs = sum((_log_precision(F.col(f"m{n}"), F.col(f"p{n}")) for n in orders), F.lit(0.0)) / MAX_N
+    score = F.when(F.col("m1") > 0, _brevity(F.col("r"), F.col("h")) * F.exp(logs))
+    return sums.select(F.coalesce(score, F.lit(0.0)).alias("value"))
 
 
-def sentence_bleu(pairs: DataFrame) -> DataFrame:
+def sentence_bleu(pairs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(pair_id, score): orders up to min(4, both lengths), equal weights."""
-    size = lengths(pairs)
+    counts = word_counts(pairs) if counts is None else counts
     upto = F.least(F.lit(MAX_N), F.col("ref_len"), F.col("hyp_len"))
-    joined = ngram_matches(pairs).join(size, "pair_id").filter(F.col("n") <= upto)
-    hits = F.when(F.col("matched") > 0, F.col("matched")).otherwise(F.lit(SMOOTHING))
-    scored = joined.groupBy("pair_id").agg(
-        F.avg(F.log(hits / F.col("total"))).alias("log_p"),
-        F.max(F.when(F.col("n") == 1, F.col("matched"))).alias("unigrams"),
-        F.first("ref_len").alias("r"),
-        F.first("hyp_len").alias("h"),
+    matched = lambda n: F.get("matched", F.lit(n - 1))
+    logs = sum(
+        (F.when(upto >= n, _log_precision(matched(n), _possible(n))).otherwise(0.0) for n in range(1, MAX_N + 1)), F.lit(0.0)
     )
-    score = F.when(F.col("unigrams") > 0, _brevity(F.col("r"), F.col("h")) * F.exp("log_p")).otherwise(F.lit(0.0))
-    return size.select("pair_id").join(scored.select("pair_id", score.alias("score")), "pair_id", "left").na.fill(0.0, ["score"])
-
+    score = _brevity(F.col("ref_len"), F.col("hyp_len")) * F.exp(logs / F.nullif(upto, F.lit(0)))
+    return counts.select("pair_id", F.when(matched(1) > 0, score).otherwise(F.lit(0.0)).alias("score"))
 
-def unigram_alignment(pairs: DataFrame) -> DataFrame:
-    """(pair_id, score): exact matches of lower-case words, ordered by a penalty on broken runs.
 
-    Both sides pair their k-th last occurrence of a word. Stems and synonyms are
-    not matched.
-    """
-    each = unrolled(_sides(pairs), ["pair_id", "side"], words(F.lower("text")), "word", "pos")
-    nth_last = F.row_number().over(Window.partitionBy("pair_id", "word", "side").orderBy(F.desc("pos")))
-    matched = (
-        each.withColumn("k", nth_last)
-        .groupBy("pair_id", "word", "k")
-        .agg(F.max(F.when(F.col("side") == 0, F.col("pos"))).alias("r"), F.max(F.when(F.col("side") == 1, F.col("pos"))).alias("h"))
-        .filter(F.col("r").isNotNull() & F.col("h").isNotNull())
-    )
-    order = Window.partitionBy("pair_id").orderBy("h")
-    joined = (F.col("h") == F.lag("h").over(order) + 1) & (F.col("r") == F.lag("r").over(order) + 1)
-    runs = matched.withColumn("starts", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
-    facts = runs.groupBy("pair_id").agg(F.count("*").alias("m"), F.sum("starts").alias("chunks"))
-    scored = lengths(pairs).join(facts, "pair_id", "left")
-    p, r = F.col("m") / F.col("hyp_len"), F.col("m") / F.col("ref_len")
+def unigram_alignment(pairs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(pair_id, score): exact matches of lower-case words with a penalty on broken runs; no stems or synonyms."""
+    counts = word_counts(pairs) if counts is None else counts
+    m = F.nullif(F.col("aligned"), F.lit(0))
+    p, r = m / F.col("hyp_len"), m / F.col("ref_len")
     f = p * r / (F.lit(ALPHA) * p + F.lit(1.0 - ALPHA) * r)
-    score = f * (F.lit(1.0) - F.lit(GAMMA) * F.pow(F.col("chunks") / F.col("m"), F.lit(BETA)))
-    return scored.select("pair_id", F.coalesce(score, F.lit(0.0)).alias("score"))
+    score = f * (F.lit(1.0) - F.lit(GAMMA) * F.pow(F.col("runs") / m, F.lit(BETA)))
+    return counts.select("pair_id", F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
 # --- recall-oriented overlap -----------------------------------------------
@@ -162,33 +144,54 @@ def _f1(overlap: Column, n_hyp: Column, n_ref: Column) -> Column:
     return F.lit(2.0) * (p * r / (p + r + F.lit(1e-8)))
 
 
+def ngrams(tokens: Column, n: int) -> Column:
+    """Space-joined n-grams of a token array, each built from the n-gram one word shorter."""
+    return _longer(tokens, tokens, 1, n)
+
+
+def _longer(tokens: Column, grams: Column, have: int, want: int) -> Column:
+    if have == want:
+        return grams
+    head = F.slice(grams, 1, F.greatest(F.size(grams) - 1, F.lit(0)))
+    tail = F.slice(tokens, have + 1, F.greatest(F.size(tokens) - have, F.lit(0)))
+    longer = F.zip_with(head, tail, lambda g, w: F.concat(g, F.lit(" "), w))
+    return let(longer, lambda x: _longer(tokens, x, have + 1, want))
+
+
 def set_overlap(pairs: DataFrame, n: int) -> DataFrame:
     """(pair_id, score): F1 of the sets of n-grams; n-grams run across sentences. No shuffle."""
     def grams(c):
         flat = F.flatten(F.transform(sentences(F.col(c)), lambda s: F.split(s, " ")))
         return F.array_distinct(let(flat, lambda t: ngrams(t, n)))
 
-    sets = admitted(pairs).select("pair_id", grams("ref").alias("r"), grams("hyp").alias("h"))
+    sets = spread(admitted(pairs), "pair_id").select("pair_id", grams("ref").alias("r"), grams("hyp").alias("h"))
     return sets.select("pair_id", _f1(F.size(F.array_intersect("h", "r")), F.size("h"), F.size("r")).alias("score"))
 
 
 def lcs_words(a: list, b: list) -> set:
-    """Words of one longest common subsequence of two word lists (later words of ``a`` first when walking back)."""
-    table = [[0] * (len(b) + 1)]
-    for x in a:
-        above, row = table[-1], [0]
-        for j, y in enumerate(b, 1):
-            row.append(above[j - 1] + 1 if x == y else max(above[j], row[-1]))
-        table.append(row)
-    i, j, found = len(a), len(b), set()
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            found.add(a[i - 1])
+    """Words of the longest common subsequence found by walking back from both ends, towards earlier ``b`` on ties.
+
+    A row of the length table is kept as one integer: bit j is clear where the
+    length grows at position j, which is all that walking back has to know.
+    """
+    at = defaultdict(int)
+    for j, w in enumerate(b):
+        at[w] |= 1 << j
+    row = every = (1 << len(b)) - 1
+    rows = []
+    for w in a:
+        hit = at.get(w, 0)
+        row = ((row + (row & hit)) | (row & ~hit)) & every
+        rows.append(row)
+    i, j, found = len(a) - 1, len(b) - 1, set()
+    while i >= 0 and j >= 0:
+        if a[i] == b[j]:
+            found.add(a[i])
             i, j = i - 1, j - 1
-        elif table[i - 1][j] > table[i][j - 1]:
-            i -= 1
-        else:
+        elif rows[i] >> j & 1:
             j -= 1
+        else:
+            i -= 1
     return found
 
 
@@ -234,8 +237,7 @@ def subsequence_overlap(pairs: DataFrame) -> DataFrame:
     def union(refs: pd.Series, hyps: pd.Series) -> pd.Series:
         return pd.Series([common_subsequence_words(list(r), list(h)) for r, h in zip(refs, hyps)], dtype="int32")
 
-    spread = placed_by(admitted(pairs), "pair_id")  # heavy per row: every core gets its share
-    each = spread.select("pair_id", sentences(F.col("ref")).alias("r"), sentences(F.col("hyp")).alias("h"))
+    each = spread(admitted(pairs), "pair_id").select("pair_id", sentences(F.col("ref")).alias("r"), sentences(F.col("hyp")).alias("h"))
     n = lambda c: F.size(F.array_distinct(F.flatten(F.transform(c, lambda s: F.split(s, " ")))))
     counted = each.select("pair_id", union("r", "h").alias("m"), n("r").alias("nr"), n("h").alias("nh"))
     return counted.select("pair_id", _f1(F.col("m"), F.col("nh"), F.col("nr")).alias("score"))
@@ -247,10 +249,11 @@ def average(scores: DataFrame) -> DataFrame:
 
 def report(pairs: DataFrame) -> DataFrame:
     """(metric, sub_metric, value) of all scores; zeros when no pair is admitted."""
+    counts = cut_lineage(word_counts(pairs))
     parts = [
-        ("BLEU", "", corpus_bleu(pairs)),
-        ("BLEU_sent", "", average(sentence_bleu(pairs))),
-        ("METEOR", "", average(unigram_alignment(pairs))),
+        ("BLEU", "", corpus_bleu(pairs, counts)),
+        ("BLEU_sent", "", average(sentence_bleu(pairs, counts))),
+        ("METEOR", "", average(unigram_alignment(pairs, counts))),
         ("ROUGE", "rouge-1", average(set_overlap(pairs, 1))),
         ("ROUGE", "rouge-2", average(set_overlap(pairs, 2))),
         ("ROUGE", "rouge-l", average(subsequence_overlap(pairs))),

@@ -14,6 +14,11 @@ PREFIX = "signal_"  # fixed value: namespace of signal tokens in a text vocabula
 PAD = -2  # fixed value: padding of ragged index lists
 
 
+def _vocabulary():
+    """A window over a whole table; only for tables with one row per vocabulary entry."""
+    return Window.partitionBy(F.lit(0))
+
+
 def token_name(token_id: Column) -> Column:
     return F.concat(F.lit(PREFIX), token_id.cast("string"))
 
@@ -26,9 +31,11 @@ def token_number(name: Column) -> Column:
 def frequencies(tokens: DataFrame) -> DataFrame:
     """(token_id, freq) for every id from 0 to the largest one, zeros included."""
     counts = tokens.groupBy("token_id").agg(F.count("*").alias("freq"))
-    largest = counts.agg(F.max("token_id").alias("m")).filter(F.col("m").isNotNull())
-    ids = largest.select(F.explode(F.sequence(F.lit(0), F.col("m").cast("int"))).alias("token_id"))
-    return ids.join(counts, "token_id", "left").na.fill(0, ["freq"])
+    # Each counted id brings along the uncounted ones right before it.
+    before = F.coalesce(F.lag("token_id").over(_vocabulary().orderBy("token_id")), F.lit(-1))
+    filled = counts.withColumn("_ids", F.sequence(before + 1, F.col("token_id")))
+    filled = filled.select("token_id", "freq", F.explode("_ids").alias("id"))
+    return filled.select(F.col("id").alias("token_id"), F.when(F.col("id") == F.col("token_id"), F.col("freq")).otherwise(0).alias("freq"))
 
 
 def drop_rare(tokens: DataFrame, freq: DataFrame, min_count: int) -> DataFrame:
@@ -38,7 +45,7 @@ def drop_rare(tokens: DataFrame, freq: DataFrame, min_count: int) -> DataFrame:
 
 def subsampled(tokens: DataFrame, freq: DataFrame, t: float, seed=42) -> DataFrame:
     """Frequent tokens thinned out: kept with probability min(1, sqrt(t/f) + t/f), f the relative frequency."""
-    total = freq.agg(F.greatest(F.sum("freq"), F.lit(1))).scalar()
+    total = F.greatest(F.sum("freq").over(_vocabulary()), F.lit(1))
     rel = F.greatest(F.col("freq") / total, F.lit(1e-12))
     p = F.least(F.lit(1.0), F.sqrt(F.lit(t) / rel) + F.lit(t) / rel)
     keep = freq.select("token_id", p.alias("_p"))
@@ -60,8 +67,8 @@ def require_rows(df: DataFrame) -> DataFrame:
 def noise_distribution(freq: DataFrame, alpha: float = 0.75) -> DataFrame:
     """(token_id, p): frequency to the power ``alpha``, scaled to one; uniform if nothing was seen."""
     weight = F.pow(F.col("freq").cast("double"), F.lit(alpha))
-    total = freq.agg(F.sum(weight)).scalar()
-    p = F.when(total > 0, weight / total).otherwise(F.lit(1.0) / freq.agg(F.count("*")).scalar())
+    total = F.sum(weight).over(_vocabulary())
+    p = F.when(total > 0, weight / total).otherwise(F.lit(1.0) / F.count("*").over(_vocabulary()))
     return freq.select("token_id", p.alias("p"))
 
 
@@ -101,9 +108,9 @@ def sampled_pairs(seqs: DataFrame, width: int, per_token: int = 1, seed=42, toke
 
 def _cumulative(noise: DataFrame, cells: int) -> DataFrame:
     """Inverse-distribution table: each token's interval [lo, hi), repeated for every cell of [0, 1) it touches."""
-    order = Window.partitionBy(F.lit(0)).orderBy("token_id")  # one row per vocabulary entry
+    order = _vocabulary().orderBy("token_id")
     upto = noise.withColumn("hi", F.sum("p").over(order)).withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0)))
-    last = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("token_id"))) == 1
+    last = F.lead("token_id").over(order).isNull()
     upto = upto.withColumn("hi", F.when(last, F.lit(1.0)).otherwise(F.col("hi"))).filter(F.col("hi") > F.col("lo"))
     first_cell = F.least(F.floor(F.col("lo") * cells), F.lit(cells - 1))
     last_cell = F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1))
@@ -165,7 +172,7 @@ def looked_up(tokens: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
 
 def rank_frequency(freq: DataFrame) -> DataFrame:
     """(rank, token_id, freq) by falling frequency; one row per vocabulary entry."""
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("freq"), "token_id")
+    order = _vocabulary().orderBy(F.desc("freq"), "token_id")
     return freq.filter(F.col("freq") > 0).select(F.row_number().over(order).alias("rank"), "token_id", "freq")
 
 

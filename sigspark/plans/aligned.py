@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from sigspark.functions.arrays import rounded, unrolled
+from sigspark.functions.session import cut_lineage
 from sigspark.operators import alignment
 from sigspark.plans.bindings import FEATS, REC, feats, rec, table
 
@@ -56,7 +57,8 @@ def nearest_neighbours(spark, d):
 
 
 def _knn(spark, d, k=K):
-    return alignment.neighbours(feats(spark, d), k)
+    """Neighbour lists, written once because the scores read them several times."""
+    return cut_lineage(alignment.neighbours(feats(spark, d), k))
 
 
 def _value(df):

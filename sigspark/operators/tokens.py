@@ -102,7 +102,7 @@ def sampled_pairs(seqs: DataFrame, width: int, per_token: int = 1, seed=42, toke
     drawn = F.flatten(
         F.transform(t, lambda c, i: F.transform(F.sequence(F.lit(0), F.lit(per_token - 1)), lambda r: draw(c, i, r)))
     )
-    pairs = unrolled(seqs.filter(n > 1), ["seq_id"], drawn, "p")
+    pairs = unrolled(seqs, ["seq_id"], F.when(n > 1, drawn), "p")
     return pairs.select("seq_id", "p.pos", "p.draw", "p.center", "p.context")
 
 
@@ -131,10 +131,9 @@ def negatives(pairs: DataFrame, noise: DataFrame, k: int, seed=42, cells: int =
     table = _cumulative(noise, cells)
     drawn = pairs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     first = _drawn(drawn, table, uniform(f"{seed}n", "seq_id", "pos", "draw", "k"), cells, "_first")
-    clash = F.col("_first") == F.col("context")
-    fine = first.filter(~clash).withColumn("negative", F.col("_first"))
-    again = _drawn(first.filter(clash), table, uniform(f"{seed}m", "seq_id", "pos", "draw", "k"), cells, "negative")
-    return fine.unionByName(again).drop("_first")
+    both = _drawn(first, table, uniform(f"{seed}m", "seq_id", "pos", "draw", "k"), cells, "_second")
+    chosen = F.when(F.col("_first") == F.col("context"), F.col("_second")).otherwise(F.col("_first"))
+    return both.withColumn("negative", chosen).drop("_first", "_second")
 
 
 def train_vectors(

@@ -2,6 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigspark.functions.session import spread
 from sigspark.operators import ranking
 
 LEADS, SAMPLES = 4, 16
@@ -21,7 +22,7 @@ def rec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("rec_id"), "label", F.col("embedding").cast("array<double>").alias("v")
     )
     leads = [F.slice("v", lead * SAMPLES + 1, SAMPLES) for lead in range(LEADS)]
-    return vectors.select("rec_id", "label", F.array(*leads).alias("ecg"))
+    return spread(vectors, "rec_id").select("rec_id", "label", F.array(*leads).alias("ecg"))
 
 
 REC = """

@@ -1,7 +1,11 @@
 import os
 import sys
 
-import pytest
+# One thread per process: the linear algebra library's thread pool does not survive the start of the JVM.
+for name in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS", "MKL_NUM_THREADS"):
+    os.environ.setdefault(name, "1")
+
+import pytest  # noqa: E402
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.functions.arrays import let
-from sigspark.functions.session import cut_lineage, spread
+from sigspark.functions.session import spread
 from sigspark.operators.ranking import number_rows
 
 MAX_N = 4
@@ -62,13 +62,7 @@ def aligned_runs(ref: list, hyp: list) -> tuple[int, int]:
     return len(matches), runs
 
 
-def word_counts(pairs: DataFrame) -> DataFrame:
-    """(pair_id, ref_len, hyp_len, matched[n = 1…4], aligned, runs) of admitted pairs.
-
-    Both texts of a pair are in one row, so all counting stays in the row: one
-    narrow pass, where exploded n-grams would shuffle several times the text.
-    """
-
+def _word_counts():
     @F.pandas_udf("ref_len int, hyp_len int, matched array<bigint>, aligned int, runs int")
     def count(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
         rows = []
@@ -77,8 +71,16 @@ def word_counts(pairs: DataFrame) -> DataFrame:
             rows.append((len(r), len(h), [clipped_matches(r, h, n) for n in range(1, MAX_N + 1)], *lower))
         return pd.DataFrame(rows, columns=["ref_len", "hyp_len", "matched", "aligned", "runs"])
 
-    counted = spread(admitted(pairs), "pair_id").select("pair_id", count(words(F.col("ref")), words(F.col("hyp"))).alias("c"))
-    return counted.select("pair_id", "c.*")
+    return count(words(F.col("ref")), words(F.col("hyp")))
+
+
+def word_counts(pairs: DataFrame) -> DataFrame:
+    """(pair_id, ref_len, hyp_len, matched[n = 1…4], aligned, runs) of admitted pairs.
+
+    Both texts of a pair are in one row, so all counting stays in the row: one
+    narrow pass, where exploded n-grams would shuffle several times the text.
+    """
+    return spread(admitted(pairs), "pair_id").select("pair_id", _word_counts().alias("c")).select("pair_id", "c.*")
 
 
 def _brevity(ref_len: Column, hyp_len: Column) -> Column:
@@ -94,41 +96,55 @@ def _log_precision(matched: Column, possible: Column) -> Column:
     return F.log(F.when(matched > 0, matched).otherwise(F.lit(SMOOTHING)) / possible)
 
 
-def corpus_bleu(pairs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """Corpus score up to 4-grams; 0 without a matching word."""
-    counts = word_counts(pairs) if counts is None else counts
-    orders = range(1, MAX_N + 1)
-    sums = counts.agg(
+ORDERS = range(1, MAX_N + 1)
+
+
+def _matched(n: int) -> Column:
+    return F.get("matched", F.lit(n - 1))
+
+
+def _corpus_sums() -> list[Column]:
+    return [
         F.sum("ref_len").alias("r"),
         F.sum("hyp_len").alias("h"),
-        *[F.sum(F.get("matched", F.lit(n - 1))).alias(f"m{n}") for n in orders],
-        *[F.sum(_possible(n)).alias(f"p{n}") for n in orders],
-    )
-    logs = sum((_log_precision(F.col(f"m{n}"), F.col(f"p{n}")) for n in orders), F.lit(0.0)) / MAX_N
+        *[F.sum(_matched(n)).alias(f"m{n}") for n in ORDERS],
+        *[F.sum(_possible(n)).alias(f"p{n}") for n in ORDERS],
+    ]
+
+
+def _corpus_score() -> Column:
+    logs = sum((_log_precision(F.col(f"m{n}"), F.col(f"p{n}")) for n in ORDERS), F.lit(0.0)) / MAX_N
     score = F.when(F.col("m1") > 0, _brevity(F.col("r"), F.col("h")) * F.exp(logs))
-    return sums.select(F.coalesce(score, F.lit(0.0)).alias("value"))
+    return F.coalesce(score, F.lit(0.0))
 
 
-def sentence_bleu(pairs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """(pair_id, score): orders up to min(4, both lengths), equal weights."""
-    counts = word_counts(pairs) if counts is None else counts
+def _sentence_score() -> Column:
     upto = F.least(F.lit(MAX_N), F.col("ref_len"), F.col("hyp_len"))
-    matched = lambda n: F.get("matched", F.lit(n - 1))
-    logs = sum(
-        (F.when(upto >= n, _log_precision(matched(n), _possible(n))).otherwise(0.0) for n in range(1, MAX_N + 1)), F.lit(0.0)
-    )
+    logs = sum((F.when(upto >= n, _log_precision(_matched(n), _possible(n))).otherwise(0.0) for n in ORDERS), F.lit(0.0))
     score = _brevity(F.col("ref_len"), F.col("hyp_len")) * F.exp(logs / F.nullif(upto, F.lit(0)))
-    return counts.select("pair_id", F.when(matched(1) > 0, score).otherwise(F.lit(0.0)).alias("score"))
+    return F.when(_matched(1) > 0, score).otherwise(F.lit(0.0))
 
 
-def unigram_alignment(pairs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """(pair_id, score): exact matches of lower-case words with a penalty on broken runs; no stems or synonyms."""
-    counts = word_counts(pairs) if counts is None else counts
+def _alignment_score() -> Column:
     m = F.nullif(F.col("aligned"), F.lit(0))
     p, r = m / F.col("hyp_len"), m / F.col("ref_len")
     f = p * r / (F.lit(ALPHA) * p + F.lit(1.0 - ALPHA) * r)
-    score = f * (F.lit(1.0) - F.lit(GAMMA) * F.pow(F.col("runs") / m, F.lit(BETA)))
-    return counts.select("pair_id", F.coalesce(score, F.lit(0.0)).alias("score"))
+    return F.coalesce(f * (F.lit(1.0) - F.lit(GAMMA) * F.pow(F.col("runs") / m, F.lit(BETA))), F.lit(0.0))
+
+
+def corpus_bleu(pairs: DataFrame) -> DataFrame:
+    """Corpus score up to 4-grams; 0 without a matching word."""
+    return word_counts(pairs).agg(*_corpus_sums()).select(_corpus_score().alias("value"))
+
+
+def sentence_bleu(pairs: DataFrame) -> DataFrame:
+    """(pair_id, score): orders up to min(4, both lengths), equal weights."""
+    return word_counts(pairs).select("pair_id", _sentence_score().alias("score"))
+
+
+def unigram_alignment(pairs: DataFrame) -> DataFrame:
+    """(pair_id, score): exact matches of lower-case words with a penalty on broken runs; no stems or synonyms."""
+    return word_counts(pairs).select("pair_id", _alignment_score().alias("score"))
 
 
 # --- recall-oriented overlap -----------------------------------------------
@@ -158,14 +174,20 @@ def _longer(tokens: Column, grams: Column, have: int, want: int) -> Column:
     return let(longer, lambda x: _longer(tokens, x, have + 1, want))
 
 
-def set_overlap(pairs: DataFrame, n: int) -> DataFrame:
-    """(pair_id, score): F1 of the sets of n-grams; n-grams run across sentences. No shuffle."""
-    def grams(c):
-        flat = F.flatten(F.transform(sentences(F.col(c)), lambda s: F.split(s, " ")))
-        return F.array_distinct(let(flat, lambda t: ngrams(t, n)))
+def _words_of(parts: Column) -> Column:
+    return F.flatten(F.transform(parts, lambda s: F.split(s, " ")))
 
-    sets = spread(admitted(pairs), "pair_id").select("pair_id", grams("ref").alias("r"), grams("hyp").alias("h"))
-    return sets.select("pair_id", _f1(F.size(F.array_intersect("h", "r")), F.size("h"), F.size("r")).alias("score"))
+
+def _set_score(ref: Column, hyp: Column, n: int) -> Column:
+    grams = lambda text: F.array_distinct(let(_words_of(sentences(text)), lambda t: ngrams(t, n)))
+    both = F.struct(grams(ref).alias("r"), grams(hyp).alias("h"))
+    return let(both, lambda x: _f1(F.size(F.array_intersect(x["h"], x["r"])), F.size(x["h"]), F.size(x["r"])))
+
+
+def set_overlap(pairs: DataFrame, n: int) -> DataFrame:
+    """(pair_id, score): F1 of the sets of n-grams; n-grams run across sentences."""
+    each = spread(admitted(pairs), "pair_id")
+    return each.select("pair_id", _set_score(F.col("ref"), F.col("hyp"), n).alias("score"))
 
 
 def lcs_words(a: list, b: list) -> set:
@@ -230,40 +252,54 @@ def common_subsequence_words(ref: list, hyp: list) -> int:
     return len(found)
 
 
-def subsequence_overlap(pairs: DataFrame) -> DataFrame:
-    """(pair_id, score): summary-level F1 of longest common subsequences over all sentence pairs."""
-
+def _subsequence_words():
     @F.pandas_udf("int")
     def union(refs: pd.Series, hyps: pd.Series) -> pd.Series:
         return pd.Series([common_subsequence_words(list(r), list(h)) for r, h in zip(refs, hyps)], dtype="int32")
 
-    each = spread(admitted(pairs), "pair_id").select("pair_id", sentences(F.col("ref")).alias("r"), sentences(F.col("hyp")).alias("h"))
-    n = lambda c: F.size(F.array_distinct(F.flatten(F.transform(c, lambda s: F.split(s, " ")))))
-    counted = each.select("pair_id", union("r", "h").alias("m"), n("r").alias("nr"), n("h").alias("nh"))
-    return counted.select("pair_id", _f1(F.col("m"), F.col("nh"), F.col("nr")).alias("score"))
+    return union(sentences(F.col("ref")), sentences(F.col("hyp")))
+
+
+def _subsequence_score(found: Column) -> Column:
+    n = lambda c: F.size(F.array_distinct(_words_of(sentences(F.col(c)))))
+    return _f1(found, n("hyp"), n("ref"))
+
+
+def subsequence_overlap(pairs: DataFrame) -> DataFrame:
+    """(pair_id, score): summary-level F1 of longest common subsequences over all sentence pairs."""
+    counted = spread(admitted(pairs), "pair_id").withColumn("_found", _subsequence_words())
+    return counted.select("pair_id", _subsequence_score(F.col("_found")).alias("score"))
 
 
 def average(scores: DataFrame) -> DataFrame:
     return scores.agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("value"))
 
 
-def report(pairs: DataFrame) -> DataFrame:
-    """(metric, sub_metric, value) of all scores; zeros when no pair is admitted."""
-    counts = cut_lineage(word_counts(pairs))
-    parts = [
-        ("BLEU", "", corpus_bleu(pairs, counts)),
-        ("BLEU_sent", "", average(sentence_bleu(pairs, counts))),
-        ("METEOR", "", average(unigram_alignment(pairs, counts))),
-        ("ROUGE", "rouge-1", average(set_overlap(pairs, 1))),
-        ("ROUGE", "rouge-2", average(set_overlap(pairs, 2))),
-        ("ROUGE", "rouge-l", average(subsequence_overlap(pairs))),
-        ("ACC", "", exact_match(pairs)),
-    ]
-    rows = [df.select(F.lit(m).alias("metric"), F.lit(s).alias("sub_metric"), "value") for m, s, df in parts]
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.unionByName(row)
-    return out
+def report(pairs: DataFrame, by: tuple = ()) -> DataFrame:
+    """(by…, metric, sub_metric, value) of all scores: one narrow pass over the pairs, one aggregation.
+
+    Without ``by``, zeros when no pair is admitted.
+    """
+    each = spread(admitted(pairs), "pair_id").select(
+        *by, "ref", "hyp", _word_counts().alias("c"), _subsequence_words().alias("_found")
+    )
+    scored = each.select(
+        *by,
+        "c.*",
+        _set_score(F.col("ref"), F.col("hyp"), 1).alias("_r1"),
+        _set_score(F.col("ref"), F.col("hyp"), 2).alias("_r2"),
+        _subsequence_score(F.col("_found")).alias("_rl"),
+        (F.col("ref") == F.col("hyp")).cast("double").alias("_acc"),
+    )
+    means = {
+        "BLEU_sent:": _sentence_score(), "METEOR:": _alignment_score(),
+        "ROUGE:rouge-1": F.col("_r1"), "ROUGE:rouge-2": F.col("_r2"), "ROUGE:rouge-l": F.col("_rl"), "ACC:": F.col("_acc"),
+    }
+    sums = scored.groupBy(*by).agg(*_corpus_sums(), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(name) for name, c in means.items()])
+    wide = sums.select(*by, _corpus_score().alias("BLEU:"), *[F.col(f"`{name}`") for name in means])
+    long = wide.unpivot(list(by), [f"`{name}`" for name in ["BLEU:", *means]], "_name", "value")
+    name = F.split("_name", ":")
+    return long.select(*by, name[0].alias("metric"), name[1].alias("sub_metric"), "value")
 
 
 # --- statistics over seeds -------------------------------------------------

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.functions.arrays import at, indices, let, map_leads, mean, square_deviation
+from sigspark.functions.arrays import at, indices, let, map_leads, mean, square_deviation, unrolled
 from sigspark.functions.hashing import hash_hex, normal, uniform
 
 # Lead orders of the corpora and the one order all recordings are brought to.
@@ -132,9 +132,13 @@ def resampled(target_sf: int, ecg="ecg", rate="orig_sf") -> Column:
 
 def segment_recordings(df: DataFrame, length: int, ecg="ecg") -> DataFrame:
     """Whole non-overlapping windows of ``length`` samples; the remainder is dropped, other columns are copied."""
-    windows = F.floor(F.size(F.col(ecg)[0]) / length).cast("int")
-    cut = df.withColumn("seg_idx", F.explode(indices(windows)))
-    return cut.withColumn(ecg, F.transform(ecg, lambda lead: F.slice(lead, F.col("seg_idx") * length + 1, length)))
+    windows = F.floor(F.size(F.col(ecg)[0]) / length)
+    parts = F.transform(
+        indices(windows), lambda i: F.transform(F.col(ecg), lambda lead: F.slice(lead, i * length + 1, length))
+    )
+    # Cut first and unrolled after: a row carries its own window only.
+    cut = unrolled(df, [c for c in df.columns if c != ecg], parts, "_part", "seg_idx")
+    return cut.withColumnRenamed("_part", ecg)
 
 
 def segment_samples(df: DataFrame, rec: str, index: str, value: str, length: int) -> DataFrame:

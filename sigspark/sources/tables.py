@@ -47,7 +47,7 @@ def stored_key(corpus: Column, path: Column, exam_id: Column, j: Column) -> Colu
 
 def write_segments(df: DataFrame, path: str) -> None:
     """Parquet, partitioned so that a reader prunes by corpus and segment length; empty records are not written."""
-    full = df.filter((F.size(F.flatten("ecg")) > 0) & (F.length("report") > 0))
+    full = df.filter((F.size("ecg") > 0) & (F.size(F.col("ecg")[0]) > 0) & (F.length("report") > 0))
     full.write.mode("overwrite").partitionBy("base_data", "segment_len").parquet(path)
 
 

@@ -240,7 +240,15 @@ PLANS = {
         mutual_knn,
         f"""WITH {_SIMS} SELECT round((SELECT count(*) FROM ka JOIN kb USING (id, other)) / {K}.0::DOUBLE / (SELECT count(*) FROM feats), {R}) + 0.0 AS value""",
     ),
-    "lcs_knn": (lcs_knn, None),
+    "lcs_knn": (
+        lcs_knn,
+        # Lists without repeats: the longest common subsequence is the longest rising run of places, here (place, length) pairs.
+        f"""WITH {_SIMS}, la AS (SELECT id, list(other ORDER BY rank) AS a FROM ka GROUP BY 1), lb AS (SELECT id, list(other ORDER BY rank) AS b FROM kb GROUP BY 1),
+            p AS (SELECT id, list_transform(list_filter(a, lambda x: list_contains(b, x)), lambda x: [[list_position(b, x)::INT, 0]]) AS places FROM la JOIN lb USING (id)),
+            r AS (SELECT id, list_reduce(places, lambda acc, x: list_append(acc, [x[1][1], 1 + coalesce(list_max(list_transform(
+                list_filter(acc, lambda y: y[1] < x[1][1]), lambda y: y[2])), 0)]), []::INT[][]) AS runs FROM p)
+            SELECT round(avg(coalesce(list_max(list_transform(runs, lambda y: y[2])), 0)), {R}) + 0.0 AS value FROM r""",
+    ),
     "edit_distance_knn": (
         edit_distance_knn,
         f"{_EDIT} SELECT round(1 - avg(levenshtein(a, b)) / {K}.0::DOUBLE, {R}) + 0.0 AS value FROM w",

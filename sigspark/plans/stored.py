@@ -3,9 +3,8 @@ from pyspark.sql import functions as F
 
 from sigspark.functions.arrays import fold_sum, rounded
 from sigspark.functions.session import scratch_path
-from sigspark.operators import bpe, splits
+from sigspark.operators import splits
 from sigspark.plans.bindings import REC, conv, rec, table
-from sigspark.plans.signals import SYMBOL_SQL, symbol_table
 from sigspark.sources import schemas, tables
 
 CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
@@ -120,16 +119,6 @@ def lenient_json(spark, d):
     )
 
 
-def tokenizer_artefact(spark, d):
-    symbols = symbol_table(spark, d)
-    merges = bpe.train(symbols, "symbols", 2)
-    path = scratch_path(spark, "tokenizer")
-    tables.write_tokenizer(bpe.byte_vocabulary(spark, merges), merges, path)
-    vocab, back = tables.read_tokenizer(spark, path)
-    learned = vocab.join(back.select("token_id", "rank", "n"), "token_id")
-    return learned.select("rank", "token_id", "symbols", "n")
-
-
 def token_vectors_artefact(spark, d):
     e = table(spark, d, "embeddings").select(
         F.col("vec_id").cast("int").alias("token_id"), F.col("embedding").alias("vector"), F.col("label").cast("bigint").alias("freq")
@@ -209,7 +198,6 @@ PLANS = {
         """SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN (props::JSON->>'$.k')::BIGINT END AS k,
                   CASE WHEN event_id % 10 = 0 THEN props[1:length(props) - 1] END AS raw, event_id % 10 <> 0 AS is_json FROM events""",
     ),
-    "tokenizer_artefact": (tokenizer_artefact, None),
     "token_vectors_artefact": (
         token_vectors_artefact,
         """SELECT vec_id::INT AS token_id, label::BIGINT AS freq, len(embedding)::INT AS dim,

@@ -2,9 +2,11 @@
 from pyspark.sql import functions as F
 
 from sigspark.functions.arrays import rounded, unrolled
+from sigspark.functions.session import scratch_path
 from sigspark.operators import bpe, splits, tokens
 from sigspark.plans.bindings import table
 from sigspark.plans.signals import PAIRS_SQL, SYMBOL_SQL, sql_uniform, symbol_table
+from sigspark.sources import tables
 
 R = 8
 # Fixed vocabulary of the encoding queries: single letters and entries with shared prefixes.
@@ -61,12 +63,12 @@ def train_merges(spark, d):
     return bpe.train(symbol_table(spark, d), "symbols", MERGES)
 
 
-def _train_sql():
+def train_sql(merges=MERGES):
     """One statement per merge, each on the corpus that the merge before left; tokens are code points 4096 + id."""
     steps = [SYMBOL_SQL, "c0 AS (SELECT rec_id, translate(symbols, 'abcdefghijklmnopqrstuvwxyz', '"
              + "".join(chr(4096 + ord(c)) for c in ALPHABET) + "') AS s FROM symbols)",
              "names0 AS (SELECT i::INT AS id, chr(i::INT) AS name FROM range(97, 123) t(i))"]
-    for k in range(1, MERGES + 1):
+    for k in range(1, merges + 1):
         steps.append(
             f"""b{k} AS MATERIALIZED (SELECT s[i] AS l, s[i + 1] AS r, count(*) AS n FROM c{k - 1}, range(1, 64) t(i)
                 WHERE i < length(s) GROUP BY ALL ORDER BY n DESC, l, r LIMIT 1)""")
@@ -76,7 +78,7 @@ def _train_sql():
                 JOIN names{k - 1} x ON x.id = ord(l) - 4096 JOIN names{k - 1} y ON y.id = ord(r) - 4096)""")
     rows = " UNION ALL ".join(
         f"""SELECT {k} AS rank, ord(l) - 4096 AS left_id, ord(r) - 4096 AS right_id, {255 + k} AS token_id, n, name AS symbols
-            FROM b{k} JOIN names{k} ON id = {255 + k}""" for k in range(1, MERGES + 1))
+            FROM b{k} JOIN names{k} ON id = {255 + k}""" for k in range(1, merges + 1))
     return "WITH " + ", ".join(steps) + " " + rows
 
 
@@ -220,7 +222,20 @@ def token_spans(spark, d):
     return tokens.spans(pieces, "lengths")
 
 
+def tokenizer_artefact(spark, d):
+    """Two merges, written and read back with the vocabulary."""
+    merges = bpe.train(symbol_table(spark, d), "symbols", 2)
+    path = scratch_path(spark, "tokenizer")
+    tables.write_tokenizer(bpe.byte_vocabulary(spark, merges), merges, path)
+    vocab, back = tables.read_tokenizer(spark, path)
+    return vocab.join(back.select("token_id", "rank", "n"), "token_id").select("rank", "token_id", "symbols", "n")
+
+
 PLANS = {
+    "tokenizer_artefact": (
+        tokenizer_artefact,
+        f"SELECT rank, token_id, symbols, n FROM ({train_sql(2)})",
+    ),
     "recording_sample_corpus": (
         recording_sample_corpus,
         f"WITH {SYMBOL_SQL} SELECT rec_id, 64::INT AS n, symbols FROM symbols ORDER BY md5('42:' || rec_id) LIMIT 300",
@@ -228,7 +243,7 @@ PLANS = {
     "pair_counts": (pair_counts, f'WITH {PAIRS_SQL} SELECT "left", "right", n FROM pairs'),
     "best_pair": (best_pair, f'WITH {PAIRS_SQL} SELECT "left", "right", n FROM pairs ORDER BY n DESC, "left", "right" LIMIT 1'),
     "single_merge": (single_merge, f"WITH {SYMBOL_SQL} SELECT rec_id, replace(symbols, 'mm', 'M') AS merged FROM symbols"),
-    "train_merges": (train_merges, _train_sql()),
+    "train_merges": (train_merges, train_sql()),
     "encode": (encode, f"WITH {ENCODED_SQL} SELECT seq_id, pos, token_id FROM tokens"),
     "encode_arrays": (encode_arrays, f"WITH {ENCODED_SQL} SELECT seq_id, pos, token_id FROM tokens"),
     "decode": (decode, f"WITH {SYMBOL_SQL} SELECT rec_id AS seq_id, symbols FROM symbols"),

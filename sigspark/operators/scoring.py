@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.functions.arrays import let
-from sigspark.functions.session import spread
 from sigspark.operators.ranking import number_rows
 
 MAX_N = 4
@@ -80,7 +79,7 @@ def word_counts(pairs: DataFrame) -> DataFrame:
     Both texts of a pair are in one row, so all counting stays in the row: one
     narrow pass, where exploded n-grams would shuffle several times the text.
     """
-    return spread(admitted(pairs), "pair_id").select("pair_id", _word_counts().alias("c")).select("pair_id", "c.*")
+    return admitted(pairs).select("pair_id", _word_counts().alias("c")).select("pair_id", "c.*")
 
 
 def _brevity(ref_len: Column, hyp_len: Column) -> Column:
@@ -186,7 +185,7 @@ def _set_score(ref: Column, hyp: Column, n: int) -> Column:
 
 def set_overlap(pairs: DataFrame, n: int) -> DataFrame:
     """(pair_id, score): F1 of the sets of n-grams; n-grams run across sentences."""
-    each = spread(admitted(pairs), "pair_id")
+    each = admitted(pairs)
     return each.select("pair_id", _set_score(F.col("ref"), F.col("hyp"), n).alias("score"))
 
 
@@ -267,7 +266,7 @@ def _subsequence_score(found: Column) -> Column:
 
 def subsequence_overlap(pairs: DataFrame) -> DataFrame:
     """(pair_id, score): summary-level F1 of longest common subsequences over all sentence pairs."""
-    counted = spread(admitted(pairs), "pair_id").withColumn("_found", _subsequence_words())
+    counted = admitted(pairs).withColumn("_found", _subsequence_words())
     return counted.select("pair_id", _subsequence_score(F.col("_found")).alias("score"))
 
 
@@ -280,7 +279,7 @@ def report(pairs: DataFrame, by: tuple = ()) -> DataFrame:
 
     Without ``by``, zeros when no pair is admitted.
     """
-    each = spread(admitted(pairs), "pair_id").select(
+    each = admitted(pairs).select(
         *by, "ref", "hyp", _word_counts().alias("c"), _subsequence_words().alias("_found")
     )
     scored = each.select(

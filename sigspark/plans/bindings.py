@@ -2,6 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigspark.functions.arrays import let, unrolled
 from sigspark.functions.session import spread
 from sigspark.operators import ranking
 
@@ -73,10 +74,15 @@ WHITESPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference = the whole text, hypothesis = the text without every word whose index % 7 is 3."""
     words = F.filter(F.split("text", r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
-    hyp = F.filter(F.col("w"), lambda w, i: i % 7 != 3)
-    return table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).select(
-        F.col("doc_id").alias("pair_id"), F.array_join("w", " ").alias("ref"), F.array_join(hyp, " ").alias("hyp")
+    texts = let(
+        words,
+        lambda w: F.struct(
+            F.array_join(w, " ").alias("ref"), F.array_join(F.filter(w, lambda x, i: i % 7 != 3), " ").alias("hyp")
+        ),
     )
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), "text"), "pair_id")
+    # Unrolled from a list of one, so that filters on the texts do not compute them again.
+    return unrolled(docs, ["pair_id"], F.array(texts), "p").select("pair_id", "p.ref", "p.hyp")
 
 
 PAIR = rf"""

@@ -80,10 +80,14 @@ def neighbours(df: DataFrame, k: int, spaces=("a", "b"), block_rows: int = BLOCK
 
     def top(sim: np.ndarray, rows: np.ndarray, cols: np.ndarray, space: str) -> pd.DataFrame:
         take = min(k, sim.shape[1])
-        # Columns are in id order, so a stable sort gives ties to the lower id.
-        order = np.argsort(-np.round(sim, TIE_DIGITS), axis=1, kind="stable")[:, :take]
-        best = np.take_along_axis(sim, order, axis=1).ravel()
-        found = pd.DataFrame({"space": space, "id": np.repeat(rows, take), "other": cols[order].ravel(), "sim": best})
+        rank_by = -np.round(sim, TIE_DIGITS)
+        # All entries up to the k-th best, ties included; then the lower id first, as columns are in id order.
+        r, c = np.nonzero(rank_by <= np.partition(rank_by, take - 1, axis=1)[:, take - 1 : take])
+        order = np.lexsort((c, rank_by[r, c], r))
+        r, c = r[order], c[order]
+        place = np.arange(len(r)) - np.searchsorted(r, np.arange(len(rows)))[r]
+        r, c = r[place < take], c[place < take]
+        found = pd.DataFrame({"space": space, "id": rows[r], "other": cols[c], "sim": sim[r, c]})
         return found[np.isfinite(found["sim"])]
 
     def cell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

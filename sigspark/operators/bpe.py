@@ -46,20 +46,22 @@ def merged(text: Column, left: str, right: str, new: str) -> Column:
 def _independent(best: list, limit: int) -> list:
     """Longest run of best pairs that one pass may merge with the result of single merges.
 
-    A merge only lowers counts of pairs that share a symbol with it, and a pair
-    with a new token is never more frequent than the pair it came from. So
-    the next best pairs stay the next best as long as no symbol repeats. A pair
-    of equal symbols may form pairs with itself and therefore ends the run.
+    Merging (a, b) takes away from a pair only where the two can overlap, that is
+    from pairs that end in a or begin with b. A pair with the new token is
+    never more frequent than such a pair was, and on equal counts its higher id
+    puts it behind. So the next best pairs stay the next best until the first one
+    that could overlap an earlier one. A pair of equal symbols overlaps itself
+    and ends the run.
     """
-    run, used = [], set()
+    run, lefts, rights = [], set(), set()
     for row in best[:limit]:
-        pair = {row["left"], row["right"]}
-        if pair & used:
+        if row["right"] in lefts or row["left"] in rights:
             break
         run.append(row)
-        used |= pair
-        if len(pair) == 1:
+        if row["left"] == row["right"]:
             break
+        lefts.add(row["left"])
+        rights.add(row["right"])
     return run
 
 

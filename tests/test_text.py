@@ -43,6 +43,29 @@ def test_training_equals_single_merges(spark, seed, alphabet):
     assert got == sequential_merges(texts, 15)
 
 
+def test_runs_of_merges_equal_single_merges():
+    rng = random.Random(9)
+    for _ in range(300):
+        alphabet = "abcdefghij"[: rng.randint(2, 10)]
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(4)]
+        coded = ["".join(chr(bpe.BASE + ord(c)) for c in t) for t in texts]
+        learned = []
+        while len(learned) < 12:
+            counts = {}
+            for t in coded:
+                for a, b in zip(t, t[1:]):
+                    counts[a, b] = counts.get((a, b), 0) + 1
+            best = sorted(({"left": a, "right": b, "n": n} for (a, b), n in counts.items()), key=lambda r: (-r["n"], r["left"], r["right"]))
+            run = bpe._independent(best[: bpe.MERGES_PER_PASS], 12 - len(learned))
+            if not run:
+                break
+            for r in run:
+                new = 256 + len(learned)
+                learned.append((ord(r["left"]) - bpe.BASE, ord(r["right"]) - bpe.BASE, new, r["n"]))
+                coded = [t.replace(r["left"] + r["right"], chr(bpe.BASE + new)) for t in coded]
+        assert learned == sequential_merges(texts, 12)
+
+
 def test_training_stops_without_pairs(spark):
     df = spark.createDataFrame([("ab",), ("c",)], "symbols string")
     assert bpe.train(df, "symbols", 10).count() == 1

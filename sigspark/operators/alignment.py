@@ -5,6 +5,7 @@ bounded size by a hash of their id, and each pair of blocks is one task: a matri
 product that leaves only k neighbours or one partial sum per row. Linear kernels
 need no pairs at all, only sums over the dimensions.
 """
+import math
 from functools import reduce
 
 import numpy as np
@@ -17,7 +18,8 @@ from sigspark.functions.arrays import at, dot, fold_sum, indices, let, mean
 from sigspark.functions.session import cut_lineage
 from sigspark.operators.ranking import as_number, quantile_splits
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 32768  # largest block; rows are copied once per block, so few large blocks move the least data
+CHUNK_ROWS = 512  # rows of a block multiplied at a time, which bounds the memory of a task
 TIE_DIGITS = 9  # similarities equal to this many digits are ties; the lower id comes first
 MAX_DIMENSIONS = 4096
 
@@ -47,12 +49,20 @@ def signal_states(states: DataFrame, n_layers: int, signal_pos: str) -> DataFram
 
 
 # --- blocks ----------------------------------------------------------------
-def _cells(df: DataFrame, columns: list[str], block_rows: int, symmetric: bool = True) -> DataFrame:
+def _block_count(n: int, cores: int) -> int:
+    """Blocks of at most BLOCK_ROWS; of a smaller input enough, but not tiny ones, to keep all cores busy."""
+    busy = min(-(-n // CHUNK_ROWS), math.ceil(2 * math.sqrt(cores)))
+    return max(1, -(-n // BLOCK_ROWS), busy)
+
+
+def _cells(df: DataFrame, columns: list[str], block_rows: int | None, symmetric: bool = True) -> DataFrame:
     """Rows copied to every pair of blocks they take part in: (_i, _j, _block, id, …).
 
     A symmetric pair is built once, for _i <= _j.
     """
-    n_blocks = max(1, -(-df.count() // block_rows))
+    n = df.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n_blocks = _block_count(n, cores) if block_rows is None else max(1, -(-n // block_rows))
     block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
     placed = df.select("id", *columns, block.alias("_block")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     if symmetric:
@@ -74,7 +84,12 @@ def _matrix(pdf: pd.DataFrame, column: str) -> np.ndarray:
     return np.stack(pdf[column].to_list()).astype(np.float64)
 
 
-def neighbours(df: DataFrame, k: int, spaces=("a", "b"), block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _chunks(x: np.ndarray):
+    """(first row, rows) pieces of a block."""
+    return ((start, x[start : start + CHUNK_ROWS]) for start in range(0, len(x), CHUNK_ROWS))
+
+
+def neighbours(df: DataFrame, k: int, spaces=("a", "b"), block_rows: int | None = None) -> DataFrame:
     """(space, id, rank, other, sim): the ``k`` largest inner products of each row with the others, in each space."""
     spaces = list(spaces)
 
@@ -93,14 +108,18 @@ def neighbours(df: DataFrame, k: int, spaces=("a", "b"), block_rows: int = BLOCK
     def cell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         first, second = _sides(pdf, *key)
         out = []
-        if len(first) and len(second):
+        for rows, cols in ([(first, second)] if first is second else [(first, second), (second, first)]):
+            if len(rows) == 0 or len(cols) == 0:
+                continue
+            row_ids, col_ids = rows["id"].to_numpy(), cols["id"].to_numpy()
             for space in spaces:
-                sim = _matrix(first, space) @ _matrix(second, space).T
-                if first is second:
-                    np.fill_diagonal(sim, -np.inf)
-                else:
-                    out.append(top(sim.T, second["id"].to_numpy(), first["id"].to_numpy(), space))
-                out.append(top(sim, first["id"].to_numpy(), second["id"].to_numpy(), space))
+                turned = _matrix(cols, space).T
+                for start, x in _chunks(_matrix(rows, space)):
+                    sim = x @ turned
+                    if rows is cols:
+                        own = np.arange(len(x))
+                        sim[own, start + own] = -np.inf
+                    out.append(top(sim, row_ids[start : start + len(x)], col_ids, space))
         return pd.concat(out) if out else pd.DataFrame(columns=["space", "id", "other", "sim"])
 
     cells = _cells(df, spaces, block_rows)
@@ -259,7 +278,7 @@ def cka_linear(df: DataFrame, unbiased: bool = False) -> DataFrame:
     return terms.select(_aligned(*[F.col(f"{kind}_{p}") for p in ("ab", "aa", "bb")]).alias("value"))
 
 
-def cka_rbf(df: DataFrame, sigma: float = 1.0, unbiased: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def cka_rbf(df: DataFrame, sigma: float = 1.0, unbiased: bool = False, block_rows: int | None = None) -> DataFrame:
     """Alignment of kernels exp(-d^2 / 2 sigma^2): row sums and products per cell, never a whole kernel."""
 
     def kernel(x, y):
@@ -270,18 +289,19 @@ def cka_rbf(df: DataFrame, sigma: float = 1.0, unbiased: bool = False, block_row
         first, second = _sides(pdf, *key)
         if not len(first) or not len(second):
             return pd.DataFrame(columns=["id", "k", "l", "kl", "kk", "ll"])
-        k = kernel(_matrix(first, "a"), _matrix(second, "a"))
-        l = kernel(_matrix(first, "b"), _matrix(second, "b"))
-        if first is second:
-            np.fill_diagonal(k, 0.0)
-            np.fill_diagonal(l, 0.0)
-        frame = lambda ids, axis: pd.DataFrame({
-            "id": ids.to_numpy(), "k": k.sum(axis), "l": l.sum(axis), "kl": (k * l).sum(axis), "kk": (k * k).sum(axis), "ll": (l * l).sum(axis),
-        })
-        both = [frame(first["id"], 1)]
-        if first is not second:
-            both.append(frame(second["id"], 0))
-        return pd.concat(both)
+        xa, xb, ya, yb = (_matrix(side, c) for side in (first, second) for c in "ab")
+        by_row, by_col = np.zeros((len(first), 5)), np.zeros((len(second), 5))
+        for start, x in _chunks(xa):
+            k, l = kernel(x, ya), kernel(xb[start : start + len(x)], yb)
+            if first is second:
+                own = np.arange(len(x))
+                k[own, start + own] = l[own, start + own] = 0.0
+            for i, product in enumerate((k, l, k * l, k * k, l * l)):
+                by_row[start : start + len(x), i] = product.sum(axis=1)
+                by_col[:, i] += product.sum(axis=0)
+        sums = [(first, by_row)] if first is second else [(first, by_row), (second, by_col)]
+        frame = lambda side, m: pd.DataFrame(m, columns=["k", "l", "kl", "kk", "ll"]).assign(id=side["id"].to_numpy())
+        return pd.concat([frame(side, m) for side, m in sums])[["id", "k", "l", "kl", "kk", "ll"]]
 
     parts = _cells(df, ["a", "b"], block_rows).groupBy("_i", "_j").applyInPandas(
         cell, "id bigint, k double, l double, kl double, kk double, ll double"
@@ -406,7 +426,7 @@ def clamped(df: DataFrame, vector: str, q: float, exact: bool = False) -> DataFr
 
 
 # --- losses and overrides --------------------------------------------------
-def contrastive_loss(df: DataFrame, temperature: float = 0.07, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def contrastive_loss(df: DataFrame, temperature: float = 0.07, block_rows: int | None = None) -> DataFrame:
     """Cross-entropy of matching a to b and b to a over all rows, summed.
 
     Unit vectors bound similarities by 1/temperature, which serves as the common
@@ -419,10 +439,14 @@ def contrastive_loss(df: DataFrame, temperature: float = 0.07, block_rows: int =
         rows, cols = pdf[pdf["_as_row"]], pdf[~pdf["_as_row"]]
         if not len(rows) or not len(cols):
             return pd.DataFrame(columns=["id", "side", "total"])
-        e = np.exp(_matrix(rows, "a") @ _matrix(cols, "b").T / temperature - shift)
-        by_row = pd.DataFrame({"id": rows["id"].to_numpy(), "side": 0, "total": e.sum(axis=1)})
-        by_col = pd.DataFrame({"id": cols["id"].to_numpy(), "side": 1, "total": e.sum(axis=0)})
-        return pd.concat([by_row, by_col])
+        turned = _matrix(cols, "b").T
+        by_row, by_col = np.zeros(len(rows)), np.zeros(len(cols))
+        for start, x in _chunks(_matrix(rows, "a")):
+            e = np.exp(x @ turned / temperature - shift)
+            by_row[start : start + len(x)] = e.sum(axis=1)
+            by_col += e.sum(axis=0)
+        sides = [(rows, 0, by_row), (cols, 1, by_col)]
+        return pd.concat([pd.DataFrame({"id": p["id"].to_numpy(), "side": side, "total": t}) for p, side, t in sides])
 
     cells = _cells(unit, ["a", "b"], block_rows, symmetric=False)
     parts = cells.groupBy("_i", "_j").applyInPandas(cell, "id bigint, side int, total double")
@@ -469,7 +493,7 @@ def lead_mean(recording: Column) -> Column:
     )
 
 
-def sweep(df: DataFrame, k: int = 10, q: int = 10, sigma: float = 1.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def sweep(df: DataFrame, k: int = 10, q: int = 10, sigma: float = 1.0, block_rows: int | None = None) -> DataFrame:
     """(metric, score) of all alignment scores; they are deterministic, so nothing is repeated."""
     knn = cut_lineage(neighbours(df, k, block_rows=block_rows))
     rows = df.agg(F.count("*").cast("double")).scalar()

@@ -71,8 +71,8 @@ def number_rows(
 ) -> DataFrame:
     """Zero-based position of each row in its group, ordered by ``order``.
 
-    The first order column must be numeric or a timestamp. A group of any size
-    is spread over the buckets of that column.
+    The first order column must be numeric or a timestamp; rows without it come
+    last. A group of any size is spread over the buckets of that column.
     """
     splits = splits or quantile_splits(df, order[0])
     constant = not group
@@ -80,7 +80,7 @@ def number_rows(
         df, group = df.withColumn("_all", F.lit(0)), ["_all"]
     keyed = df.withColumn("_order", as_number(df, order[0]))
     if len(splits) >= 3:
-        keyed = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket").transform(keyed)
+        keyed = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket", handleInvalid="keep").transform(keyed)
     else:
         keyed = keyed.withColumn("_bucket", F.lit(0.0))
     starts = _starts(keyed.groupBy(*group, "_bucket").agg(F.count("*").alias("_n")), group)

@@ -33,11 +33,17 @@ def brute_knn(x):
     return np.argsort(-s, axis=1, kind="stable")[:, :K]
 
 
-@pytest.fixture(scope="module", params=[7, 1000])
+@pytest.fixture(scope="module", params=[7, 1000, None])
 def knn(request, frame):
     return alignment.neighbours(frame, K, block_rows=request.param).cache()
 
 
+def test_block_counts():
+    assert alignment._block_count(10, 8) == 1
+    assert alignment._block_count(100_000, 8) == 6
+    assert alignment._block_count(10_000_000, 1000) == 306
+
+
 def test_neighbours_in_blocks(knn, data):
     for space, x in zip("ab", data):
         got = np.zeros((N, K), dtype=int)
@@ -143,3 +149,19 @@ def test_override_writes_only_its_positions(spark):
     assert {(r["row"], r["pos"]): r["vector"] for r in out.collect()} == want
     with pytest.raises(Exception, match="outside"):
         alignment.overridden(spark.createDataFrame(states, schema), spark.createDataFrame([(0, 8, [1.0] * 5)], schema), 8).collect()
+
+
+def test_blocks_of_several_chunks(spark):
+    rng = np.random.default_rng(2)
+    a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in rng.normal(size=(2, 1300, 4)))
+    frame = spark.createDataFrame(
+        [(i, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(a, b))], "id bigint, a array<double>, b array<double>"
+    )
+    got = np.zeros((1300, K), dtype=int)
+    for r in alignment.neighbours(frame, K, spaces=["b"], block_rows=1000).collect():
+        got[r["id"], r["rank"] - 1] = r["other"]
+    assert np.array_equal(got, brute_knn(b))
+    assert value(alignment.cka_rbf(frame, block_rows=1000)) == pytest.approx(ratio(*kernels((a, b), "rbf"), False), abs=1e-9)
+    s = a @ b.T / 0.07
+    ce = lambda m: np.mean(np.log(np.exp(m).sum(axis=1)) - np.diag(m))
+    assert value(alignment.contrastive_loss(frame, block_rows=1000)) == pytest.approx(ce(s) + ce(s.T), abs=1e-9)

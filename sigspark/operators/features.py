@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.functions.arrays import at, fold_sum, indices, let, mean, square_deviation
+from sigspark.functions.arrays import at, indices, let, mean, square_deviation
 
 PEAK_SHARE = 0.3  # fixed value: lowest peak height as a share of the range
 MAX_WINDOW = 1024  # fixed value: samples per spectrum window

@@ -4,7 +4,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigspark.functions.arrays import at, indices, let
+from sigspark.functions.arrays import indices, let
 from sigspark.functions.json import decoded_json
 from sigspark.operators.ranking import number_rows
 from sigspark.operators.templates import QUESTION_ORDER, QUESTIONS, SECTION_ORDER, TEMPLATE_SCHEMA, TEMPLATES

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from sigspark.functions.arrays import rounded, unrolled
 from sigspark.operators import features
 from sigspark.operators.ranking import with_previous
-from sigspark.plans.bindings import REC, SEGMENT, SEGMENTS, STREAM, rec, stream_samples, stream_segments
+from sigspark.plans.bindings import SEGMENT, SEGMENTS, STREAM, rec, stream_samples, stream_segments
 
 FS = SEGMENT
 R = 7

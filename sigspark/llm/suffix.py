@@ -14,6 +14,7 @@ shard of their anchor. Neighbouring windows with one anchor form a stretch.
 """
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 from typing import NamedTuple
@@ -30,12 +31,14 @@ WINDOW = 50
 GRAM = 16
 #: Places of an anchor in a window; at most so many windows in a stretch.
 REACH = WINDOW - GRAM + 1
+#: Of the other bytes of a window at least so many stand on one side of its anchor.
+SIDE = -(-(WINDOW - GRAM) // 2)
 #: Text bytes of a block.
 BLOCK_BYTES = 8 << 20
 #: Text bytes for each shard.
 SHARD_BYTES = 12 << 20
 #: Stretch bytes of an index; a shard builds several where needed.
-INDEX_BYTES = 3 << 20
+INDEX_BYTES = 2 << 20
 _POS_BITS = 16
 _SLICE = (1 << _POS_BITS) - WINDOW
 _LAST = np.iinfo(np.int64).max  # stands for a null doc_id
@@ -359,24 +362,39 @@ def _chosen(data: bytes, ends: np.ndarray, ids: np.ndarray, marks: list[dict], b
 
 
 def _search(strings: list[bytes], docs: np.ndarray) -> np.ndarray:
-    """Bits of the windows of distinct strings that a lower document than the string's own has."""
+    """Bits of the windows of distinct strings that a lower document than the string's own has.
+
+    A window that two strings share has their anchor and, as WINDOW is longer
+    than the anchor, at least SIDE more bytes on one side of it. Strings that
+    agree so with no other string need no index.
+    """
     bits = np.zeros(len(strings), np.uint64)
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    # Parts by anchor keep equal windows together and an index small.
     joined = b"".join(strings)
-    h = _gram_hashes(joined)
     ends = np.cumsum(sizes)
+    h = _gram_hashes(joined)
+    h &= np.uint64((1 << 64) - (1 << _POS_BITS))
+    h |= (np.arange(len(h)) - np.repeat(ends - sizes, sizes)[: len(h)]).astype(np.uint64)
     for j in range(1, GRAM):
-        inside = ends[ends - j < len(h)] - j
-        h[inside] = np.iinfo(np.uint64).max
-    anchor = _spread(np.minimum.reduceat(h >> np.uint64(_POS_BITS), ends - sizes))
-    parts = max(1, -(-len(joined) // INDEX_BYTES))
+        h[ends[ends - j < len(h)] - j] = np.iinfo(np.uint64).max
+    best = np.minimum.reduceat(h, ends - sizes)
+    anchor, place = _spread(best >> np.uint64(_POS_BITS)), (best & np.uint64((1 << _POS_BITS) - 1)).astype(np.int64).tolist()
+    left = [x[p - SIDE : p + GRAM] if p >= SIDE else None for x, p in zip(strings, place)]
+    right = [x[p : p + GRAM + SIDE] if p + GRAM + SIDE <= len(x) else None for x, p in zip(strings, place)]
+    before, behind = Counter(left), Counter(right)
+    before[None] = behind[None] = 0
+    need = np.flatnonzero([before[a] > 1 or behind[b] > 1 for a, b in zip(left, right)])
+    if not len(need):
+        return bits
+    # Parts by anchor keep equal windows together and an index small.
+    anchor = anchor[need]
+    parts = max(1, -(-int(sizes[need].sum()) // INDEX_BYTES))
     # The low bits: the high ones chose the shard.
     part = (anchor & np.uint64(0xFFFF)) * np.uint64(parts) >> np.uint64(16)
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
     for a, b in zip(cuts[:-1], cuts[1:]):
-        some = order[a:b]
+        some = need[order[a:b]]
         if len(some):
             low = Index([strings[i] for i in some.tolist()], docs[some]).lowest_documents()
             hit = low < docs[some][:, None]

@@ -9,9 +9,12 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import os
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +26,9 @@ UNSPLIT = 2048
 #: Symbols of a leaf of the tree.
 LEAF = 512
 #: Distinct words that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Documents whose tokens are sent on together.
+ROWS = 256
 
 
 def default_vocabulary() -> str:
@@ -94,21 +99,26 @@ def tree(merges: Merges, symbols: list[str], leaf: int = LEAF) -> list[str]:
 
 
 class Codec:
-    """The vocabulary in a worker."""
+    """The vocabulary in a worker. Tokens of a word are kept as the bytes of 32-bit numbers."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as f:
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.known: dict[bytes, bytes] = {}
+
+    @functools.cached_property
+    def merges(self) -> Merges:
+        """Only long words need them."""
+        with open(self.path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = Merges({tuple(p): i for i, p in enumerate(pairs)}, model["vocab"])
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
-        self.known: dict[bytes, list[int]] = {}
+        return Merges({tuple(p): i for i, p in enumerate(pairs)}, model["vocab"])
 
     def long_word(self, word: str) -> list[int]:
         parts = [word]
@@ -124,30 +134,24 @@ class Codec:
                 out += [self.merges.ids[t] for t in tree(self.merges, [*piece[:-1], piece[-1] + "</w>"])]
         return out
 
-    def encode(self, text: bytes) -> list[int]:
+    def encode(self, text: bytes) -> bytes:
         words = text.split()  # at ASCII white space only
         missing = [w for w in dict.fromkeys(words) if w not in self.known]
         if len(self.known) + len(missing) > REMEMBERED:
             self.known.clear()
             missing = list(dict.fromkeys(words))
-        short = [w for w in missing if len(w) <= UNSPLIT]
-        for w, e in zip(short, self.tokenizer.encode_batch([w.decode() for w in short], add_special_tokens=False)):
-            self.known[w] = e.ids
-        for w in missing:
-            if len(w) > UNSPLIT:
-                self.known[w] = self.long_word(w.decode())
-        out: list[int] = []
-        for w in words:
-            out += self.known[w]
-        for w in missing:
-            if len(w) > UNSPLIT:
-                del self.known[w]
+        long = [w for w in missing if len(w) > UNSPLIT]
+        for s in range(0, len(missing), 4096):
+            short = [w for w in missing[s : s + 4096] if len(w) <= UNSPLIT]
+            for w, e in zip(short, self.tokenizer.encode_batch_fast([w.decode() for w in short], add_special_tokens=False)):
+                self.known[w] = array("i", e.ids).tobytes()
+        for w in long:
+            self.known[w] = array("i", self.long_word(w.decode())).tobytes()
+        out = b"".join([self.known[w] for w in words])
+        for w in long:
+            del self.known[w]
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """This vocabulary has no decoder of its own: tokens stand with blanks between."""
-        return " ".join([self.names[i] for i in ids])
-
 
 def _kept_split(text: str, mark: str) -> list[str]:
     out = []
@@ -161,6 +165,18 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@functools.lru_cache(maxsize=2)
+def names(path: str) -> np.ndarray:
+    """Token of each number."""
+    with open(path, encoding="utf-8") as f:
+        stored = json.load(f)
+    number = {**stored["model"]["vocab"], **{t["content"]: t["id"] for t in stored["added_tokens"]}}
+    out = np.full(max(number.values()) + 1, "", object)
+    for token, i in number.items():
+        out[i] = token
+    return out
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Column ``ids``: tokens of every whole text.
 
@@ -172,13 +188,13 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
-            flat, offsets = [], [0]
-            for text in as_bytes(batch, "text"):
-                flat += c.encode(text)
-                offsets.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.record_batch([batch.column("doc_id"), ids], schema=schema)
+        for whole in batches:
+            for s in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(s, ROWS)
+                tokens = [c.encode(text) for text in as_bytes(batch, "text")]
+                offsets = np.cumsum([0, *(len(t) // 4 for t in tokens)]).astype(np.int32)
+                flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(tokens))])
+                yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), flat)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, ids array<int>")
 
@@ -189,10 +205,13 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for batch in batches:
-            texts = [c.decode(ids or []) for ids in batch.column("ids").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], schema=schema)
+        token = names(path)
+        for whole in batches:
+            for s in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(s, ROWS)
+                # This vocabulary has no decoder of its own: tokens stand with blanks between.
+                texts = [" ".join(token[ids.values.to_numpy()].tolist()) if ids.is_valid else "" for ids in batch.column("ids")]
+                yield pa.record_batch([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], schema=schema)
 
     return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, ids array<int>, decoded string")
 

@@ -39,13 +39,13 @@ def scratch_path(spark: SparkSession, stem: str) -> str:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Before heavy work per row: dealt out by a unique key if the input has fewer files than there are cores.
+    """Before heavy work per row: dealt out by a unique key if the scan has fewer splits than there are cores.
 
-    A large input has splits enough and is left where it is. Only file names are
-    looked at; nothing is run to decide.
+    A large input, also of few large files, has splits enough and is left where
+    it is. Splits are counted from file sizes; nothing is run to decide.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

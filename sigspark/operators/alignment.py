@@ -21,7 +21,6 @@ from sigspark.operators.ranking import as_number, quantile_splits
 BLOCK_ROWS = 32768  # largest block; rows are copied once per block, so few large blocks move the least data
 CHUNK_ROWS = 512  # rows of a block multiplied at a time, which bounds the memory of a task
 TIE_DIGITS = 9  # similarities equal to this many digits are ties; the lower id comes first
-MAX_DIMENSIONS = 4096
 
 
 def l2_normalised(vector: Column) -> Column:
@@ -206,8 +205,6 @@ def moments(df: DataFrame, columns=("a", "b")) -> DataFrame:
             if len(pdf) == 0:
                 continue
             m = {"a": _matrix(pdf, x), "b": _matrix(pdf, y)}
-            if max(v.shape[1] for v in m.values()) > MAX_DIMENSIONS:
-                raise ValueError(f"more than {MAX_DIMENSIONS} dimensions")
             sq = {s: (v * v).sum(axis=1) for s, v in m.items()}
             for s in "ab":
                 add(f"s:{s}", m[s].sum(axis=0))

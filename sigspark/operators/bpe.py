@@ -4,8 +4,6 @@ The corpus stays a table with one recording per row. While training, a token is
 one character (code point ``BASE + id``), so a merge is a string replacement
 inside the JVM: left to right and non-overlapping, as byte-pair merging needs.
 """
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +13,22 @@ from sigspark.functions.session import cut_lineage
 
 BYTES = 256
 BASE = 0x1000  # first code point used for tokens while training
-MAX_TOKENS = 0xD800 - BASE  # stay below the surrogate range
+SURROGATES, N_SURROGATES = 0xD800, 0x800  # code points that no text can hold
+MAX_TOKENS = 0x110000 - BASE - N_SURROGATES
 MERGES_PER_PASS = 64
 PASSES_PER_CHECKPOINT = 8
 
 
+def _character(token_id: int) -> str:
+    code = BASE + token_id
+    return chr(code + N_SURROGATES if code >= SURROGATES else code)
+
+
+def _number(character: str) -> int:
+    code = ord(character)
+    return code - BASE - (N_SURROGATES if code >= SURROGATES else 0)
+
+
 def adjacent(text: Column) -> Column:
     """All overlapping windows of two symbols."""
     chars = F.split(text, "")
@@ -74,8 +83,8 @@ def train(df: DataFrame, text: str, merges: int, alphabet: str = "abcdefghijklmn
     spark = df.sparkSession
     if BYTES + merges > MAX_TOKENS:
         raise ValueError(f"at most {MAX_TOKENS - BYTES} merges")
-    token = {chr(BASE + i): chr(i) for i in range(BYTES)}
-    coded = "".join(chr(BASE + ord(c)) for c in alphabet)
+    token = {_character(i): chr(i) for i in range(BYTES)}
+    coded = "".join(_character(ord(c)) for c in alphabet)
     corpus = cut_lineage(df.select(F.translate(text, alphabet, coded).alias("_s")))
     learned: list = []
     passes = 0
@@ -86,10 +95,10 @@ def train(df: DataFrame, text: str, merges: int, alphabet: str = "abcdefghijklmn
             break
         symbols = F.col("_s")
         for row in run:
-            new = chr(BASE + BYTES + len(learned))
+            new = _character(BYTES + len(learned))
             token[new] = token[row["left"]] + token[row["right"]]
             symbols = merged(symbols, row["left"], row["right"], new)
-            ids = [ord(row["left"]) - BASE, ord(row["right"]) - BASE, ord(new) - BASE]
+            ids = [_number(row["left"]), _number(row["right"]), _number(new)]
             learned.append((len(learned) + 1, *ids, row["n"], token[new]))
         corpus = corpus.select(symbols.alias("_s"))
         passes += 1
@@ -112,33 +121,48 @@ def byte_vocabulary(spark: SparkSession, merges: DataFrame) -> DataFrame:
     return singles.unionByName(merges.select("token_id", "symbols"))
 
 
-def longest_match_pattern(tokens: list[str]) -> str:
-    """Regular expression whose leftmost match is the longest token.
+class LongestMatch:
+    """Flat table (node, symbol) -> node of the tokens' common prefixes.
 
-    Tokens are nested by common prefix, so a position is tested in as many steps
-    as the match is long, whatever the size of the vocabulary. A symbol outside the
+    A position is tested in as many steps as the match is long, whatever the
+    size of the vocabulary and the length of its tokens. A symbol outside the
     vocabulary matches alone.
     """
-    tree: dict = {}
-    for token in tokens:
-        node = tree
-        for c in token:
-            node = node.setdefault(c, {})
-        node[""] = True
-
-    def build(node: dict) -> str:
-        branches = [re.escape(c) + build(child) for c, child in sorted(node.items()) if c]
-        if not branches:
-            return ""
-        inner = branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
-        return f"(?:{inner})?" if "" in node else inner
 
-    return f"{build(tree)}|(?s:.)" if tree else "(?s:.)"
+    def __init__(self, tokens: list[str]):
+        self.step: dict[tuple[int, str], int] = {}
+        self.ends: set[int] = set()
+        for token in tokens:
+            node = 0
+            for c in token:
+                node = self.step.setdefault((node, c), len(self.step) + 1)
+            if node:
+                self.ends.add(node)
+
+    def split(self, text: str) -> list[str]:
+        out, i, step, ends = [], 0, self.step, self.ends
+        while i < len(text):
+            node, j, end = step.get((0, text[i])), i + 1, i + 1
+            while node is not None:
+                if node in ends:
+                    end = j
+                if j == len(text):
+                    break
+                node, j = step.get((node, text[j])), j + 1
+            out.append(text[i:end])
+            i = end
+        return out
 
 
 def tokens_of(text: Column, vocab_symbols: list[str]) -> Column:
-    """Greedy longest-match tokens as strings; stays in the JVM."""
-    return F.regexp_extract_all(text, F.lit(longest_match_pattern(vocab_symbols)), F.lit(0))
+    """Greedy longest-match tokens as strings."""
+    table = LongestMatch(vocab_symbols)
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else table.split(t))
+
+    return cut(text)
 
 
 def encode(df: DataFrame, text: str, vocab: DataFrame, keep: list[str]) -> DataFrame:
@@ -155,12 +179,11 @@ def encode(df: DataFrame, text: str, vocab: DataFrame, keep: list[str]) -> DataF
 
 def encoded(text: Column, vocab: dict[str, int]) -> Column:
     """Array form: token ids of one recording, for row-wise use; one dictionary look-up per token."""
-    pattern = longest_match_pattern(list(vocab))
+    table = LongestMatch(list(vocab))
 
     @F.pandas_udf("array<int>")
     def look_up(texts: pd.Series) -> pd.Series:
-        find = re.compile(pattern).findall
-        return texts.map(lambda t: None if t is None else [vocab.get(p, ord(p[0])) for p in find(t)])
+        return texts.map(lambda t: None if t is None else [vocab.get(p, ord(p[0])) for p in table.split(t)])
 
     return look_up(text)
 

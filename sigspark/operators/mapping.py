@@ -4,7 +4,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_SEGMENTS = 100  # fixed value: segment numbers looked up per recording
 # Test sets of the mixed benchmark and the corpus each belongs to.
 BENCHMARK_CORPUS = {
     "ecgqa-test": "ptb",
@@ -96,26 +95,31 @@ def grounding_key(path: Column) -> tuple[Column, Column]:
 def segment_names(segments: DataFrame, stem: str = "stem") -> DataFrame:
     """Available segments as (key, seg_idx): the number after the last ``_`` and all before it."""
     s = F.col(stem)
-    number = F.regexp_extract(s, r"_(0|[1-9][0-9]?)$", 1)
+    number = F.regexp_extract(s, r"_(0|[1-9][0-9]{0,8})$", 1)
     cut = s.substr(F.lit(1), F.length(s) - F.length(number) - 1)
     return segments.filter(number != "").select(cut.alias("key"), number.cast("int").alias("seg_idx")).distinct()
 
 
-def map_instances(instances: DataFrame, segments: DataFrame, segment_len: int, sf: int) -> DataFrame:
+def _below(segments: DataFrame, max_segments: int | None) -> DataFrame:
+    return segments if max_segments is None else segments.filter(F.col("seg_idx") < max_segments)
+
+
+def map_instances(instances: DataFrame, segments: DataFrame, segment_len: int, sf: int, max_segments: int | None = None) -> DataFrame:
     """(inst_id, seg_idx, ecg_path, text, name): one row per available segment of each instance.
 
-    One equi-join on the recording key; segment numbers run below MAX_SEGMENTS.
+    One equi-join on the recording key. A recording has any number of segments
+    unless ``max_segments`` says how many are looked up.
     """
-    hits = instances.join(segments.filter(F.col("seg_idx") < MAX_SEGMENTS), "key")
+    hits = instances.join(_below(segments, max_segments), "key")
     file = F.concat(F.col("key"), F.lit("_"), F.col("seg_idx"), F.lit(".npy"))
     path = F.concat_ws("/", folder(F.col("corpus"), segment_len, sf), file)
     return hits.select("inst_id", "seg_idx", path.alias("ecg_path"), "text", F.coalesce("name", F.lit("")).alias("name"))
 
 
-def mapping_audit(instances: DataFrame, segments: DataFrame) -> DataFrame:
+def mapping_audit(instances: DataFrame, segments: DataFrame, max_segments: int | None = None) -> DataFrame:
     """Instances, available segments, mapped rows, instances without a segment: from counts per key only."""
     per_instance = instances.groupBy("key").agg(F.count("*").alias("i"))
-    per_segment = segments.filter(F.col("seg_idx") < MAX_SEGMENTS).groupBy("key").agg(F.count("*").alias("s"))
+    per_segment = _below(segments, max_segments).groupBy("key").agg(F.count("*").alias("s"))
     both = per_instance.join(per_segment, "key", "full").na.fill(0, ["i", "s"])
     return both.agg(
         F.sum("i").alias("instances"),
@@ -126,8 +130,8 @@ def mapping_audit(instances: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def flat_values(name: Column, values: Column) -> Column:
-    """Turn values given as lists: joined without a space in the sets that have them, else the first one."""
-    return F.when(name.isin(LIST_VALUED), F.array_join(values, "")).otherwise(values[0])
+    """Whole turn values from their pieces: joined without a space in the sets with list values, else with the space they had."""
+    return F.when(name.isin(LIST_VALUED), F.array_join(values, "")).otherwise(F.array_join(values, " "))
 
 
 def assembled(sources: dict[str, DataFrame]) -> DataFrame:

@@ -327,7 +327,7 @@ def t_quantile(p: float, df: int) -> float:
     return (lo + hi) / 2
 
 
-def seed_statistics(metrics: DataFrame, max_seeds: int = 200, confidence: float = 0.95) -> DataFrame:
+def seed_statistics(metrics: DataFrame, confidence: float = 0.95) -> DataFrame:
     """(metric, sub_metric, mean, std, lo, hi) in percent, from (seed, metric, sub_metric, value).
 
     Several values of one seed are averaged first. One seed has no interval.
@@ -336,10 +336,13 @@ def seed_statistics(metrics: DataFrame, max_seeds: int = 200, confidence: float
     stats = per_seed.groupBy("metric", "sub_metric").agg(
         F.avg("v").alias("mean"), F.when(F.count("*") > 1, F.stddev_samp("v")).alias("std"), F.count("*").alias("n")
     )
-    quantiles = F.array(*[F.lit(t_quantile((1 + confidence) / 2, df)) for df in range(1, max_seeds)])
-    too_many = F.raise_error(F.lit(f"more than {max_seeds} seeds")).cast("double")
-    t = F.when(F.col("n") > max_seeds, too_many).otherwise(F.get(quantiles, (F.col("n") - 2).cast("int")))
-    margin = t * F.col("std") / F.sqrt("n")
+
+    @F.pandas_udf("double")
+    def quantile(n: pd.Series) -> pd.Series:
+        known = {k: t_quantile((1 + confidence) / 2, int(k) - 1) for k in n.unique() if k > 1}
+        return n.map(known).astype("float64")
+
+    margin = quantile("n") * F.col("std") / F.sqrt("n")
     return stats.select(
         "metric", "sub_metric", "mean", "std", (F.col("mean") - margin).alias("lo"), (F.col("mean") + margin).alias("hi")
     )

@@ -28,21 +28,26 @@ ADMISSION = {
 }
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz"
 EPSILON = 1e-6
+MIN_SAMPLES = 4
 
 
 def refusal(rules: dict = ADMISSION, corpus="base_data", rate="orig_sf", ecg="ecg") -> Column:
     """Why a recording is refused, or null if it is admitted."""
     n_leads = F.size(ecg)
-    uneven = F.exists(F.col(ecg), lambda lead: F.size(lead) != F.size(F.col(ecg)[0]))
-    reason = F.when(~F.col(corpus).isin(*rules), "unknown corpus")
+    samples_of = F.size(F.get(ecg, F.lit(0)))
+    uneven = F.exists(F.col(ecg), lambda lead: ~F.size(lead).eqNullSafe(samples_of))
+    # A condition that a null leaves open counts as not met.
+    unmet = lambda condition: ~F.coalesce(condition, F.lit(False))
+    reason = F.when(unmet(F.col(corpus).isin(*rules)), "unknown corpus")
     for name, (sf, samples, leads) in rules.items():
         here = F.col(corpus) == name
-        reason = reason.when(here & (F.col(rate) != sf), "sampling rate")
+        reason = reason.when(here & unmet(F.col(rate) == sf), "sampling rate")
         if leads is not None:
-            reason = reason.when(here & ((n_leads != leads) | uneven), "leads")
+            reason = reason.when(here & unmet((n_leads == leads) & ~uneven), "leads")
         if samples is not None:
-            reason = reason.when(here & (F.size(F.col(ecg)[0]) != samples), "samples")
-    return reason
+            reason = reason.when(here & unmet(samples_of == samples), "samples")
+    # Later steps fit a spline through the samples, which takes MIN_SAMPLES.
+    return reason.when(unmet((samples_of >= MIN_SAMPLES) & ~uneven), "signal")
 
 
 def admit(df: DataFrame, rules: dict = ADMISSION, **columns) -> tuple[DataFrame, DataFrame]:

@@ -394,7 +394,7 @@ PLANS = {
     "corpus_assembly": (
         corpus_assembly,
         """SELECT conv_id, turn, CASE role WHEN 'system' THEN 'cpsc-test' WHEN 'user' THEN 'ptb-test' ELSE 'ecgqa-test' END AS name,
-                  md5(CASE WHEN role IN ('system', 'user') THEN split_part(text, ' ', 1) ELSE replace(text, ' ', '') END) AS value_md5
+                  md5(CASE WHEN role IN ('system', 'user') THEN text ELSE replace(text, ' ', '') END) AS value_md5
            FROM conversations""",
     ),
     "category_counts": (category_counts, _QA + " SELECT category, count(*) AS n FROM qa GROUP BY 1"),

@@ -18,7 +18,7 @@ def _turns(df, column, keep=("conv_id",)):
 def chat_normalisation(spark, d):
     c = conv(spark, d)
     first = F.col("conversations")[0]
-    marked = F.concat(F.array(prompts.turn(first["from"], F.concat(F.lit("<ecg>\n"), first["value"]))), F.slice("conversations", 2, 1000000))
+    marked = F.concat(F.array(prompts.turn(first["from"], F.concat(F.lit("<ecg>\n"), first["value"]))), F.slice("conversations", 2, F.size("conversations")))
     c = c.withColumn("conversations", marked).filter(F.size("conversations") > 1)
     return _turns(c.withColumn("x", prompts.chat_turns(F.col("conversations"), "assistant")), "x").withColumn("value", F.md5("value"))
 
@@ -245,7 +245,9 @@ SELECT conv_id, i::INT AS pos, out[i + 1]::INT AS id FROM whole, range(len(out))
 
 
 def attention_mask(spark, d):
-    p = prompt_ids(spark, d).withColumn("ids", prompts.fitted(F.col("ids"), 600, 128004))
+    # Shorter prompts are padded in front, so that some masks begin with zeros; longer ones stay whole.
+    padded = F.when(F.size("ids") < 600, prompts.fitted(F.col("ids"), 600, 128004)).otherwise(F.col("ids"))
+    p = prompt_ids(spark, d).withColumn("ids", padded)
     kept = p.withColumn("mask", prompts.attention_mask(F.col("ids"), 128000))
     return kept.select("conv_id", F.size("mask").alias("n"), F.array_position("mask", 1).alias("first"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("ones"))
 
@@ -357,8 +359,7 @@ PLANS = {
     "token_budget": (token_budget, _BUDGET),
     "attention_mask": (
         attention_mask,
-        f"""WITH {_IDS} SELECT conv_id, CASE WHEN n <= 600 THEN 600 END::INT AS n, CASE WHEN n <= 600 THEN 601 - n END AS "first",
-            CASE WHEN n <= 600 THEN n END::INT AS ones FROM prompts""",
+        f"""WITH {_IDS} SELECT conv_id, greatest(n, 600)::INT AS n, greatest(601 - n, 1) AS "first", n::INT AS ones FROM prompts""",
     ),
     "placeholder_positions": (
         placeholder_positions,

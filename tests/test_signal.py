@@ -140,3 +140,14 @@ def test_feature_vector_has_24_values_per_lead(spark):
     p = features.find_peaks(x, 0.3 * np.ptp(x) + x.min(), 50)
     assert np.isclose(v[11], 60 / np.mean(np.diff(p) / 250)) and np.isclose(v[12], np.std(np.diff(p) / 250))
     assert got[9][11:16] == [0.0] * 5
+
+
+def test_nulls_and_short_signals_are_refused(spark):
+    good = [[0.0] * 5000] * 12
+    rows = [
+        (None, 500, good, "unknown corpus"), ("ptb", None, good, "sampling rate"), ("cpsc", 500, None, "signal"), ("cpsc", 500, [[0.0] * 3] * 12, "signal"),
+        ("cpsc", 500, [[0.0] * 4] * 2, None), ("csn", 500, None, "leads"), ("csn", 500, [[0.0] * 5000] * 11 + [None], "leads"), ("csn", 500, good, None),
+    ]
+    df = spark.createDataFrame(rows, "base_data string, orig_sf int, ecg array<array<double>>, want string")
+    assert all(r["want"] == r["got"] for r in df.select("want", signal.refusal().alias("got")).collect())
+    assert sum(r["skipped"] for r in signal.admission_counts(df).collect()) == 6

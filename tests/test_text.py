@@ -1,5 +1,4 @@
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,8 +83,8 @@ def test_encoding_is_longest_match_and_decodes(spark):
     rng = random.Random(4)
     vocab = ["a", "b", "c", "ab", "abcab", "bca", "cabb", "aa", "aaaa"]
     texts = ["".join(rng.choice("abcd") for _ in range(rng.randint(0, 40))) for _ in range(60)]
-    pattern = re.compile(bpe.longest_match_pattern(vocab))
-    assert all(pattern.findall(t) == longest_match(t, vocab) for t in texts)
+    table = bpe.LongestMatch(vocab)
+    assert all(table.split(t) == longest_match(t, vocab) for t in texts)
     table = spark.createDataFrame([(300 + i, v) for i, v in enumerate(vocab)] + [(ord("d"), "d")], "token_id int, symbols string")
     df = spark.createDataFrame(list(enumerate(texts)), "seq_id bigint, symbols string")
     coded = bpe.encode(df, "symbols", table, ["seq_id"])
@@ -290,3 +289,42 @@ def test_file_listing_and_index(spark, tmp_path):
         (tmp_path / name).write_text("0")
     index = {r["stem"]: r["path"] for r in tables.file_name_index(tables.list_files(spark, str(tmp_path), "*.hea")).collect()}
     assert set(index) == {"A1", "B2"} and index["A1"].endswith("/y/A1.hea")
+
+
+def test_long_tokens_of_flat_recordings(spark):
+    """Tokens double on constant stretches; encoding takes them whole."""
+    df = spark.createDataFrame([(1, "a" * 5000), (2, "a" * 4096 + "b" + "a" * 7)], "seq_id bigint, symbols string")
+    merges = bpe.train(df, "symbols", 13, "ab")
+    vocab = bpe.vocabulary(spark, merges, "ab")
+    assert max(len(r["symbols"]) for r in vocab.collect()) > 2000
+    back = bpe.decode(bpe.encode(df, "symbols", vocab, ["seq_id"]), vocab, ["seq_id"]).collect()
+    assert {r["seq_id"]: r["symbols"] for r in back} == {r["seq_id"]: r["symbols"] for r in df.collect()}
+    ids = {r["symbols"]: r["token_id"] for r in vocab.collect()}
+    sizes = df.select("seq_id", F.size(bpe.encoded(F.col("symbols"), ids)).alias("n")).collect()
+    assert all(r["n"] < 100 for r in sizes)
+
+
+def test_token_characters_step_over_surrogates():
+    for i in (0, 0xD800 - bpe.BASE - 1, 0xD800 - bpe.BASE, 60_000, bpe.MAX_TOKENS - 1):
+        c = bpe._character(i)
+        assert bpe._number(c) == i and c.encode("utf-8").decode("utf-8") == c
+
+
+def test_any_number_of_segments(spark):
+    from sigspark.operators import mapping
+
+    stems = spark.createDataFrame([(f"rec_{i}",) for i in (0, 99, 100, 150, 123456)] + [("rec_01",)], "stem string")
+    segments = mapping.segment_names(stems)
+    assert {r["seg_idx"] for r in segments.collect()} == {0, 99, 100, 150, 123456}
+    instances = spark.createDataFrame([(1, "rec", "ptb", "t", None)], "inst_id int, key string, corpus string, text string, name string")
+    assert mapping.map_instances(instances, segments, 1250, 250).count() == 5
+    assert mapping.map_instances(instances, segments, 1250, 250, max_segments=100).count() == 2
+    assert mapping.mapping_audit(instances, segments).first()["valid"] == 5
+
+
+def test_more_than_200_seeds(spark):
+    from sigspark.operators import scoring
+
+    df = spark.createDataFrame([(s, "m", "x", s / 250) for s in range(250)] + [(0, "m", "one", 0.5)], "seed int, metric string, sub_metric string, value double")
+    got = {r["sub_metric"]: r for r in scoring.seed_statistics(df).collect()}
+    assert got["x"]["lo"] < got["x"]["mean"] < got["x"]["hi"] and got["one"]["lo"] is None

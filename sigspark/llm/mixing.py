@@ -107,8 +107,8 @@ levels AS (
     SELECT ({SHARE} * sum(source_size) OVER () - coalesce(sum({EPOCHS}.0::DOUBLE * source_size) OVER (
                ORDER BY source_size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
            / sum(weight) OVER (ORDER BY source_size::DOUBLE / weight, source NULLS LAST
-                               ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS at FROM weighed),
-targets AS (SELECT *, least({EPOCHS}.0::DOUBLE * source_size, (SELECT max(at) FROM levels) * weight) AS target FROM weighed),
+                               ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS lvl FROM weighed),
+targets AS (SELECT *, least({EPOCHS}.0::DOUBLE * source_size, (SELECT max(lvl) FROM levels) * weight) AS target FROM weighed),
 goals AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM targets),
 placed AS (
     SELECT s.doc_id, s.size, g.source_size, g.target, g.whole, g.target - g.whole * g.source_size AS goal,

@@ -109,6 +109,25 @@ def test_near_copies_in_the_stage(spark):
     assert kept == set(range(40))
 
 
+def test_stage_near_its_limit(spark):
+    """Copies with 6 of 300 words changed have a similarity of about 0.82, those with 40 one below 0.5."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for i in range(100):
+        words = [word() for _ in range(300)]
+        rows.append((i, " ".join(words)))
+        for first, changes in ((1000, 6), (2000, 40)):
+            other = list(words)
+            for k in range(changes):
+                other[k * (300 // changes) + rng.randrange(3)] = word()
+            rows.append((first + i, " ".join(other)))
+    df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in simhash.one_of_each(df).collect()}
+    assert set(range(100)) <= kept and set(range(2000, 2100)) <= kept
+    assert len(kept & set(range(1000, 1100))) <= 20
+
+
 def test_odd_rows_simhash(odd, none):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)

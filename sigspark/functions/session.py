@@ -48,6 +48,17 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def sized(df: DataFrame, stem: str = "sized") -> DataFrame:
+    """A table that should be small, written and read again: its size is known from its files.
+
+    The optimiser broadcasts it below ``spark.sql.autoBroadcastJoinThreshold``,
+    so that rows with a hot key stay where they are; a larger one is joined by a shuffle.
+    """
+    path = scratch_path(df.sparkSession, stem)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint; the data outlives the executors that wrote it."""
     shared_folder(df.sparkSession)

@@ -19,6 +19,7 @@ from sigspark.functions.session import cut_lineage
 from sigspark.operators.ranking import as_number, quantile_splits
 
 BLOCK_ROWS = 32768  # largest block; rows are copied once per block, so few large blocks move the least data
+BLOCK_BYTES = 128 << 20  # of the vectors of a block in double precision; wide vectors make blocks of fewer rows
 CHUNK_ROWS = 512  # rows of a block multiplied at a time, which bounds the memory of a task
 TIE_DIGITS = 9  # similarities equal to this many digits are ties; the lower id comes first
 
@@ -48,10 +49,11 @@ def signal_states(states: DataFrame, n_layers: int, signal_pos: str) -> DataFram
 
 
 # --- blocks ----------------------------------------------------------------
-def _block_count(n: int, cores: int) -> int:
-    """Blocks of at most BLOCK_ROWS; of a smaller input enough, but not tiny ones, to keep all cores busy."""
+def _block_count(n: int, cores: int, width: int = 1) -> int:
+    """Blocks of at most BLOCK_ROWS and BLOCK_BYTES for ``width`` numbers a row; of a smaller input enough to keep all cores busy."""
     busy = min(-(-n // CHUNK_ROWS), math.ceil(2 * math.sqrt(cores)))
-    return max(1, -(-n // BLOCK_ROWS), busy)
+    most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, width))))
+    return max(1, -(-n // most), busy)
 
 
 def _cells(df: DataFrame, columns: list[str], block_rows: int | None, symmetric: bool = True) -> DataFrame:
@@ -59,9 +61,9 @@ def _cells(df: DataFrame, columns: list[str], block_rows: int | None, symmetric:
 
     A symmetric pair is built once, for _i <= _j.
     """
-    n = df.count()
+    n, width = df.agg(F.count("*"), F.max(sum(F.size(c) for c in columns))).first()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    n_blocks = _block_count(n, cores) if block_rows is None else max(1, -(-n // block_rows))
+    n_blocks = _block_count(n, cores, width or 1) if block_rows is None else max(1, -(-n // block_rows))
     block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
     placed = df.select("id", *columns, block.alias("_block")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     if symmetric:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.functions.arrays import unrolled
-from sigspark.functions.session import cut_lineage
+from sigspark.functions.session import cut_lineage, sized
 
 BYTES = 256
 BASE = 0x1000  # first code point used for tokens while training
@@ -190,6 +190,6 @@ def encoded(text: Column, vocab: dict[str, int]) -> Column:
 
 def decode(tokens: DataFrame, vocab: DataFrame, keep: list[str]) -> DataFrame:
     """Symbol string of each sequence from (keep…, pos, token_id)."""
-    named = tokens.join(vocab.select("token_id", F.col("symbols").alias("_v")), "token_id")
+    named = tokens.join(sized(vocab.select("token_id", F.col("symbols").alias("_v")), "names"), "token_id")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "_v")))
     return named.groupBy(*keep).agg(F.array_join(F.transform(ordered, lambda x: x["_v"]), "").alias("symbols"))

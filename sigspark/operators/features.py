@@ -214,14 +214,15 @@ def wavelet_energy(lead: Column) -> Column:
 
 
 def roughness(lead: Column) -> Column:
-    """Mean absolute and root mean square step."""
+    """Mean absolute and root mean square step; null for a single sample."""
     tail = F.slice(lead, 2, F.greatest(F.size(lead) - 1, F.lit(0)))
     head = F.slice(lead, 1, F.greatest(F.size(lead) - 1, F.lit(0)))
     steps = F.zip_with(tail, head, lambda b, a: b - a)
     return let(
         steps,
         lambda s: F.struct(
-            mean(F.transform(s, F.abs)).alias("mean_abs"), F.sqrt(mean(F.transform(s, lambda x: x * x))).alias("rms")
+            F.when(F.size(s) > 0, mean(F.transform(s, F.abs))).alias("mean_abs"),
+            F.when(F.size(s) > 0, F.sqrt(mean(F.transform(s, lambda x: x * x)))).alias("rms"),
         ),
     )
 

@@ -146,13 +146,16 @@ def segment_recordings(df: DataFrame, length: int, ecg="ecg") -> DataFrame:
     return cut.withColumnRenamed("_part", ecg)
 
 
-def segment_samples(df: DataFrame, rec: str, index: str, value: str, length: int) -> DataFrame:
-    """Segments of numbered samples, for recordings too long for one row; a group holds one segment."""
+def segment_samples(df: DataFrame, rec: str, index: str, value: str, length: int, rest: bool = False) -> DataFrame:
+    """Segments of numbered samples, for recordings too long for one row; a group holds one segment.
+
+    The shorter rest at the end is dropped, unless ``rest`` asks for it.
+    """
     sample = F.struct(F.col(index), F.col(value))
     grouped = df.groupBy(rec, F.floor(F.col(index) / length).alias("seg_idx")).agg(
         F.array_sort(F.collect_list(sample)).alias("_samples")
     )
-    whole = grouped.filter(F.size("_samples") == length)
+    whole = grouped if rest else grouped.filter(F.size("_samples") == length)
     return whole.select(rec, "seg_idx", F.array(F.transform("_samples", lambda x: x[value])).alias("ecg"))
 
 

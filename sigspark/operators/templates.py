@@ -94,7 +94,17 @@ QUESTIONS = [
     ("T", "T", "What is the morphology of the T wave?", ["Normal", "Peaked", "Inverted", "Nonspecific"]),
     ("Noise Artifacts", "Noise artifacts", "What kind of noise artifacts are present?", ["Missing lead", "LVAD", "Other noise"]),
 ]
+# Sections in the order in which they are asked.
 SECTION_ORDER = ["QRS", "Noise Artifacts", "T"]
+# Questions in the order in which they are asked; others are not.
 QUESTION_ORDER = [
     "QRS", "Pacing", "Axis", "Lead reversal", "Rate", "Amplitude", "Preexcitation", "AP", "Duration", "Noise artifacts", "T",
 ]
+# Fixed value: the prompt around a report and the questions.
+QUESTION_TEMPLATE = """Given the ECG diagnosis: "{report}"
+
+Answer the following questions about this ECG:
+
+{questions}
+
+Respond with a JSON object containing your answers."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sigspark.functions.arrays import fold_sum, let, unrolled
 from sigspark.functions.hashing import uniform
+from sigspark.functions.session import sized
 
 PREFIX = "signal_"  # fixed value: namespace of signal tokens in a text vocabulary
 PAD = -2  # fixed value: padding of ragged index lists
@@ -40,7 +41,8 @@ def frequencies(tokens: DataFrame) -> DataFrame:
 
 def drop_rare(tokens: DataFrame, freq: DataFrame, min_count: int) -> DataFrame:
     """Tokens seen at least ``min_count`` times."""
-    return tokens.join(freq.filter(F.col("freq") >= min_count).select("token_id"), "token_id", "left_semi")
+    kept = sized(freq.filter(F.col("freq") >= min_count).select("token_id"), "kept")
+    return tokens.join(kept, "token_id", "left_semi")
 
 
 def subsampled(tokens: DataFrame, freq: DataFrame, t: float, seed=42) -> DataFrame:
@@ -48,7 +50,7 @@ def subsampled(tokens: DataFrame, freq: DataFrame, t: float, seed=42) -> DataFra
     total = F.greatest(F.sum("freq").over(_vocabulary()), F.lit(1))
     rel = F.greatest(F.col("freq") / total, F.lit(1e-12))
     p = F.least(F.lit(1.0), F.sqrt(F.lit(t) / rel) + F.lit(t) / rel)
-    keep = freq.select("token_id", p.alias("_p"))
+    keep = sized(freq.select("token_id", p.alias("_p")), "shares")
     return tokens.join(keep, "token_id").filter(uniform(seed, "seq_id", "pos") < F.col("_p")).drop("_p")
 
 
@@ -128,7 +130,7 @@ def _drawn(pairs: DataFrame, table: DataFrame, u: Column, cells: int, out: str)
 
 def negatives(pairs: DataFrame, noise: DataFrame, k: int, seed=42, cells: int = 1024) -> DataFrame:
     """``k`` noise tokens per pair; one equal to the context is drawn once more."""
-    table = _cumulative(noise, cells)
+    table = sized(_cumulative(noise, cells), "cells")
     drawn = pairs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     first = _drawn(drawn, table, uniform(f"{seed}n", "seq_id", "pos", "draw", "k"), cells, "_first")
     both = _drawn(first, table, uniform(f"{seed}m", "seq_id", "pos", "draw", "k"), cells, "_second")
@@ -170,7 +172,7 @@ def top_tokens(freq: DataFrame, k: int) -> DataFrame:
 def looked_up(tokens: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     """Vector of each token; the padding id, and only it, gets zeros."""
     real = tokens.withColumn("_id", F.when(F.col("token_id") != PAD, F.col("token_id")))
-    joined = real.join(vectors.withColumnRenamed("token_id", "_id"), "_id", "left").drop("_id")
+    joined = real.join(sized(vectors.withColumnRenamed("token_id", "_id"), "vectors"), "_id", "left").drop("_id")
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
     return joined.withColumn("vector", F.when(F.col("token_id") == PAD, zeros).otherwise(F.col("vector")))
 

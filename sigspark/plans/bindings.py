@@ -47,16 +47,16 @@ stream AS (SELECT user_id AS rec_id, ts, event_id, value,
 
 
 def stream_segments(spark: SparkSession, sf_dir: str, length: int = SEGMENT) -> DataFrame:
-    """Whole segments of the one-lead recordings as arrays."""
+    """All samples of the one-lead recordings as arrays of at most ``length``; the last of a recording may be shorter."""
     from sigspark.operators.signal import segment_samples
 
-    return segment_samples(stream_samples(spark, sf_dir), "rec_id", "s", "value", length)
+    return segment_samples(stream_samples(spark, sf_dir), "rec_id", "s", "value", length, rest=True)
 
 
 SEGMENTS = STREAM + f""",
 seg_samples AS (SELECT rec_id, s // {SEGMENT} AS seg, (s % {SEGMENT})::INT AS i, value AS x,
                        count(*) OVER (PARTITION BY rec_id, s // {SEGMENT}) AS n FROM stream),
-segs AS (SELECT rec_id, seg, i, x FROM seg_samples WHERE n = {SEGMENT})"""
+segs AS (SELECT rec_id, seg, i, x, n FROM seg_samples)"""
 
 
 def conv(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries on signal features of the stream segments (one lead of SEGMENT samples at SEGMENT per second)."""
+"""Queries on signal features of all stream samples (one lead, at most SEGMENT samples a row, SEGMENT per second)."""
 from pyspark.sql import functions as F
 
 from sigspark.functions.arrays import rounded, unrolled
@@ -35,12 +35,14 @@ def spectral_centroid(spark, d):
 
 _SPECTRUM = f"""WITH {SEGMENTS},
 m AS (SELECT rec_id, seg, avg(x) AS mu FROM segs GROUP BY ALL),
-win AS (SELECT i, 0.5 - 0.5 * cos(2 * pi() * i / {SEGMENT}.0::DOUBLE) AS w FROM range({SEGMENT}) t(i)),
-tapered AS (SELECT rec_id, seg, segs.i, (x - mu) * w AS y FROM segs JOIN m USING (rec_id, seg) JOIN win ON win.i = segs.i),
-dft AS (SELECT rec_id, seg, k, sum(y * cos(2 * pi() * k * i / {SEGMENT}.0::DOUBLE)) AS re, sum(y * sin(2 * pi() * k * i / {SEGMENT}.0::DOUBLE)) AS im
-        FROM tapered, range({SEGMENT // 2 + 1}) t(k) GROUP BY ALL),
-psd AS (SELECT rec_id, seg, k * {FS} / {SEGMENT}.0::DOUBLE AS f,
-               (re * re + im * im) / ({FS} * (SELECT sum(w * w) FROM win)) * CASE WHEN k IN (0, {SEGMENT // 2}) THEN 1 ELSE 2 END AS p FROM dft)"""
+win AS (SELECT n, i, CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE 0.5 - 0.5 * cos(2 * pi() * i / n::DOUBLE) END AS w
+        FROM range(1, {SEGMENT + 1}) s(n), range({SEGMENT}) t(i) WHERE i < n),
+sizes AS (SELECT n, sum(w * w) AS ww FROM win GROUP BY n),
+tapered AS (SELECT rec_id, seg, segs.n, segs.i, (x - mu) * w AS y FROM segs JOIN m USING (rec_id, seg) JOIN win ON win.i = segs.i AND win.n = segs.n),
+dft AS (SELECT rec_id, seg, n, k, sum(y * cos(2 * pi() * k * i / n::DOUBLE)) AS re, sum(y * sin(2 * pi() * k * i / n::DOUBLE)) AS im
+        FROM tapered, range({SEGMENT // 2 + 1}) t(k) WHERE k <= n // 2 GROUP BY ALL),
+psd AS (SELECT rec_id, seg, k * {FS} / n::DOUBLE AS f,
+               (re * re + im * im) / ({FS} * ww) * CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END AS p FROM dft JOIN sizes USING (n))"""
 
 
 def peak_detection(spark, d):
@@ -88,7 +90,7 @@ def st_deviation(spark, d):
 
 _QRS_SQL = f"""WITH {_PEAKS},
 near AS (SELECT c.rec_id, c.seg, c.p, x FROM placed c JOIN segs s ON s.rec_id = c.rec_id AND s.seg = c.seg
-         AND s.i >= c.p - {_QRS} AND s.i < c.p + {_QRS} WHERE n > 1),
+         AND s.i >= c.p - {_QRS} AND s.i < c.p + {_QRS} WHERE c.n > 1),
 facts AS (SELECT rec_id, seg, p, avg(x) AS mu, max(x) AS hi, 0.1::DOUBLE * (max(x) - min(x)) + min(x) AS t, min(x) AS lo FROM near GROUP BY ALL),
 widths AS (SELECT rec_id, seg, p, CASE WHEN any_value(hi) = any_value(lo) THEN 0.0 ELSE count(*) FILTER (abs(x - mu) > t) / {FS}.0::DOUBLE END AS w
            FROM near JOIN facts USING (rec_id, seg, p) GROUP BY ALL),
@@ -106,19 +108,21 @@ def _wavelet_sql():
     low = list(reversed(features.DB4.tolist()))
     high = [(-1.0 if j % 2 == 0 else 1.0) * v for j, v in enumerate(features.DB4.tolist())]
     taps = ", ".join(f"({j}, {low[j]!r}::DOUBLE, {high[j]!r}::DOUBLE)" for j in range(8))
-    n1 = (SEGMENT + 7) // 2
-    n2 = (n1 + 7) // 2
 
-    def level(name, source, n, out):
-        at = f"(2 * k + 1 - j)"
-        return f"""{name} AS (SELECT rec_id, seg, k, sum(x * lo) AS a, sum(x * hi) AS d FROM range({out}) t(k), taps, {source} s
-            WHERE s.i = CASE WHEN {at} < 0 THEN -{at} - 1 WHEN {at} >= {n} THEN {2 * n - 1} - {at} ELSE {at} END GROUP BY ALL)"""
-
-    return f"""WITH {SEGMENTS}, taps(j, lo, hi) AS (VALUES {taps}),
-{level("l1", "segs", SEGMENT, n1)}, s1 AS (SELECT rec_id, seg, k AS i, a AS x FROM l1), {level("l2", "s1", n1, n2)}
-SELECT rec_id, seg, 0 AS band, round(avg(abs(a)), {R}) + 0.0 AS energy FROM l2 GROUP BY ALL
+    def level(name, source, least):
+        at = "(2 * k + 1 - j)"
+        place = f"CASE WHEN {at} < 0 THEN -{at} - 1 WHEN {at} >= s.n THEN 2 * s.n - 1 - {at} ELSE {at} END"
+        return f"""{name} AS (SELECT rec_id, seg, size, k, (s.n + 7) // 2 AS n, sum(x * lo) AS a, sum(x * hi) AS d
+            FROM range({SEGMENT}) t(k), taps, {source} s WHERE size >= {least} AND k < (s.n + 7) // 2 AND s.i = {place} GROUP BY ALL)"""
+
+    return f"""WITH {SEGMENTS}, taps(j, lo, hi) AS (VALUES {taps}), s0 AS (SELECT *, n AS size FROM segs),
+{level("l1", "s0", 14)}, s1 AS (SELECT rec_id, seg, size, n, k AS i, a AS x FROM l1), {level("l2", "s1", 28)}
+SELECT rec_id, seg, 0 AS band, round(avg(abs(x)), {R}) + 0.0 AS energy FROM s0 WHERE size < 14 GROUP BY ALL
+UNION ALL SELECT rec_id, seg, 0, round(avg(abs(a)), {R}) + 0.0 FROM l1 WHERE size < 28 GROUP BY ALL
+UNION ALL SELECT rec_id, seg, 1, round(avg(abs(d)), {R}) + 0.0 FROM l1 WHERE size < 28 GROUP BY ALL
+UNION ALL SELECT rec_id, seg, 0, round(avg(abs(a)), {R}) + 0.0 FROM l2 GROUP BY ALL
 UNION ALL SELECT rec_id, seg, 1, round(avg(abs(d)), {R}) + 0.0 FROM l2 GROUP BY ALL
-UNION ALL SELECT rec_id, seg, 2, round(avg(abs(d)), {R}) + 0.0 FROM l1 GROUP BY ALL"""
+UNION ALL SELECT rec_id, seg, 2, round(avg(abs(d)), {R}) + 0.0 FROM l1 WHERE size >= 28 GROUP BY ALL"""
 
 
 def roughness(spark, d):
@@ -156,7 +160,7 @@ PLANS = {
     "power_spectrum": (
         power_spectrum,
         f"""{_SPECTRUM} SELECT rec_id, seg, round(sum(p), {R}) + 0.0 AS total, round(max(p), {R}) + 0.0 AS peak,
-            round(arg_max(f, p), {R}) + 0.0 AS peak_freq FROM psd GROUP BY 1, 2""",
+            round((list(f ORDER BY round(p, 12) DESC, f))[1], {R}) + 0.0 AS peak_freq FROM psd GROUP BY 1, 2""",
     ),
     "spectral_centroid": (
         spectral_centroid,
@@ -179,7 +183,8 @@ PLANS = {
     ),
     "st_deviation": (
         st_deviation,
-        f"""WITH {_PEAKS}, lasts AS (SELECT rec_id, seg, ps[-1] AS b, least(ps[-1] + {_ST}, {SEGMENT - 1}) AS later FROM chosen WHERE len(ps) > 1),
+        f"""WITH {_PEAKS}, ns AS (SELECT rec_id, seg, any_value(n) AS n FROM segs GROUP BY ALL),
+            lasts AS (SELECT rec_id, seg, ps[-1] AS b, least(ps[-1] + {_ST}, n - 1) AS later FROM chosen JOIN ns USING (rec_id, seg) WHERE len(ps) > 1),
             t AS (SELECT l.rec_id, l.seg, y.x - z.x AS dev FROM lasts l JOIN segs y ON y.rec_id = l.rec_id AND y.seg = l.seg AND y.i = later
                   JOIN segs z ON z.rec_id = l.rec_id AND z.seg = l.seg AND z.i = b)
             SELECT rec_id, seg, round(coalesce(dev, 0.0), {R}) + 0.0 AS deviation {_LEFT} t USING (rec_id, seg)""",
@@ -198,6 +203,8 @@ PLANS = {
     "feature_vector": (feature_vector, None),
     "feature_vector_width": (
         feature_vector_width,
-        f"WITH {SEGMENTS} SELECT 21 AS width, count(DISTINCT (rec_id, seg)) AS segments FROM segs",
+        # 18 values and the bands of the wavelet: one, two from 14 samples, three from 28.
+        f"""WITH {SEGMENTS}, ns AS (SELECT rec_id, seg, any_value(n) AS n FROM segs GROUP BY ALL)
+            SELECT (CASE WHEN n < 14 THEN 19 WHEN n < 28 THEN 20 ELSE 21 END)::INT AS width, count(*) AS segments FROM ns GROUP BY 1""",
     ),
 }

@@ -265,7 +265,7 @@ def batch_padding(spark, d):
 
 # --- questions, requests, answers ------------------------------------------
 def question_prompts(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", prompts.question_prompt(F.col("text")).alias("p"))
+    docs = table(spark, d, "documents").select("doc_id", prompts.question_prompt(F.col("text"), prompts.question_sheet(spark)).alias("p"))
     return docs.select("doc_id", F.length("p").alias("chars"), F.md5("p").alias("prompt_md5"))
 
 
@@ -296,6 +296,46 @@ def request_payload(spark, d):
 
 _STRIP = f"regexp_replace(text, '^{WHITESPACE}|{WHITESPACE}$', '', 'g')"
 
+# Fixed value: the sheet of questions as it has to read.
+_SHEET = """
+## QRS Section
+
+QRS: Is a QRS complex present?
+  Choices: ["Yes", "No (Asystole)"]
+
+Pacing: Is pacing present?
+  Choices: ["Yes", "No"]
+
+Axis: What is the axis of the QRS complex?
+  Choices: ["normal", "Right/LPFB", "Left/LAFB", "NW"]
+
+Lead reversal: Is there a lead reversal present?
+  Choices: ["No", "LA/RA", "LA/LL", "RA/RL", "Other"]
+
+Rate: What is the rate of the QRS complex?
+  Choices: ["Bradycardia", "Tachycardia", "Normal"]
+
+Amplitude: What is the amplitude of the QRS complex?
+  Choices: ["Normal", "LVH/RVH", "Low"]
+
+Preexcitation: Is there a preexcitation present?
+  Choices: ["Yes", "No"]
+
+AP: What is the accessory pathway (AP)?
+  Choices: ["Normal", "Right/LPFB", "Left/LAFG", "NW"]
+
+Duration: What is the duration of the QRS complex in milliseconds?
+  Choices: ["<110", ">120", "110-120"]
+
+## Noise Artifacts Section
+
+Noise artifacts: What kind of noise artifacts are present?
+  Choices: ["Missing lead", "LVAD", "Other noise"]
+
+## T Section
+
+T: What is the morphology of the T wave?
+  Choices: ["Normal", "Peaked", "Inverted", "Nonspecific"]"""
 PLANS = {
     "chat_normalisation": (
         chat_normalisation,
@@ -375,9 +415,13 @@ PLANS = {
     ),
     "question_prompts": (
         question_prompts,
-        f"""WITH p AS (SELECT doc_id, 'Given the ECG diagnosis: "' || text || '"' || chr(10) || chr(10) || 'Answer the following questions about this ECG:'
-            || chr(10) || chr(10) || {_quoted(prompts.questions_section())} || chr(10) || chr(10)
-            || 'Respond with a JSON object containing your answers.' AS p FROM documents)
+        f"""WITH p AS (SELECT doc_id, 'Given the ECG diagnosis: "' || text || '"
+
+Answer the following questions about this ECG:
+
+{_SHEET}
+
+Respond with a JSON object containing your answers.' AS p FROM documents)
             SELECT doc_id, length(p)::INT AS chars, md5(p) AS prompt_md5 FROM p""",
     ),
     "answer_intake": (

@@ -6,9 +6,9 @@ from sigspark.functions.json import decoded_json
 from sigspark.sources import schemas
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header row, quoted line breaks and an explicit schema."""
-    return spark.read.schema(schema).options(header=True, multiLine=True, escape='"').csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str, line_breaks: bool = True) -> DataFrame:
+    """CSV with a header row and an explicit schema. Files without quoted line breaks can be split: ``line_breaks=False``."""
+    return spark.read.schema(schema).options(header=True, multiLine=line_breaks, escape='"').csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

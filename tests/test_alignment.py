@@ -42,6 +42,7 @@ def test_block_counts():
     assert alignment._block_count(10, 8) == 1
     assert alignment._block_count(100_000, 8) == 6
     assert alignment._block_count(10_000_000, 1000) == 306
+    assert alignment._block_count(10_000_000, 8, 2 * 8192) == 9766  # 1024 rows of 128 KB each
 
 
 def test_neighbours_in_blocks(knn, data):

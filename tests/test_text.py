@@ -177,8 +177,10 @@ def test_budget_fails_when_nothing_fits(spark):
         df.select(out).collect()
 
 
-def test_question_section_leaves_out_unordered_keys():
-    text = prompts.questions_section()
+def test_question_section_leaves_out_unordered_keys(spark):
+    text = prompts.question_sheet(spark).first()["sheet"]
+    empty = prompts.question_sheet(spark, sections=["None", "T"]).first()["sheet"]
+    assert empty.startswith("\n## None Section\n\n## T Section\n\nT: What")
     assert text.startswith('\n## QRS Section\n\nQRS: Is a QRS complex present?\n  Choices: ["Yes", "No (Asystole)"]')
     assert ">120:" not in text and text.count("Choices") == 11
 

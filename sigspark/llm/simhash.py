@@ -77,7 +77,9 @@ def fold(parts: list[np.ndarray], count: int) -> np.ndarray:
                         ones[0] += np.unpackbits(hk[s : s + SHINGLES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
                 else:
                     bits = np.unpackbits(hk.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    ones = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int64)
+                    ends = np.cumsum(sizes)
+                    for i, (x, y) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):  # several times as fast as one reduceat
+                        bits[x:y].sum(axis=0, dtype=np.int64, out=ones[i])
                 major = (ones * 2 > sizes[:, None]).astype(np.uint8)
                 out[some, k] = np.packbits(major, axis=1, bitorder="little").view(np.uint64)[:, 0]
         at = end

@@ -386,16 +386,15 @@ def hexadecimal(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Of the pipeline: five words, and a similarity of 0.8. Cosine 0.89 of two such texts means 15 % of 512 bits;
-#: one standard deviation more is let through.
-STAGE = {"shingle": 5, "count": 8, "radius": 12, "blocks": 4, "total_radius": 86}
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id.
 
-    A document whose doc_id is null, or that shares the smallest doc_id of its group, stays.
+    Near copies have a similarity of five-word shingles of 0.8 or more; all such
+    pairs count. A document whose doc_id is null, or that shares the smallest
+    doc_id of its group, stays.
     """
-    groups = near_duplicates(docs, **STAGE)
+    from sigspark.llm import similar
+
+    groups = similar.near_copies(docs)
     gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.select(*DOCUMENT_COLUMNS).join(gone, "doc_id", "left_anti")

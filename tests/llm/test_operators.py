@@ -128,6 +128,39 @@ def test_stage_near_its_limit(spark):
     assert len(kept & set(range(1000, 1100))) <= 20
 
 
+def _similar(a, b):
+    """Similarity of the five-word shingles of two texts, plainly."""
+    sets = []
+    for text in (a, b):
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def test_stage_joins_every_similar_pair(spark, monkeypatch):
+    """Pairs on both sides of the limit of 0.8, beside a common passage; no shard or fingerprint decides."""
+    monkeypatch.setattr(simhash, "LARGE_SHARD", 8)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage = [word() for _ in range(40)]
+    texts = []
+    for i in range(60):
+        words = passage + [word() for _ in range(260)]
+        texts.append(" ".join(words))
+        for changes in (5, 6, 7, 8):
+            other = list(words)
+            for k in rng.sample(range(8, 58), changes):
+                other[k * 5] = word()
+            texts.append(" ".join(other))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = brute.reach(list(range(len(texts))), texts, lambda a, b: _similar(a, b) >= 0.8)
+    from sigspark.llm import similar
+
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_copies(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) > 60
+    assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == set(want)
+
+
 def test_odd_rows_simhash(odd, none):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)

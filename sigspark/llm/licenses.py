@@ -1,9 +1,10 @@
 """License scan: an exact containment join of text blocks with license templates."""
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -145,17 +146,76 @@ def _places(words: list[bytes]) -> list[tuple[int, str]]:
     return out
 
 
+def _windows(words: list[bytes], wanted: set, length: int, least: int) -> list[tuple[int, int, int]]:
+    """(first word, last word, distinct words of the template) of windows that hold enough; the best of those that overlap.
+
+    A window has at most ``length`` words and starts anywhere in the text.
+    """
+    spots = [i for i, w in enumerate(words) if w in wanted]
+    held, left, out = Counter(), 0, []
+    for i in spots:
+        held[words[i]] += 1
+        while i - spots[left] >= length or held[words[spots[left]]] > 1:  # a later copy of the first word stands for it
+            w = words[spots[left]]
+            held[w] -= 1
+            if not held[w]:
+                del held[w]
+            left += 1
+        if len(held) >= least:
+            hit = (spots[left], i, len(held))
+            if not out or hit[0] > out[-1][1]:
+                out.append(hit)
+            elif hit[2] > out[-1][2]:
+                out[-1] = hit
+    return out
+
+
+def find_blocks(text: bytes, words: list[bytes], index: TemplateIndex, lengths: list[int]) -> list[tuple[int, int, float]]:
+    """(line, template, containment) of lines, word windows and paragraphs that hold a template, by line.
+
+    A window is as long as the template and may cross lines, so wrapping loses
+    nothing. A window counts where no line holds as much, a paragraph where neither does.
+    """
+    # What a block holds, the whole text holds too.
+    possible = index.matches(set(words))
+    if not possible:
+        return []
+    lines = [folded_words(line) for line in text.split(b"\n")]
+    hits = [(n, n, t, c) for n, ws in enumerate(lines) for t, c in index.matches(set(ws))]
+    ends = list(accumulate(map(len, lines)))
+    vocabulary = {r: w for w, r in index.rank.items()}
+
+    def add(first: int, last: int, t: int, c: float) -> None:
+        if not any(u == t and a <= last and first <= b and c <= d for a, b, u, d in hits):
+            hits.append((first, last, t, c))
+
+    for t, _ in possible:
+        wanted = {vocabulary[r] for r in index.words[t]}
+        for first, last, n in _windows(words, wanted, lengths[t], index.least[t]):
+            add(bisect_right(ends, first), bisect_right(ends, last), t, n / len(wanted))
+    n = 0
+    for filled, group in groupby(lines, bool):
+        size = sum(1 for _ in group)
+        if filled and size > 1:
+            for t, c in index.matches(set().union(*lines[n : n + size])):
+                add(n, n + size - 1, t, c)
+        n += size
+    return [(first, t, c) for first, _, t, c in sorted(hits, key=lambda h: h[0])]
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Phrases and template blocks of every whole text.
 
-    Needs ``doc_id`` and ``text``. A block is a line; ``blocks`` lists line
-    number, label and containment of every line that holds a template to the
-    threshold, ``score`` is the best containment, 1 where a phrase stands and 0
+    Needs ``doc_id`` and ``text``. A block is a line, a paragraph, or a window
+    of as many words as the template has, anywhere in the text; ``blocks`` lists
+    number of the first line, label and containment of every block that holds a
+    template to the threshold, ``score`` is the best containment, 1 where a phrase stands and 0
     without any finding. Null and empty texts have no words and no findings.
     Repeated rows are scanned each; an empty table gives no rows.
     """
     sets = template_sets(templates)
     index = TemplateIndex(sets, word_frequencies(docs, sets), threshold)
+    lengths = [len(folded_words(t.encode())) for ts in (templates or TEMPLATES).values() for t in ts]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,10 +223,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch, "text")):
                 words = folded_words(text)
                 places = _places(words) if b"license" in words else []
-                blocks = []
-                if not index.openers.isdisjoint(words):
-                    for n, line in enumerate(text.split(b"\n")):
-                        blocks += [(n, t, c) for t, c in index.matches(set(folded_words(line)))]
+                blocks = find_blocks(text, words, index, lengths)
                 base = {label for _, label in places}
                 every = base | {index.labels[t] for _, t, _ in blocks}
                 starts = [at for at, _ in places]

@@ -369,6 +369,25 @@ def test_licenses(spark, odd, none, texts):
     assert licenses.scan(none).collect() == []
 
 
+def test_wrapped_licenses(spark):
+    """Every template, wrapped at several widths inside other text, bare and as a comment."""
+    import textwrap
+
+    rows, want = [], {}
+    for label, templates in licenses.TEMPLATES.items():
+        for template in templates:
+            for width in (30, 72, 80):
+                for mark in ("", "# ", " * "):
+                    body = "\n".join(mark + line for line in textwrap.wrap("Copyright (c) someone. " + template + ". More text follows.", width))
+                    want[len(rows)] = label
+                    rows.append((len(rows), f"/* some file\n{mark}\n{body}\n\nint main;\n"))
+    rows.append((len(rows), "nothing of that kind\nstands in\nthese lines"))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, label in want.items():
+        assert label in got[d]["labels"].split(",") and max(b["containment"] for b in got[d]["blocks"] if b["template"] == label) == 1.0
+    assert got[len(rows) - 1]["blocks"] == []
+
+
 def test_license_join_finds_all():
     rng = random.Random(2)
     words = [f"w{i}".encode() for i in range(40)]

@@ -166,22 +166,18 @@ def _united(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarr
     return label
 
 
-def close_pairs(values: np.ndarray, shard: np.ndarray, radius: int, accept=None) -> np.ndarray:
+def close_pairs(values: np.ndarray, shard: np.ndarray, radius: int) -> np.ndarray:
     """Label of every value: values that a chain of pairs within the radius joins inside their shard share one.
 
     Trees are searched from the roots: at a node with distance d to the query
     only edges from d - radius to d + radius are followed. A subtree all of whose
     nodes are joined to the query already has nothing to add and is passed by.
-    ``accept`` may refuse pairs (arrays of places).
     """
     n = len(values)
     forest = plant(values, shard)
     label = np.arange(n)
     kids = np.flatnonzero((forest.parent >= 0) & (forest.edge <= radius))
     own, up = kids, forest.parent[kids]
-    if accept is not None and len(own):
-        ok = accept(own, up)
-        own, up = own[ok], up[ok]
     label = _united(n, own, up, label)
     root = np.r_[True, shard[1:] != shard[:-1]] if n else np.empty(0, bool)
     roots = np.flatnonzero(root)
@@ -217,9 +213,6 @@ def close_pairs(values: np.ndarray, shard: np.ndarray, radius: int, accept=None)
             node = forest.child[np.repeat(hi - np.cumsum(many), many) + np.arange(many.sum())] if len(query) else query
         if pairs:
             a, b = (np.concatenate(x) for x in zip(*pairs))
-            if accept is not None:
-                ok = accept(a, b)
-                a, b = a[ok], b[ok]
             label = _united(n, a, b, label)
         at = end
     return label
@@ -255,33 +248,16 @@ def _shards(keys: DataFrame, width: int, blocks: int) -> DataFrame:
     return placed.select("lane", "block", "bits", "item", "fps", cut).select("lane", "block", "bits", "c.second", "c.more", "item", "fps")
 
 
-def _lane_labels(fps: np.ndarray, values: np.ndarray, shard: np.ndarray, radius: int, total_radius: int) -> np.ndarray:
-    """Labels of rows sorted by shard and value, where rows of one value may differ in their other fingerprints."""
-
-    def near(a, b):
-        return np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64) <= total_radius
-
-    new = np.r_[True, (shard[1:] != shard[:-1]) | (values[1:] != values[:-1])]
-    first = np.flatnonzero(new)
-    of = np.cumsum(new) - 1
-    label = first[close_pairs(values[first], shard[first], radius, lambda a, b: near(first[a], first[b]))][of]
-    # A value has one node. Its further rows are held against the node's row and the row before.
-    more = np.flatnonzero(~new)
-    label[more] = more
-    a, b = np.r_[more, more], np.r_[first[of[more]], more - 1]
-    ok = near(a, b)
-    return _united(len(values), a[ok], b[ok], label)
-
-
-def links(keys: DataFrame, count: int = 1, radius: int = RADIUS, blocks: int = BLOCKS, total_radius: int | None = None) -> DataFrame:
+def links(keys: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(a, b): links that join the same items as all pairs within the radius in a shared shard.
 
-    ``keys`` has one row for each distinct ``fps`` with its ``item``. For one
-    fingerprint and more blocks than the radius the result is exact. With
-    ``total_radius`` a pair counts only if all fingerprints together differ in
-    that many bits at most.
+    ``keys`` has one row for each distinct ``fps``, of one fingerprint, with its
+    ``item``. There must be more blocks than the radius has bits; then the
+    result is exact.
     """
-    spread = _shards(keys, count, blocks)
+    if blocks <= radius:
+        raise ValueError(f"{blocks} blocks lose pairs within a radius of {radius}")
+    spread = _shards(keys, 1, blocks)
     spread = spread.repartition("lane", "block", "bits", "second", "more").sortWithinPartitions("lane", "block", "bits", "second", "more", "item")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     names = ["lane", "block", "bits", "second", "more"]
@@ -294,14 +270,9 @@ def links(keys: DataFrame, count: int = 1, radius: int = RADIUS, blocks: int = B
         item = rows.column("item").to_numpy()
         fps = rows.column("fps").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(item), -1)
         values = fps[np.arange(len(item)), rows.column("lane").to_numpy()]
-        # Equal fingerprints of this lane are one value, but may belong to several items.
         order = np.lexsort((values, shard))
-        item, fps, values, shard = item[order], fps[order], values[order], shard[order]
-
-        if count == 1:
-            label = close_pairs(values, shard, radius)
-        else:
-            label = _lane_labels(fps, values, shard, radius, total_radius)
+        item, values, shard = item[order], values[order], shard[order]
+        label = close_pairs(values, shard, radius)
         far = label != np.arange(len(label))
         yield pa.record_batch([pa.array(item[far]), pa.array(item[label[far]])], schema=schema)
 
@@ -361,9 +332,7 @@ def components(edges: DataFrame) -> DataFrame:
     return place.select("item", F.col("at").alias("component"))
 
 
-def near_duplicates(
-    docs: DataFrame, shingle: int = 3, count: int = 1, radius: int = RADIUS, blocks: int = BLOCKS, total_radius: int | None = None
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, fps, component_id): the smallest doc_id that a document is linked to, itself included.
 
     Needs ``doc_id`` and ``text``. Null and empty texts have the fingerprint
@@ -371,11 +340,10 @@ def near_duplicates(
     rows with a null doc_id are kept and count as the largest id.
     Repeated rows come out each. An empty table gives no rows.
     """
-    rows = stored(fingerprints(docs, shingle, count), "fingerprints")
+    rows = stored(fingerprints(docs, shingle), "fingerprints")
     items = rows.groupBy("fps").agg(F.min("doc_id").alias("least"))
-    item = F.col("fps")[0] if count == 1 else F.coalesce("least", F.xxhash64("fps"))
-    items = stored(items.withColumn("item", item), "items")
-    found = components(links(items, count, radius, blocks, total_radius))
+    items = stored(items.withColumn("item", F.col("fps")[0]), "items")
+    found = components(links(items, radius, blocks))
     placed = items.join(found, "item", "left").select("fps", "least", F.coalesce("component", "item").alias("component"))
     lowest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     named = placed.join(lowest, "component").select("fps", "component_id")

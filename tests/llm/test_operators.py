@@ -89,6 +89,11 @@ def test_simhash_links_equal_all_pairs(spark, monkeypatch, large):
     assert len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_links_refuse_a_radius_that_loses_pairs(spark):
+    with pytest.raises(ValueError):
+        simhash.links(_fingerprints(spark, [1, 3]), radius=4)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     label = {r["item"]: r["component"] for r in simhash.components(edges).collect()}

@@ -27,11 +27,13 @@ from sigspark.llm.common import as_bytes, stored
 #: Terms in UTF-8, after A-Z are lower-cased: digits, letters, and all that is not ASCII.
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: A part of a stratum ends with the document that reaches so many postings; a larger stratum has several parts.
-PART_POSTINGS = 400_000
+PART_POSTINGS = 300_000
 #: Items are searched in blocks of so many bytes of distinct terms; a block is broadcast.
 BLOCK_BYTES = 4_000_000
 #: Strata times terms of the items, at most, in a table of bounds.
 CELLS = 2_000_000
+#: Postings of strata that are visited together, at most, unless one stratum has more.
+POSTINGS_AT_ONCE = 1_500_000
 #: Items whose bounds are worked out together.
 ITEMS_AT_ONCE = 256
 BEST = 10
@@ -53,6 +55,12 @@ class Index(NamedTuple):
     occurrences: int  # L, all terms with repeats
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for s in range(0, batch.num_rows, rows):
+            yield batch.slice(s, rows)
+
+
 def forward(docs: DataFrame) -> DataFrame:
     """(doc_id, n, terms, tfs): terms of every whole text, once each, with blanks between, and their occurrences.
 
@@ -61,9 +69,9 @@ def forward(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("terms", pa.binary()), ("tfs", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for some in _slices(batches, 1024):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch, "text")):
+            for doc_id, text in zip(some.column("doc_id").to_pylist(), as_bytes(some, "text")):
                 counts = Counter(TERM.findall(text.lower()))
                 if counts:
                     tfs = np.fromiter(counts.values(), np.int32, len(counts))
@@ -139,8 +147,8 @@ def build(docs: DataFrame) -> Index:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, postings = [], 0
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("m", "doc_id", "terms", "tfs"))):
+        for some in _slices(batches, 64):
+            for row in zip(*(some.column(c).to_pylist() for c in ("m", "doc_id", "terms", "tfs"))):
                 rows.append(row)
                 postings += len(row[3]) // 4
                 if postings >= PART_POSTINGS:
@@ -222,7 +230,7 @@ class _Search:
         group_end = np.cumsum(flat["groups"])
         group, n_groups = (group_end - flat["groups"])[entry], flat["groups"][entry]
         posting = np.cumsum(flat["sizes"]) - flat["sizes"]  # all postings stand in one row, stratum by stratum
-        flat["postings"] = flat["postings"] + np.repeat(first["docs"][:-1], np.diff(first["postings"]))
+        flat["postings"] = flat["postings"] + np.repeat(first["docs"][:-1].astype(np.int32), np.diff(first["postings"]))
         # Once for each term, stratum and number of occurrences, whatever the documents.
         value = impact(flat["tfs"], np.repeat(m, np.diff(first["tfs"])))
         # Occurrences of a term ascend, so its last group has the highest impact.
@@ -268,10 +276,15 @@ def _found(index: Index, block: Block, best: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = _Search(shared.value, best)
+        most = max(1, CELLS // len(shared.value.words))
         for batch in batches:
-            some = max(1, CELLS // len(shared.value.words))
-            for s in range(0, batch.num_rows, some):
-                search.see(batch.slice(s, some))
+            held = np.cumsum(batch.column("postings").value_lengths().to_numpy())
+            s = 0
+            while s < batch.num_rows:  # as many strata as have bounded tables, one at least
+                rows = int(np.searchsorted(held, (held[s - 1] if s else 0) + POSTINGS_AT_ONCE, side="right")) - s
+                rows = min(max(rows, 1), most)
+                search.see(batch.slice(s, rows))
+                s += rows
         n = [len(x) for x in search.score]
         nth = np.repeat(np.arange(len(n)), n)
         ids = pa.array(shared.value.items, pa.int64()).take(pa.array(nth))

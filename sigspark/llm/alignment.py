@@ -17,6 +17,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +123,10 @@ class Aligner:
         self.bytes_a = {i: bytes(map(code, t)) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         pieces = [self.b.id_to_piece(i).replace("▁", " ") for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.encode() for i, p in enumerate(pieces)]
+        self.size_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)])
+        self.size_b = np.array([len(x) for x in self.bytes_b])
+        # Numbers with what follows them: a further token of the side, the other side, the next group.
+        self.name = np.array([[f"{i},", f"{i}|", f"{i};"] for i in range(max(len(self.size_a), len(self.size_b)))], object)
         # A text may be cut before white space that follows other characters: no token of the
         # first side has such a place inside, and none of the second if the character never
         # stands there, nor behind the blank that the second side puts in front.
@@ -134,26 +139,51 @@ class Aligner:
 
     def unit_of(self, text: str, a: list[int], b: list[int]) -> Unit:
         """Groups of one unit from the tokens of both sides."""
-        tokens_a, tokens_b, own = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b], text.encode()
+        bytes_a, bytes_b, own = self.bytes_a, self.bytes_b, text.encode()
         if text[0] != " ":
             # The second side puts a blank in front, which no token has together with what follows here.
-            if not b or tokens_b[0] != b" ":
+            if not b or bytes_b[b[0]] != b" ":
                 return DIFFERENT
-            b, tokens_b = b[1:], tokens_b[1:]
-        if b"".join(tokens_a) != own or b"".join(tokens_b) != own:
+            b = b[1:]
+        if b"".join([bytes_a[k] for k in a]) != own or b"".join([bytes_b[k] for k in b]) != own:
             return DIFFERENT
-        groups, i, j, end_a, end_b, first_i, first_j = [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if end_a <= end_b:
-                end_a, i = end_a + len(tokens_a[i]), i + 1
-            else:
-                end_b, j = end_b + len(tokens_b[j]), j + 1
-            if end_a == end_b:
-                groups.append((a[first_i:i], b[first_j:j]))
-                first_i, first_j = i, j
-        said = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
-        links = array("q", [k << 32 | n for x, y in groups for k in x for n in y])
-        return said, len(a) << 32 | len(b), links.tobytes()
+        end_a, end_b = list(accumulate([len(bytes_a[k]) for k in a])), list(accumulate([len(bytes_b[k]) for k in b]))
+        said, links, i, j = [], [], 0, 0
+        for end in sorted(set(end_a).intersection(end_b)):
+            to_i, to_j = end_a.index(end, i) + 1, end_b.index(end, j) + 1
+            x, y = a[i:to_i], b[j:to_j]
+            said.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
+            links += [k << 32 | n for k in x for n in y]
+            i, j = to_i, to_j
+        return ";".join(said), len(a) << 32 | len(b), array("q", links).tobytes()
+
+    def together(self, units: list[str]) -> list[Unit]:
+        """The same for many units that begin with a blank: in a row, they are a text that is cut between them."""
+        text = "".join(units)
+        a = np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        b = np.array(self.b.encode(text[1:]))
+        if b"".join([self.bytes_b[k] for k in b.tolist()]) != text.encode():
+            return [self.unit_of(u, self.a.encode(u, add_special_tokens=False).ids, self.b.encode(u[1:])) for u in units]
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        both = np.intersect1d(end_a, end_b, assume_unique=True)
+        of_a, of_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)  # group of each token
+        n_a, n_b = np.bincount(of_a, minlength=len(both)), np.bincount(of_b, minlength=len(both))
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        said = np.empty(len(a) + len(b), object)
+        said[np.arange(len(a)) + first_b[of_a]] = self.name[a, np.where(np.isin(end_a, both), 1, 0)]
+        said[np.arange(len(b)) + (first_a + n_a)[of_b]] = self.name[b, np.where(np.isin(end_b, both), 2, 0)]
+        # All links of a group: each token of one side with each of the other.
+        links = n_a * n_b
+        of_link = np.repeat(np.arange(len(both)), links)
+        nth = np.arange(len(of_link)) - (np.cumsum(links) - links)[of_link]
+        pair = a[first_a[of_link] + nth // n_b[of_link]] << 32 | b[first_b[of_link] + nth % n_b[of_link]]
+        last = np.searchsorted(both, np.cumsum([len(u.encode()) for u in units])) + 1
+        ends = [np.append(0, np.cumsum(x))[last].tolist() for x in (n_a, n_b, links)]
+        said, pair, out, i, j, k = said.tolist(), pair.astype(np.int64).tobytes(), [], 0, 0, 0
+        for to_i, to_j, to_k in zip(*ends):
+            out.append(("".join(said[i + j : to_i + to_j])[:-1], (to_i - i) << 32 | (to_j - j), pair[8 * k : 8 * to_k]))
+            i, j, k = to_i, to_j, to_k
+        return out
 
     def units(self, texts: list[str | None]) -> list[list[Unit]]:
         """The units of each text; units not met before are encoded together."""
@@ -167,12 +197,12 @@ class Aligner:
                     self.known[u] = self.older[u]
                 else:
                     new.append(u)
-        for s in range(0, len(new), 4096):
-            some = new[s : s + 4096]
-            a = self.a.encode_batch_fast(some, add_special_tokens=False)
-            b = self.b.encode([u[1:] if u[0] == " " else u for u in some], num_threads=1)
-            for u, x, y in zip(some, a, b):
-                self.known[u] = self.unit_of(u, x.ids, y)
+        plain = [u for u in new if u[0] == " " and "▁" not in u]
+        for s in range(0, len(plain), 2048):
+            self.known.update(zip(plain[s : s + 2048], self.together(plain[s : s + 2048])))
+        for u in new:
+            if u[0] != " " or "▁" in u:
+                self.known[u] = self.unit_of(u, self.a.encode(u, add_special_tokens=False).ids, self.b.encode(u[1:] if u[0] == " " else u))
         out = [[self.known[u] for u in units] for units in cut]
         for u in new:
             if len(u) > LONGEST:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import audio, bpe, language, licenses, mixing, quality, search, sharding, simhash, suffix, warc
+from sigspark.llm import alignment, audio, bpe, language, licenses, mixing, quality, repair, search, sharding, simhash, suffix, warc
 from sigspark.llm.common import table
 
 
@@ -65,11 +65,19 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(search.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_sharding, op3_suffix, op4_mixing, op5_warc, op6_bpe, op7_licenses, op8_language, op9_audio, op10_quality,
-        op11_search,
+        op11_search, op12_repair, op13_alignment,
     )
 }
 ORACLES = {"op4_mixing": mixing.SQL, "op11_search": search.SQL}

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigspark.functions.session import sized
 from sigspark.llm.common import as_bytes, stored
 
 #: Terms in UTF-8, after A-Z are lower-cased: digits, letters, and all that is not ASCII.
@@ -62,11 +63,11 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
 
 
 def forward(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, terms, tfs): terms of every whole text, once each, with blanks between, and their occurrences.
+    """(doc_id, n, k, terms, tfs): terms of every whole text, k of them, once each with blanks between, and their occurrences.
 
     Texts without a term, null and empty ones among them, have no row.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("terms", pa.binary()), ("tfs", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k", pa.int64()), ("terms", pa.binary()), ("tfs", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _slices(batches, 1024):
@@ -75,11 +76,11 @@ def forward(docs: DataFrame) -> DataFrame:
                 counts = Counter(TERM.findall(text.lower()))
                 if counts:
                     tfs = np.fromiter(counts.values(), np.int32, len(counts))
-                    rows.append((doc_id, int(tfs.sum(dtype=np.int64)), b" ".join(counts), tfs.tobytes()))
+                    rows.append((doc_id, int(tfs.sum(dtype=np.int64)), len(tfs), b" ".join(counts), tfs.tobytes()))
             yield pa.record_batch([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(work, "doc_id long, n long, terms binary, tfs binary")
+    return rows.mapInArrow(work, "doc_id long, n long, k long, terms binary, tfs binary")
 
 
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -134,16 +135,20 @@ def _strata(rows: list[tuple]) -> pa.RecordBatch:
 def build(docs: DataFrame) -> Index:
     """The index of all documents; needs ``doc_id`` and ``text``, other columns are not read.
 
-    Documents are dealt out by ranges of the normaliser, and by a hash inside
-    one, so that a stratum with a third of all documents spreads over tasks. A
-    task writes parts of strata of bounded size. Repeated rows are documents of
+    Documents are dealt out by their normaliser, and by a hash inside one that has
+    more postings than a part should hold: a stratum with a third of all documents
+    spreads over tasks. A task writes parts of strata of bounded size. Repeated rows are documents of
     their own. A document is counted by its terms; those without one are absent.
     """
     ahead = stored(forward(docs), "forward")
     n, total = ahead.agg(F.count(F.lit(1)), F.sum("n")).first()
     m = F.expr(f"10L + (90L * n * {n}L) div {total or 1}L")
-    rows = ahead.select(m.alias("m"), F.coalesce("doc_id", F.lit(UNNUMBERED)).alias("doc_id"), "terms", "tfs")
-    laid = rows.repartitionByRange("m", F.xxhash64("doc_id", "tfs")).sortWithinPartitions("m")
+    parts = ahead.groupBy(m.alias("m")).agg(F.ceil(F.sum("k") / PART_POSTINGS).alias("parts"))
+    doc_id = F.coalesce("doc_id", F.lit(UNNUMBERED))
+    # One row for each normaliser: its size is known once it is written, and a small table is broadcast.
+    rows = ahead.select(m.alias("m"), doc_id.alias("doc_id"), "terms", "tfs").join(sized(parts, "parts"), "m")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "tfs"), F.col("parts")))
+    laid = rows.repartition("m", "part").sortWithinPartitions("m", "part").select("m", "doc_id", "terms", "tfs")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, postings = [], 0

@@ -32,7 +32,7 @@ CHUNK = 8192
 #: A chunk also ends with the document that brings it to so many links of different pairs.
 CHUNK_PAIRS = 2_000_000
 #: Distinct units that a worker remembers, and the longest that is remembered, in characters.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 LONGEST = 256
 #: Documents whose units are looked up together.
 ROWS = 64

@@ -63,3 +63,16 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint; the data outlives the executors that wrote it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Deletes a table that ``sized`` or a like step wrote to the shared folder, once a later one has taken its place."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if not files:
+        return
+    folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    if root.toUri().getPath().rstrip("/") not in folder.toUri().getPath():
+        raise ValueError(f"{folder} is not below the shared folder")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -3,7 +3,6 @@
 Sequences are long tables (seq_id, pos, token_id); a vocabulary has a bounded
 number of entries, so per-token tables are small while sequences are not.
 """
-from pyspark.ml.feature import Word2Vec
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,26 +137,6 @@ def negatives(pairs: DataFrame, noise: DataFrame, k: int, seed=42, cells: int =
     return both.withColumn("negative", chosen).drop("_first", "_second")
 
 
-WORDS_PER_TASK = 4_000_000
-
-
-def train_vectors(
-    seqs: DataFrame, tokens: str = "tokens", dim: int = 128, width: int = 12, epochs: int = 10, seed: int = 42, partitions: int | None = None
-) -> DataFrame:
-    """(token_id, vector): skip-gram vectors from the ML library, which uses hierarchical softmax."""
-    words = seqs.select(F.transform(tokens, lambda t: t.cast("string")).alias("_words"))
-    # Windows do not end where the library would cut a long sequence; as many tasks as the sequences have words for.
-    longest, total = words.agg(F.max(F.size("_words")), F.sum(F.size("_words").cast("long"))).first()
-    partitions = partitions or max(8, -(-(total or 0) // WORDS_PER_TASK))
-    model = Word2Vec(
-        vectorSize=dim, windowSize=width, maxIter=epochs, seed=seed, minCount=1, numPartitions=partitions, maxSentenceLength=max(1, longest or 1),
-        inputCol="_words", outputCol="_v", stepSize=0.05,
-    ).fit(words.repartition(partitions, F.xxhash64("_words")).sortWithinPartitions(F.xxhash64("_words")))
-    from pyspark.ml.functions import vector_to_array
-
-    return model.getVectors().select(F.col("word").cast("int").alias("token_id"), vector_to_array("vector", "float32").alias("vector"))
-
-
 def renormalised(vector: Column) -> Column:
     """Unit length, in double precision."""
     v = vector.cast("array<double>")

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from sigspark.functions.arrays import rounded, unrolled
 from sigspark.functions.session import scratch_path
-from sigspark.operators import bpe, splits, tokens
+from sigspark.operators import bpe, splits, tokens, vectors
 from sigspark.plans.bindings import table
 from sigspark.plans.signals import PAIRS_SQL, SYMBOL_SQL, sql_uniform, symbol_table
 from sigspark.sources import tables
@@ -184,9 +184,10 @@ FROM draws JOIN real a ON u >= a.lo AND u < a.hi JOIN real b ON u2 >= b.lo AND u
 
 
 def token_vectors(spark, d):
-    """Trained vectors of the tokens; values depend on the ML library, so only the shape is checked."""
-    v = tokens.train_vectors(sequences(spark, d), dim=16, width=5, epochs=1, partitions=2)
-    return v.select("token_id", F.size("vector").alias("dim"))
+    """Trained vectors of the tokens; SQL states the tokens and dimensions, tests hold the values against one process."""
+    v = vectors.train(sequences(spark, d), dim=16, width=5, epochs=1, steps=2, per_token=1)
+    finite = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6))
+    return v.select("token_id", F.size("vector").alias("dim"), finite.alias("finite"))
 
 
 def vector_renormalisation(spark, d):
@@ -200,9 +201,9 @@ def top_tokens(spark, d):
 
 
 def vector_lookup(spark, d):
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("token_id"), F.col("embedding").alias("vector"))
+    known = table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("token_id"), F.col("embedding").alias("vector"))
     t = encoded(spark, d).select("seq_id", "pos", F.when(F.col("pos") % 5 == 4, tokens.PAD).otherwise(F.col("token_id")).alias("token_id"))
-    found = tokens.looked_up(t, vectors, 64)
+    found = tokens.looked_up(t, known, 64)
     return found.select("seq_id", "pos", rounded(F.element_at("vector", 1), 6).alias("first"), rounded(F.element_at("vector", 64), 6).alias("last"))
 
 
@@ -270,7 +271,7 @@ PLANS = {
     ),
     "sampled_skip_grams": (sampled_skip_grams, f"WITH {_SAMPLED} SELECT seq_id, pos, draw, center, context FROM sampled"),
     "negative_samples": (negative_samples, _NEGATIVE.replace("AS negative", "::INT AS negative").replace("END ::INT", "END::INT")),
-    "token_vectors": (token_vectors, None),
+    "token_vectors": (token_vectors, f"WITH {ENCODED_SQL} SELECT DISTINCT token_id, 16 AS dim, true AS finite FROM tokens"),
     "vector_renormalisation": (
         vector_renormalisation,
         """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE * 3.0::DOUBLE)) AS v FROM embeddings),

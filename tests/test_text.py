@@ -103,22 +103,6 @@ def test_tokenizer_round_trip(spark, tmp_path):
     assert vocab.filter("token_id = 200").first()["symbols"] == "<200>"
 
 
-def test_planted_pair_is_near(spark):
-    rng = random.Random(0)
-    seqs = []
-    for i in range(300):
-        group = [10, 11] if i % 2 else [20, 21]
-        seqs.append((i, [rng.choice(group) for _ in range(30)]))
-    df = spark.createDataFrame(seqs, "seq_id bigint, tokens array<int>")
-    one = tokens.train_vectors(df, dim=8, width=4, epochs=3, partitions=1)
-    v = {r["token_id"]: r["vector"] for r in one.select("token_id", tokens.renormalised(F.col("vector")).alias("vector")).collect()}
-    dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b]))
-    assert set(v) == {10, 11, 20, 21} and dot(10, 11) > dot(10, 20)
-    again = tokens.train_vectors(df, dim=8, width=4, epochs=3, partitions=1)
-    assert sorted(one.collect()) == sorted(again.collect())
-
-
-# --- labels ----------------------------------------------------------------
 def walked_labels(ids, watch):
     out, seen, inside, i = [-100] * len(ids), False, False, 0
     start = watch["response_start"]

@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigspark.functions.session import drop_table
 from sigspark.llm.common import DOCUMENT_COLUMNS, as_bytes, stored
 
 SEED = 42
@@ -308,7 +309,7 @@ def components(edges: DataFrame) -> DataFrame:
     round, itself included; links follow their ends, and links inside one item
     vanish. A round is joins and minima; it keeps no neighbour list. Rounds are
     written to the shared folder. The number of items with links falls by a
-    constant factor in each round.
+    constant factor in each round. Tables of a round are deleted after the next.
     """
     edges = stored(edges.filter("a <> b"), "links")
     nodes = edges.select(F.col("a").alias("item")).union(edges.select("b")).distinct()
@@ -320,15 +321,17 @@ def components(edges: DataFrame) -> DataFrame:
         order = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
         best = both.groupBy("a").agg(F.min(order("b")).alias("m")).select(F.col("a").alias("n"), F.least("m", order("a"))["id"].alias("to"))
         best = stored(best, f"moves{turn}")
-        edges = (
+        closer = (
             edges.join(best.select(F.col("n").alias("a"), F.col("to").alias("p")), "a")
             .join(best.select(F.col("n").alias("b"), F.col("to").alias("q")), "b")
             .filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
         )
-        edges = stored(edges, f"links{turn}")
-        place = stored(
-            place.join(best, place["at"] == best["n"], "left").select("item", F.coalesce("to", "at").alias("at")), f"places{turn}"
-        )
+        closer, moved = stored(closer, f"links{turn}"), place.join(best, place["at"] == best["n"], "left")
+        moved = stored(moved.select("item", F.coalesce("to", "at").alias("at")), f"places{turn}")
+        for table in (edges, place, best):
+            drop_table(table)
+        edges, place = closer, moved
+    drop_table(edges)
     return place.select("item", F.col("at").alias("component"))
 
 
@@ -358,11 +361,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id.
 
     Near copies have a similarity of five-word shingles of 0.8 or more; all such
-    pairs count. A document whose doc_id is null, or that shares the smallest
-    doc_id of its group, stays.
+    pairs count. A document is a doc_id with a text: of rows with one doc_id those
+    whose text is a copy go and others stay, and repeated rows stay or go
+    together. A row whose doc_id is null stays. Null and empty texts are one
+    group. An empty table gives an empty result; other columns than those of
+    documents are left out.
     """
     from sigspark.llm import similar
 
-    groups = similar.near_copies(docs)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*DOCUMENT_COLUMNS).join(gone, "doc_id", "left_anti")
+    kept = F.struct(F.col("component_id").alias("doc_id"), F.col("least_hash").alias("text_hash"))
+    groups = similar.grouped(docs).filter("doc_id IS NOT NULL")
+    gone = groups.filter(F.struct("doc_id", "text_hash") != kept).select(F.col("doc_id").alias("_doc_id"), "text_hash").distinct()
+    rows = docs.select(*DOCUMENT_COLUMNS)
+    here = (F.col("doc_id").cast("long") == gone["_doc_id"]) & (F.xxhash64("text") == gone["text_hash"])
+    return rows.join(gone, here, "left_anti")

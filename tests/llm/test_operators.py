@@ -4,6 +4,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +167,53 @@ def test_stage_joins_every_similar_pair(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == set(want)
 
 
+def test_stage_keeps_other_texts_of_a_removed_number(spark):
+    one, two = "first text that is long enough to have shingles", "second, unlike any other of these texts"
+    rows = [(3, one), (5, one), (5, two), (5, two), (None, one), (9, None), (8, "")]
+    df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in simhash.one_of_each(df).collect()]
+    assert sorted(kept, key=str) == sorted([(3, one), (5, two), (5, two), (None, one), (8, "")], key=str)
+
+
+def test_near_copies_of_odd_rows(odd, none):
+    from sigspark.llm import similar
+
+    found = [(r["doc_id"], r["component_id"]) for r in similar.near_copies(odd).collect()]
+    texts = [t for _, t, _, _ in ODD]
+    ids = [d if d is not None else 10**9 for d, _, _, _ in ODD]
+    want = brute.reach(ids, texts, lambda a, b: _similar(a, b) >= 0.8)
+    assert sorted((d if d is not None else 10**9, c) for d, c in found) == sorted(zip(ids, (w if w < 10**9 else None for w in want)))
+    assert similar.near_copies(none).collect() == []
+
+
+def test_sketches_bound_what_is_common():
+    from sigspark.llm import similar
+
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 1 << 63, 200_000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in (0, 1, 5, 400, 3000, 150_000, 190_000)]
+    rows = [np.frombuffer(similar.sketch(s), np.uint8) for s in sets]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert similar.most_common(rows[i][None], rows[j][None])[0] >= len(np.intersect1d(a, b))
+
+
+def test_common_passages_bring_few_pairs(spark, monkeypatch):
+    """Documents of 600 own and 400 common words: pairs grow with the documents, not with their square."""
+    from sigspark.llm import similar
+
+    made = []
+    real = similar.possible
+    monkeypatch.setattr(similar, "possible", lambda pairs, sketches: made.append(pairs.count()) or real(pairs, sketches))
+    rng = random.Random(2)
+    common = " ".join(f"common{k}" for k in range(400))
+    for n in (100, 200):
+        rows = [(i, " ".join(f"w{rng.getrandbits(40)}" for _ in range(600)) + " " + common) for i in range(n)]
+        found = similar.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert all(r["doc_id"] == r["component_id"] for r in found)
+    assert max(made) <= 2 * 200
+
+
 def test_odd_rows_simhash(odd, none):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)

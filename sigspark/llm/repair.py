@@ -7,8 +7,11 @@ of every document, so one document, or a part of one, is read without the others
 """
 from __future__ import annotations
 
+import functools
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,10 +28,16 @@ from sigspark.functions.session import scratch_path
 SHARD_IDS = 1_000_000
 #: A pair is replaced if it occurs so often: a rule takes the room of three symbols.
 LEAST = 4
-#: A round replaces all pairs that occur at least one so manieth as often as the most frequent one.
-SHARE = 16
+#: A round replaces pairs down to one so manieth of the limit of the round before, from the most frequent pair on.
+SHARE = 8
+#: At the lowest limit a round must shorten the shard by one so manieth.
+PAYS = 128
+#: Counters of pairs by hash.
+SLOTS = 1 << 20
 #: Documents that are encoded together.
 ROWS = 256
+#: Distinct words of a generation that a worker remembers.
+REMEMBERED = 400_000
 #: Ends every document.
 END = 1
 #: Requests that go to a shard together.
@@ -41,6 +50,60 @@ _SHARDS = pa.schema(
 )
 
 
+#: A letter and a mark behind it: the vocabulary splits a word there, so the two are encoded by themselves.
+MARKED = re.compile(rb"([a-z])([!-/:-@\[-`{-~])")
+
+
+class Encoder:
+    """Tokens of whole texts, word by word; words met before are looked up.
+
+    Words are folded to fewer ones where that changes no token: the vocabulary
+    lower-cases anyway, and a mark behind a letter begins a new piece. Texts that
+    may hold a special token or a combining mark are left as they are.
+    """
+
+    def __init__(self, path: str):
+        self.codec = bpe.codec(path)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # the generation before: a word in use moves up
+
+    @staticmethod
+    def words(text: bytes) -> list[bytes]:
+        if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
+            return text.split()
+        return MARKED.sub(rb"\1 \2", text.lower()).split()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as bytes of 32-bit numbers."""
+        cut = [self.words(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for w in {w for words in cut for w in words}:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        long = [w for w in new if len(w) > bpe.UNSPLIT]
+        short = [w for w in new if len(w) <= bpe.UNSPLIT]
+        for s in range(0, len(short), 4096):
+            some = short[s : s + 4096]
+            for w, e in zip(some, self.codec.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                known[w] = array("i", e.ids).tobytes()
+        for w in long:
+            known[w] = array("i", self.codec.long_word(w.decode())).tobytes()
+        out = [b"".join([known[w] for w in words]) for words in cut]
+        for w in long:
+            del known[w]
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 class Grammar(NamedTuple):
     base: int  # first symbol that is a rule
     rounds: np.ndarray  # rules of each round; a rule refers to ids and to rules of earlier rounds
@@ -57,22 +120,26 @@ def compressed(ids: np.ndarray, counts: np.ndarray) -> Grammar:
     A round counts all pairs, ranks those that are frequent by their number, and
     replaces an occurrence unless one that overlaps it ranks higher; in a run of
     one symbol every second place counts. What was in the way is counted again
-    in the next round. It ends when no pair is frequent.
+    in the next round. It ends when the pairs that are left do not pay.
     """
     seq = ids.astype(np.int64)
     base = int(seq.max()) + 1 if len(seq) else 0
     owner = np.repeat(np.arange(len(counts)), counts)
     rounds, left, right, lengths = [], [], [], [np.ones(base, np.int64)]
-    total = base
+    total, limit = base, len(seq)
     while len(seq) > 1:
         place = np.flatnonzero(owner[1:] == owner[:-1])
-        pair = seq[place] << 32 | seq[place + 1]
+        a, b = seq[place], seq[place + 1]
+        # Counts by a hash of the pair are too high at most: few places are left to be sorted by pair.
+        slot = (a * 0x9E3779B1 + b * 0x85EBCA6B >> 7) & SLOTS - 1
+        rough = np.bincount(slot, minlength=SLOTS)
+        limit = max(LEAST, min(limit, int(rough.max(initial=0))) // SHARE)
+        some = np.flatnonzero((rough >= limit)[slot])
+        place, pair = place[some], a[some] << 32 | b[some]
         order = np.argsort(pair)
         first = np.flatnonzero(np.append(True, pair[order][1:] != pair[order][:-1])) if len(pair) else np.zeros(0, np.int64)
         times = np.diff(np.append(first, len(pair)))
-        if not len(times) or times.max() < LEAST:
-            break
-        frequent = np.flatnonzero(times >= max(LEAST, times.max() // SHARE))
+        frequent = np.flatnonzero(times >= limit)
         rank = np.full(len(times), len(times))
         rank[frequent[np.argsort(-times[frequent], kind="stable")]] = np.arange(len(frequent))
         at = np.full(len(seq) + 1, len(times))  # rank of the pair that begins at a place
@@ -85,10 +152,11 @@ def compressed(ids: np.ndarray, counts: np.ndarray) -> Grammar:
         taken = (at[:-1] < len(times)) & (at[:-1] < at[1:]) & (at[:-1] < np.append(len(times), at[:-2]))
         spot = np.flatnonzero(taken)
         often = np.bincount(at[spot], minlength=len(frequent))
-        kept = np.flatnonzero(often >= min(LEAST, often.max(initial=0)))
-        kept = kept[often[kept] >= 2]
-        if not len(kept):
-            break
+        kept = np.flatnonzero(often >= LEAST - 1)
+        if not often[kept].sum() * PAYS > len(seq):
+            if limit == LEAST:
+                break
+            continue
         name = np.full(len(often), -1)
         name[kept] = total + np.arange(len(kept))
         spot = spot[name[at[spot]] >= 0]
@@ -193,7 +261,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
     laid = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, end = bpe.codec(vocabulary), struct.pack("<i", END)
+        words, end = encoder(vocabulary), struct.pack("<i", END)
         part, shard, before, held, docs, texts = None, 0, 0, 0, [], []
 
         def shut() -> pa.RecordBatch:
@@ -205,8 +273,8 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
             for s in range(0, batch.num_rows, ROWS):
                 some = batch.slice(s, ROWS)
                 part = some.column("part")[0].as_py()
-                for doc_id, text in zip(some.column("doc_id").to_pylist(), as_bytes(some, "text")):
-                    texts.append(codec.encode(text) + end)
+                for doc_id, ids in zip(some.column("doc_id").to_pylist(), words.encode(as_bytes(some, "text"))):
+                    texts.append(ids + end)
                     docs.append(doc_id)
                     held += len(texts[-1]) // 4
                     if held >= SHARD_IDS:

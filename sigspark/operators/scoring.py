@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.functions.arrays import let
+from sigspark.functions.stems import stem
 from sigspark.operators.ranking import number_rows
 
 MAX_N = 4
+ORDERS = range(1, MAX_N + 1)
 SMOOTHING = 0.1  # fixed value: numerator used for an n above 1 without a match
 ALPHA, BETA, GAMMA = 0.9, 3.0, 0.5  # fixed values: weights of the unigram alignment score
 
@@ -50,31 +52,46 @@ def clipped_matches(ref: list, hyp: list, n: int) -> int:
     return (count(ref) & count(hyp)).total()
 
 
-def aligned_runs(ref: list, hyp: list) -> tuple[int, int]:
-    """Matched words and unbroken runs of them; both sides pair their k-th last occurrence of a word."""
-    places = defaultdict(list)
-    for i, w in enumerate(ref):
-        places[w].append(i)
-    matches = [(j, places[w].pop()) for j, w in reversed(list(enumerate(hyp))) if places.get(w)]
+def aligned_runs(ref: list, hyp: list, stems: bool = False) -> tuple[int, int]:
+    """Matched words and unbroken runs of them; both sides pair their k-th last occurrence of a word.
+
+    With stems, words that are left over are paired once more by their stems.
+    """
+    matches, left_ref, left_hyp = [], list(range(len(ref))), list(range(len(hyp)))
+    for form in (None, stem) if stems else (None,):
+        places = defaultdict(list)
+        for i in left_ref:
+            places[form(ref[i]) if form else ref[i]].append(i)
+        found = [(j, p.pop()) for j in reversed(left_hyp) if (p := places.get(form(hyp[j]) if form else hyp[j]))]
+        matches += found
+        taken_hyp, taken_ref = {j for j, _ in found}, {i for _, i in found}
+        left_hyp, left_ref = [j for j in left_hyp if j not in taken_hyp], [i for i in left_ref if i not in taken_ref]
+    matches.sort(reverse=True)
     # Walking backwards, a match continues a run if both places are just before those of the match after it.
     runs = sum(1 for x, y in zip(matches, matches[1:]) if (x[0] - 1, x[1] - 1) != y) + bool(matches)
     return len(matches), runs
 
 
 def _word_counts():
-    @F.pandas_udf("ref_len int, hyp_len int, matched array<bigint>, aligned int, runs int")
+    @F.pandas_udf("ref_len int, hyp_len int, matched array<bigint>")
     def count(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
-        rows = []
-        for r, h in zip(refs.map(list), hyps.map(list)):
-            lower = aligned_runs([w.lower() for w in r], [w.lower() for w in h])
-            rows.append((len(r), len(h), [clipped_matches(r, h, n) for n in range(1, MAX_N + 1)], *lower))
-        return pd.DataFrame(rows, columns=["ref_len", "hyp_len", "matched", "aligned", "runs"])
+        rows = [(len(r), len(h), [clipped_matches(r, h, n) for n in ORDERS]) for r, h in zip(refs.map(list), hyps.map(list))]
+        return pd.DataFrame(rows, columns=["ref_len", "hyp_len", "matched"])
 
     return count(words(F.col("ref")), words(F.col("hyp")))
 
 
+def _aligned(stems: bool):
+    @F.pandas_udf("aligned int, runs int")
+    def align(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
+        rows = [aligned_runs([w.lower() for w in r], [w.lower() for w in h], stems) for r, h in zip(refs, hyps)]
+        return pd.DataFrame(rows, columns=["aligned", "runs"])
+
+    return align(words(F.col("ref")), words(F.col("hyp")))
+
+
 def word_counts(pairs: DataFrame) -> DataFrame:
-    """(pair_id, ref_len, hyp_len, matched[n = 1…4], aligned, runs) of admitted pairs.
+    """(pair_id, ref_len, hyp_len, matched[n = 1…4]) of admitted pairs.
 
     Both texts of a pair are in one row, so all counting stays in the row: one
     narrow pass, where exploded n-grams would shuffle several times the text.
@@ -95,9 +112,6 @@ def _log_precision(matched: Column, possible: Column) -> Column:
     return F.log(F.when(matched > 0, matched).otherwise(F.lit(SMOOTHING)) / possible)
 
 
-ORDERS = range(1, MAX_N + 1)
-
-
 def _matched(n: int) -> Column:
     return F.get("matched", F.lit(n - 1))
 
@@ -141,9 +155,15 @@ def sentence_bleu(pairs: DataFrame) -> DataFrame:
     return word_counts(pairs).select("pair_id", _sentence_score().alias("score"))
 
 
-def unigram_alignment(pairs: DataFrame) -> DataFrame:
-    """(pair_id, score): exact matches of lower-case words with a penalty on broken runs; no stems or synonyms."""
-    return word_counts(pairs).select("pair_id", _alignment_score().alias("score"))
+def unigram_alignment(pairs: DataFrame, stems: bool = False) -> DataFrame:
+    """(pair_id, score): matches of lower-case words, then of the stems of the others, with a penalty on broken runs.
+
+    Without ``stems`` only equal words match. Synonyms are not looked up. A stem
+    is worked out once for each distinct word that a worker meets.
+    """
+    lengths = [F.size(words(F.col(c))).alias(f"{c}_len") for c in ("ref", "hyp")]
+    counted = admitted(pairs).select("pair_id", *lengths, _aligned(stems).alias("a")).select("pair_id", "ref_len", "hyp_len", "a.*")
+    return counted.select("pair_id", _alignment_score().alias("score"))
 
 
 # --- recall-oriented overlap -----------------------------------------------
@@ -275,16 +295,17 @@ def average(scores: DataFrame) -> DataFrame:
 
 
 def report(pairs: DataFrame, by: tuple = ()) -> DataFrame:
-    """(by…, metric, sub_metric, value) of all scores: one narrow pass over the pairs, one aggregation.
+    """(by…, metric, sub_metric, value) of all scores, alignments with stems: one narrow pass over the pairs, one aggregation.
 
     Without ``by``, zeros when no pair is admitted.
     """
     each = admitted(pairs).select(
-        *by, "ref", "hyp", _word_counts().alias("c"), _subsequence_words().alias("_found")
+        *by, "ref", "hyp", _word_counts().alias("c"), _aligned(True).alias("a"), _subsequence_words().alias("_found")
     )
     scored = each.select(
         *by,
         "c.*",
+        "a.*",
         _set_score(F.col("ref"), F.col("hyp"), 1).alias("_r1"),
         _set_score(F.col("ref"), F.col("hyp"), 2).alias("_r2"),
         _subsequence_score(F.col("_found")).alias("_rl"),

@@ -42,6 +42,12 @@ def unigram_alignment(spark, d):
     return _scores(scoring.unigram_alignment(pair(spark, d)))
 
 
+def stemmed_alignment(spark, d):
+    """Half of the hypotheses get endings that their stems do not have."""
+    p = pair(spark, d).withColumn("hyp", F.when(F.col("pair_id") % 2 == 0, F.regexp_replace("hyp", r"([a-z]{4,}) ", "$1ness ")).otherwise(F.col("hyp")))
+    return _scores(scoring.unigram_alignment(p, stems=True))
+
+
 def set_overlap_1(spark, d):
     return _scores(scoring.set_overlap(pair(spark, d), 1))
 
@@ -137,6 +143,7 @@ PLANS = {
     ),
     "corpus_bleu": (corpus_bleu, f"WITH {_CORPUS} SELECT round(value, {R}) + 0.0 AS value FROM corpus"),
     "sentence_bleu": (sentence_bleu, f"WITH {_GRAMS}, {_SENTENCE} SELECT pair_id, round(score, {R}) + 0.0 AS score FROM sent"),
+    "stemmed_alignment": (stemmed_alignment, None),
     "unigram_alignment": (unigram_alignment, f"WITH {PAIR}, {_ALIGN} SELECT pair_id, round(score, {R}) + 0.0 AS score FROM met"),
     "set_overlap_1": (set_overlap_1, f"WITH {PAIR}, {_SETS} SELECT pair_id, round(score, {R}) + 0.0 AS score FROM {_set_sql('unis')}"),
     "set_overlap_2": (set_overlap_2, f"WITH {PAIR}, {_SETS} SELECT pair_id, round(score, {R}) + 0.0 AS score FROM {_set_sql('bis')}"),

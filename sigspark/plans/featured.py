@@ -2,9 +2,9 @@
 from pyspark.sql import functions as F
 
 from sigspark.functions.arrays import rounded, unrolled
-from sigspark.operators import features
-from sigspark.operators.ranking import with_previous
-from sigspark.plans.bindings import SEGMENT, SEGMENTS, STREAM, rec, stream_samples, stream_segments
+from sigspark.operators import features, long_features
+from sigspark.operators.ranking import number_rows, with_previous
+from sigspark.plans.bindings import SEGMENT, SEGMENTS, STREAM, rec, stream_samples, stream_segments, table
 
 FS = SEGMENT
 R = 7
@@ -149,6 +149,70 @@ def feature_vector_width(spark, d):
     return v.groupBy(F.size("features").alias("width")).agg(F.count("*").alias("segments"))
 
 
+LONG_FS = 32.0
+LONG_BLOCK = 1024
+
+
+def long_lead_features(spark, d):
+    """Whole leads, one for each type of event, in blocks: several spectrum windows, all wavelet levels, peaks over borders."""
+    events = table(spark, d, "events").select("event_type", "ts", "event_id", "value")
+    samples = number_rows(events, ["event_type"], ["ts", "event_id"], "s")
+    rows = long_features.blocks_of(samples, "event_type", "s", "value", LONG_BLOCK)
+    v = unrolled(long_features.long_features(rows, LONG_FS, LONG_BLOCK), ["rec"], F.col("features"), "value", "i")
+    return v.select("rec", "i", rounded(F.col("value"), 5).alias("value"))
+
+
+def _long_sql():
+    """The same values from whole leads; a lead is the one segment of its type."""
+    segs = """leads AS (SELECT event_type AS rec_id, 0 AS seg, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1)::INT AS i,
+                               value AS x, count(*) OVER (PARTITION BY event_type)::INT AS n FROM events),
+segs AS (SELECT * FROM leads)"""
+    low = list(reversed(features.DB4.tolist()))
+    high = [(-1.0 if j % 2 == 0 else 1.0) * v for j, v in enumerate(features.DB4.tolist())]
+    taps = ", ".join(f"({j}, {low[j]!r}::DOUBLE, {high[j]!r}::DOUBLE)" for j in range(8))
+    waves = f"""taps(j, lo, hi) AS (VALUES {taps}),
+z0 AS (SELECT DISTINCT rec_id, n, CASE WHEN n < 7 THEN 0 ELSE least(5, floor(log2(n / 7.0::DOUBLE)))::INT END AS level FROM leads),
+a0 AS (SELECT rec_id, i, x FROM leads)"""
+    for k in range(1, 6):
+        at = "(2 * k + 1 - j)"
+        waves += f""",
+p{k} AS (SELECT rec_id, n, k, j, lo, hi FROM (SELECT rec_id, n, unnest(range((n + 7) // 2)) AS k FROM z{k - 1} WHERE level >= {k}), taps),
+w{k} AS (SELECT q.rec_id, k, sum(x * lo) AS a, sum(x * hi) AS d FROM (SELECT *, CASE WHEN {at} < 0 THEN -{at} - 1 WHEN {at} >= n THEN 2 * n - 1 - {at} ELSE {at} END AS place FROM p{k}) q
+         JOIN a{k - 1} s ON s.rec_id = q.rec_id AND s.i = q.place GROUP BY ALL),
+z{k} AS (SELECT rec_id, (n + 7) // 2 AS n, level FROM z{k - 1} WHERE level >= {k}), a{k} AS (SELECT rec_id, k AS i, a AS x FROM w{k})"""
+    bands = " UNION ALL ".join(
+        [f"SELECT rec_id, 0 AS b, avg(abs(x)) AS v FROM a{k} JOIN z0 USING (rec_id) WHERE level = {k} GROUP BY ALL" for k in range(6)]
+        + [f"SELECT rec_id, level - {k} + 1, avg(abs(d)) FROM w{k} JOIN z0 USING (rec_id) GROUP BY ALL" for k in range(1, 6)]
+    )
+    peaks = _PEAKS.replace(SEGMENTS, segs)
+    return f"""WITH {peaks}, {waves}, bands AS ({bands}),
+wins AS (SELECT rec_id, n, least(n, 1024) AS w, unnest(range(0, n - least(n, 1024) + 1, least(n, 1024) - least(n, 1024) // 2)) AS s FROM z0),
+cut AS (SELECT v.rec_id, v.s, v.w, l.i - v.s AS i, x - avg(x) OVER (PARTITION BY v.rec_id, v.s) AS x FROM wins v JOIN leads l ON l.rec_id = v.rec_id AND l.i >= v.s AND l.i < v.s + v.w),
+tapered AS (SELECT rec_id, s, w, i, x * h AS y, sum(h * h) OVER (PARTITION BY rec_id, s) AS hh FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * i / w::DOUBLE) AS h FROM cut)),
+dft AS (SELECT rec_id, s, w, k, any_value(hh) AS hh, sum(y * cos(2 * pi() * (k * i % w) / w::DOUBLE)) AS re, sum(y * sin(2 * pi() * (k * i % w) / w::DOUBLE)) AS im
+        FROM tapered, range(513) t(k) WHERE k <= w // 2 GROUP BY ALL),
+psd AS (SELECT rec_id, k * {LONG_FS} / w AS f, avg((re * re + im * im) / ({LONG_FS}::DOUBLE * hh) * CASE WHEN k = 0 OR 2 * k = w THEN 1 ELSE 2 END) AS p FROM dft GROUP BY ALL),
+rr AS (SELECT rec_id, (p - lag(p) OVER (PARTITION BY rec_id ORDER BY p)) / {LONG_FS}::DOUBLE AS g FROM placed),
+r AS (SELECT rec_id, avg(g) AS g, stddev_pop(g) AS sd FROM rr GROUP BY ALL HAVING count(g) > 0),
+near AS (SELECT c.rec_id, c.p, x FROM placed c JOIN leads s ON s.rec_id = c.rec_id AND s.i >= c.p - {int(0.1 * LONG_FS)} AND s.i < c.p + {int(0.1 * LONG_FS)} WHERE c.n > 1),
+marks AS (SELECT rec_id, p, avg(x) AS mu, max(x) AS hi, 0.1::DOUBLE * (max(x) - min(x)) + min(x) AS t, min(x) AS lo FROM near GROUP BY ALL),
+widths AS (SELECT rec_id, p, CASE WHEN any_value(hi) = any_value(lo) THEN 0.0 ELSE count(*) FILTER (abs(x - mu) > t) / {LONG_FS}::DOUBLE END AS w FROM near JOIN marks USING (rec_id, p) GROUP BY ALL),
+qrs AS (SELECT rec_id, avg(w) AS q FROM widths GROUP BY ALL),
+last2 AS (SELECT rec_id, ps[-2] AS a, ps[-1] AS b FROM chosen WHERE len(ps) > 1),
+amp AS (SELECT l.rec_id, max(x) - min(x) AS t FROM last2 l JOIN leads s ON s.rec_id = l.rec_id AND i >= a AND i < b GROUP BY ALL),
+st AS (SELECT l.rec_id, y.x - z.x AS st FROM last2 l JOIN z0 o USING (rec_id) JOIN leads y ON y.rec_id = l.rec_id AND y.i = least(b + {int(0.08 * LONG_FS)}, o.n - 1) JOIN leads z ON z.rec_id = l.rec_id AND z.i = b),
+stats AS (SELECT rec_id, [avg(x), stddev_pop(x), max(x), min(x), quantile_cont(x, 0.5), quantile_cont(x, 0.25), quantile_cont(x, 0.75)] AS v FROM leads GROUP BY ALL),
+spec AS (SELECT rec_id, [sum(p), max(p), (list(f ORDER BY round(p, 12) DESC, f))[1], CASE WHEN sum(p) > 0 THEN sum(f * p) / sum(p) ELSE 0 END] AS v FROM psd GROUP BY ALL),
+beat AS (SELECT rec_id, [coalesce(60 / g, 0.0), coalesce(sd, 0.0), coalesce(q, 0.0), coalesce(t, 0.0), coalesce(st, 0.0)] AS v
+         FROM z0 LEFT JOIN r USING (rec_id) LEFT JOIN qrs USING (rec_id) LEFT JOIN amp USING (rec_id) LEFT JOIN st USING (rec_id)),
+band AS (SELECT rec_id, list(v ORDER BY b) AS v FROM bands GROUP BY ALL),
+moves AS (SELECT rec_id, x - lag(x) OVER (PARTITION BY rec_id ORDER BY i) AS d FROM leads),
+rough AS (SELECT rec_id, [avg(abs(d)), sqrt(avg(d * d))] AS v FROM moves GROUP BY ALL),
+vectors AS (SELECT rec_id, list_concat(stats.v, spec.v, beat.v, band.v, rough.v) AS v
+            FROM stats JOIN spec USING (rec_id) JOIN beat USING (rec_id) JOIN band USING (rec_id) JOIN rough USING (rec_id))
+SELECT rec_id AS rec, (i - 1)::INT AS i, round(v[i], 5) + 0.0 AS value FROM (SELECT rec_id, v, unnest(range(1, len(v) + 1)) AS i FROM vectors)"""
+
+
 _LEFT = "FROM ext LEFT JOIN"
 PLANS = {
     "summary_statistics": (
@@ -200,6 +264,7 @@ PLANS = {
         f"""WITH {STREAM}, st AS (SELECT rec_id, value - lag(value) OVER (PARTITION BY rec_id ORDER BY s) AS d FROM stream)
             SELECT rec_id, round(avg(abs(d)), {R}) + 0.0 AS mean_abs, round(sqrt(avg(d * d)), {R}) + 0.0 AS rms FROM st GROUP BY 1""",
     ),
+    "long_lead_features": (long_lead_features, _long_sql()),
     "feature_vector": (feature_vector, None),
     "feature_vector_width": (
         feature_vector_width,

@@ -216,8 +216,10 @@ def corpus_assembly(spark, d):
 
 
 def _qa(spark, d):
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    answers = F.array(F.when(F.col("quality") == 1, "yes").otherwise("no"), F.when(F.col("toxic") == 1, "unsafe").otherwise("safe"))
+    """Every document; without a label its answer is that it was not rated."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    said = lambda c, yes, no: F.when(F.col(c) == 1, yes).when(F.col(c).isNull(), "unrated").otherwise(no)
+    answers = F.array(said("quality", "yes", "no"), said("toxic", "unsafe", "safe"))
     return docs.select(
         "doc_id", F.col("lang").alias("category"), F.md5("text").alias("question"), mapping.answer_text(answers).alias("answer")
     )
@@ -232,8 +234,9 @@ def category_samples(spark, d):
 
 
 _QA = """WITH qa AS (SELECT doc_id, lang AS category, md5(text) AS question,
-    CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END || ' ' || CASE WHEN toxic = 1 THEN 'unsafe' ELSE 'safe' END AS answer
-  FROM documents JOIN labels USING (doc_id))"""
+    CASE WHEN quality = 1 THEN 'yes' WHEN quality IS NULL THEN 'unrated' ELSE 'no' END || ' ' ||
+    CASE WHEN toxic = 1 THEN 'unsafe' WHEN toxic IS NULL THEN 'unrated' ELSE 'safe' END AS answer
+  FROM documents LEFT JOIN labels USING (doc_id))"""
 
 
 # --- splits ----------------------------------------------------------------

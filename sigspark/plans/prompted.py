@@ -16,10 +16,11 @@ def _turns(df, column, keep=("conv_id",)):
 
 # --- turns -----------------------------------------------------------------
 def chat_normalisation(spark, d):
+    """Every conversation; one without an answer has a null in its place."""
     c = conv(spark, d)
     first = F.col("conversations")[0]
     marked = F.concat(F.array(prompts.turn(first["from"], F.concat(F.lit("<ecg>\n"), first["value"]))), F.slice("conversations", 2, F.size("conversations")))
-    c = c.withColumn("conversations", marked).filter(F.size("conversations") > 1)
+    c = c.withColumn("conversations", marked)
     return _turns(c.withColumn("x", prompts.chat_turns(F.col("conversations"), "assistant")), "x").withColumn("value", F.md5("value"))
 
 
@@ -206,9 +207,12 @@ def gold_responses(spark, d):
 
 
 def generated_continuation(spark, d):
-    """The prompt up to its first response as prompt, the whole as generated text; in every other case without the prompt."""
-    p = _runs(spark, d).filter(F.size("runs") > 0)
-    start = F.col("runs")[0]["start"]
+    """The prompt up to its first response as prompt, the whole as generated text; in every other case without the prompt.
+
+    A conversation without a response is all prompt: nothing is generated.
+    """
+    p = _runs(spark, d)
+    start = F.coalesce(F.get("runs", F.lit(0))["start"], F.size("ids"))
     prompt = F.slice("ids", 1, start)
     generated = F.when(F.col("conv_id") % 2 == 0, F.col("ids")).otherwise(F.slice("ids", start + 1, F.size("ids")))
     cont = prompts.continuation(prompt, generated, WATCH["eos"])
@@ -339,9 +343,9 @@ T: What is the morphology of the T wave?
 PLANS = {
     "chat_normalisation": (
         chat_normalisation,
-        """WITH n AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations)
-           SELECT conv_id, turn, CASE turn WHEN 0 THEN 'human' ELSE 'assistant' END AS role,
-                  md5(CASE turn WHEN 0 THEN replace(text, chr(10), '') ELSE text END) AS value FROM n WHERE turn < 2 AND k > 1""",
+        """WITH n AS (SELECT conv_id, max(text) FILTER (turn = 0) AS q, max(text) FILTER (turn = 1) AS a FROM conversations GROUP BY 1)
+           SELECT conv_id, t AS turn, CASE t WHEN 0 THEN 'human' ELSE 'assistant' END AS role,
+                  md5(CASE t WHEN 0 THEN replace(q, chr(10), '') ELSE a END) AS value FROM n, range(2) r(t)""",
     ),
     "qa_normalisation": (
         qa_normalisation,
@@ -386,7 +390,8 @@ PLANS = {
         generated_continuation,
         f"""WITH {_IDS}, f AS (SELECT conv_id, arg_min(t, turn) AS t FROM placed WHERE role = 'assistant' GROUP BY 1),
             g AS (SELECT conv_id, t[5:len(t) - 1] AS x FROM f)
-            SELECT conv_id, len(x)::INT AS n, md5(array_to_string(x, ',')) AS ids_md5 FROM g""",
+            SELECT conv_id, coalesce(len(x), 0)::INT AS n, md5(coalesce(array_to_string(x, ','), '')) AS ids_md5
+            FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN g USING (conv_id)""",
     ),
     "range_alignment": (
         range_alignment,

@@ -204,7 +204,8 @@ def vector_lookup(spark, d):
     known = table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("token_id"), F.col("embedding").alias("vector"))
     t = encoded(spark, d).select("seq_id", "pos", F.when(F.col("pos") % 5 == 4, tokens.PAD).otherwise(F.col("token_id")).alias("token_id"))
     found = tokens.looked_up(t, known, 64)
-    return found.select("seq_id", "pos", rounded(F.element_at("vector", 1), 6).alias("first"), rounded(F.element_at("vector", 64), 6).alias("last"))
+    weighed = F.aggregate(F.transform("vector", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return found.select("seq_id", "pos", F.coalesce(F.size("vector"), F.lit(-1)).alias("dim"), rounded(weighed, 5).alias("weighed"))
 
 
 def rank_frequency(spark, d):
@@ -224,18 +225,20 @@ def token_spans(spark, d):
 
 
 def tokenizer_artefact(spark, d):
-    """Two merges, written and read back with the vocabulary."""
+    """The whole vocabulary, 256 bytes and two merges, written and read back."""
     merges = bpe.train(symbol_table(spark, d), "symbols", 2)
     path = scratch_path(spark, "tokenizer")
     tables.write_tokenizer(bpe.byte_vocabulary(spark, merges), merges, path)
     vocab, back = tables.read_tokenizer(spark, path)
-    return vocab.join(back.select("token_id", "rank", "n"), "token_id").select("rank", "token_id", "symbols", "n")
+    both = vocab.join(back.select("token_id", "rank", "n"), "token_id", "left")
+    return both.select("rank", "token_id", F.hex("symbols").alias("symbols"), "n")
 
 
 PLANS = {
     "tokenizer_artefact": (
         tokenizer_artefact,
-        f"SELECT rank, token_id, symbols, n FROM ({train_sql(2)})",
+        f"""SELECT rank, token_id, hex(symbols) AS symbols, n FROM ({train_sql(2)})
+            UNION ALL SELECT NULL, i::INT, CASE WHEN i < 128 THEN printf('%02X', i) ELSE hex('<' || i || '>') END, NULL FROM range(256) t(i)""",
     ),
     "recording_sample_corpus": (
         recording_sample_corpus,
@@ -284,9 +287,9 @@ PLANS = {
     ),
     "vector_lookup": (
         vector_lookup,
-        f"""WITH {ENCODED_SQL} SELECT seq_id, pos, round(CASE WHEN pos % 5 = 4 THEN 0.0 ELSE embedding[1]::DOUBLE END, 6) + 0.0 AS "first",
-            round(CASE WHEN pos % 5 = 4 THEN 0.0 ELSE embedding[64]::DOUBLE END, 6) + 0.0 AS "last"
-            FROM tokens LEFT JOIN embeddings ON vec_id = token_id""",
+        f"""WITH {ENCODED_SQL}, e AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)) AS w, len(embedding) AS dim FROM embeddings)
+            SELECT seq_id, pos, CASE WHEN pos % 5 = 4 THEN 64 ELSE coalesce(dim, -1) END::INT AS dim,
+                   round(CASE WHEN pos % 5 = 4 THEN 0.0::DOUBLE ELSE w END, 5) + 0.0 AS weighed FROM tokens LEFT JOIN e ON vec_id = token_id""",
     ),
     "rank_frequency": (
         rank_frequency,

@@ -1,13 +1,16 @@
 """Exact ranks and exact top-n selections that never sort one group in one task.
 
 A window over a whole group puts the group into one task. Here a group is cut
-into buckets of the sort key first; bucket counts are small, their running sums
-say where each bucket starts, and only rows within a bucket are sorted together.
+into buckets or ranges of the sort key first; their counts are small, running sums
+say where each one starts, and only rows within one are sorted together.
 """
-from pyspark.ml.feature import Bucketizer
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigspark.functions.session import sized
+
 HEX_DIGITS = 3  # 16**3 buckets per group for hashed keys
 
 
@@ -66,31 +69,27 @@ def quantile_splits(df: DataFrame, column: str, buckets: int = 64) -> list[float
     return [float("-inf"), *sorted(set(borders)), float("inf")]
 
 
-def number_rows(
-    df: DataFrame, group: list[str], order: list[str], out: str = "row_index", splits: list[float] | None = None
-) -> DataFrame:
+def number_rows(df: DataFrame, group: list[str], order: list[str], out: str = "row_index") -> DataFrame:
     """Zero-based position of each row in its group, ordered by ``order``.
 
-    The first order column must be numeric or a timestamp; rows without it come
-    last. A group of any size is spread over the buckets of that column.
+    Rows are dealt out by ranges of the whole key, group and order, sorted inside
+    a part and written with their place in it. A part of a group begins where the
+    counts of its earlier parts end; there is one count for each part and group.
+    So neither a large group nor one frequent value of the first column meets in a
+    task; rows equal in the whole key do. Rows without the first order column come
+    last. A null in a group column is a group like others.
     """
-    splits = splits or quantile_splits(df, order[0])
-    constant = not group
-    if constant:
-        df, group = df.withColumn("_all", F.lit(0)), ["_all"]
-    keyed = df.withColumn("_order", as_number(df, order[0]))
-    if len(splits) >= 3:
-        keyed = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket", handleInvalid="keep").transform(keyed)
-    else:
-        keyed = keyed.withColumn("_bucket", F.lit(0.0))
-    starts = _starts(keyed.groupBy(*group, "_bucket").agg(F.count("*").alias("_n")), group)
-    place = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order))
-    numbered = keyed.withColumn("_place", place).join(
-        starts.select(*group, "_bucket", "_before"), [*group, "_bucket"]
-    )
-    return numbered.withColumn(out, F.col("_before") + F.col("_place") - 1).drop(
-        "_order", "_bucket", "_place", "_before", "_all"
-    )
+    keys = [*map(F.col, group), F.asc_nulls_last(order[0]), *map(F.col, order[1:])]
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the part's number stands above these bits
+    laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    laid = sized(laid.withColumns({"_part": F.spark_partition_id(), "_nth": within}), "numbered")
+    parts = laid.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_nth").alias("_first"))
+    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long")))
+    starts = sized(starts.select(F.struct("_part", *group).alias("_key"), (F.col("_before") - F.col("_first")).alias("_shift")), "starts")
+    same = [laid[c].eqNullSafe(starts["_key"][c]) for c in group]
+    joined = laid.join(starts, reduce(Column.__and__, same, laid["_part"] == starts["_key"]["_part"]))
+    return joined.withColumn(out, F.col("_nth") + F.col("_shift")).drop("_part", "_nth", "_key", "_shift")
 
 
 def with_previous(df: DataFrame, group: list[str], index: str, value: str, out: str, chunk: int = 4096) -> DataFrame:

@@ -10,8 +10,6 @@ LEADS, SAMPLES = 4, 16
 SEGMENT = 32
 EPOCH_START = 1704067200  # 2024-01-01 UTC, the first day of the events table
 
-_SPLITS: dict[tuple[str, str], list[float]] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,10 +33,7 @@ samples AS (SELECT rec_id, label, (i // 16)::INT AS lead, (i % 16)::INT AS s, v[
 def stream_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-lead recordings of any length: samples of each user in time order, numbered from 0."""
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("rec_id"), "ts", "event_id", "value")
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _SPLITS:
-        _SPLITS[key] = ranking.quantile_splits(events, "ts")
-    return ranking.number_rows(events, ["rec_id"], ["ts", "event_id"], "s", _SPLITS[key])
+    return ranking.number_rows(events, ["rec_id"], ["ts", "event_id"], "s")
 
 
 STREAM = """

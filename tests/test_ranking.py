@@ -50,6 +50,26 @@ def test_number_rows_in_a_hot_group(skewed):
         assert [r["row_index"] for r in rows] == list(range(len(rows)))
 
 
+def test_number_rows_of_one_value(spark):
+    """Nine of ten rows have one value in the first order column: they lie in several parts, and none holds them all."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(20_000).select("id", F.when(F.col("id") % 10 > 0, 5.0).when(F.col("id") % 20 > 0, F.col("id") * 1.0).alias("x"))
+        rows = rows.withColumn("grp", F.when(F.col("id") % 3 > 0, "a")).repartition(6)
+        for group in ([], ["grp"]):
+            numbered = ranking.number_rows(rows, group, ["x", "id"])
+            assert max(r["n"] for r in numbered.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 8_000
+            got = numbered.collect()
+            assert len(got) == 20_000 and set(numbered.columns) == {"id", "x", "grp", "row_index"}
+            for g in {r["grp"] if group else 0 for r in got}:
+                mine = [r for r in got if not group or r["grp"] == g]
+                mine.sort(key=lambda r: (r["x"] is None, r["x"] or 0, r["id"]))
+                assert [r["row_index"] for r in mine] == list(range(len(mine)))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ranking.number_rows(rows.filter("id < 0"), ["grp"], ["x", "id"]).collect() == []
+
+
 def test_previous_value_crosses_chunks(skewed):
     numbered = ranking.number_rows(skewed, ["grp"], ["x", "id"], "s")
     got = ranking.with_previous(numbered, ["grp"], "s", "x", "before", chunk=16).collect()

@@ -10,13 +10,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.functions.arrays import at, dot, fold_sum, indices, let, mean
 from sigspark.functions.session import cut_lineage
-from sigspark.operators.ranking import as_number, quantile_splits
+from sigspark.operators.long_features import order_statistics
 
 BLOCK_ROWS = 32768  # largest block; rows are copied once per block, so few large blocks move the least data
 BLOCK_BYTES = 128 << 20  # of the vectors of a block in double precision; wide vectors make blocks of fewer rows
@@ -387,24 +386,17 @@ def svcca(df: DataFrame, q: int = 10) -> DataFrame:
 
 
 # --- outliers --------------------------------------------------------------
-def nth_value(df: DataFrame, column: str, n: Column, buckets: int = 256) -> DataFrame:
-    """(value): the ``n``-th smallest (from 0) number of a column; only one bucket of it is sorted."""
-    splits = quantile_splits(df, column, buckets)
-    placed = df.select(as_number(df, column).alias("_x"))
-    placed = Bucketizer(splits=splits, inputCol="_x", outputCol="_b").transform(placed)
-    counts = placed.groupBy("_b").agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
-    hit = starts.filter((F.col("_before") <= n) & (n < F.col("_before") + F.col("_n")))
-    inside = placed.join(hit, "_b").withColumn("_place", F.row_number().over(Window.partitionBy("_b").orderBy("_x")))
-    return inside.filter(F.col("_before") + F.col("_place") - 1 == n).select(F.col("_x").alias("value"))
-
-
 def clamp_limit(df: DataFrame, vector: str, q: float, exact: bool = False) -> DataFrame:
-    """(value): the ``q``-quantile of absolute entries; over all of them, or the mean of the rows' quantiles."""
+    """(value): the ``q``-quantile of absolute entries; over all of them, or the mean of the rows' quantiles.
+
+    Over all entries it is found by counts of digits: nothing is sorted, and
+    equal entries, however many, are one count.
+    """
     if exact:
-        entries = df.select(F.explode(vector).alias("x")).select(F.abs("x").alias("x"))
-        return nth_value(entries, "x", F.floor(entries.agg(F.count("*")).scalar() * F.lit(float(q))))
+        one = F.lit(0).alias("rec")
+        rows = df.select(one, F.transform(vector, lambda x: F.abs(x.cast("double"))).alias("x"))
+        rank = df.agg(F.floor(F.sum(F.size(vector)) * F.lit(float(q))).alias("rank"))
+        return order_statistics(rows, rank.filter("rank IS NOT NULL").select(one, "rank")).select("value")
 
     def quantile(s):
         place = (F.size(s) - 1) * F.lit(float(q))

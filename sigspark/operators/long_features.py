@@ -87,11 +87,11 @@ def order_statistics(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 out = []
-                for rec, x, prefixes in zip(f["rec"], f["x"], f["prefixes"]):
-                    keys = _keys(np.asarray(x, np.float64))
-                    for p in prefixes:  # noqa: B007
-                        mine = keys if shift == 64 - DIGIT else keys[keys >> np.uint64(shift + DIGIT) == np.uint64(p)]  # noqa: B023
-                        digit, n = np.unique(mine >> np.uint64(shift) & np.uint64((1 << DIGIT) - 1), return_counts=True)  # noqa: B023
+                for rec, mine in f.groupby("rec", sort=False):
+                    keys = _keys(np.concatenate(mine["x"].to_list()).astype(np.float64))
+                    for p in mine["prefixes"].iloc[0]:
+                        some = keys if shift == 64 - DIGIT else keys[keys >> np.uint64(shift + DIGIT) == np.uint64(p)]  # noqa: B023
+                        digit, n = np.unique(some >> np.uint64(shift) & np.uint64((1 << DIGIT) - 1), return_counts=True)  # noqa: B023
                         out.append(pd.DataFrame({"rec": rec, "prefix": int(p), "digit": digit.astype(np.int64), "n": n.astype(np.int64)}))
                 if out:
                     yield pd.concat(out)

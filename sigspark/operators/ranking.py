@@ -53,22 +53,6 @@ def take_lowest(df: DataFrame, key: str, wanted, group: list[str] | None = None)
     return kept.drop("_cut", "_all") if constant else kept.drop("_cut")
 
 
-def as_number(df: DataFrame, column: str) -> Column:
-    """A double in the order of a numeric or time column, whatever the session's time zone."""
-    c = F.col(column)
-    if df.schema[column].dataType.typeName() == "timestamp_ntz":
-        second = F.extract(F.lit("SECOND"), c).cast("double")
-        return F.datediff(c, F.lit("1970-01-01").cast("date")) * 86400.0 + F.hour(c) * 3600 + F.minute(c) * 60 + second
-    return c.cast("double")
-
-
-def quantile_splits(df: DataFrame, column: str, buckets: int = 64) -> list[float]:
-    """Borders that cut ``column`` into nearly equal parts; a fixed number of values reaches the driver."""
-    probabilities = [i / buckets for i in range(1, buckets)]
-    borders = df.select(as_number(df, column).alias(column)).approxQuantile(column, probabilities, 0.001)
-    return [float("-inf"), *sorted(set(borders)), float("inf")]
-
-
 def number_rows(df: DataFrame, group: list[str], order: list[str], out: str = "row_index") -> DataFrame:
     """Zero-based position of each row in its group, ordered by ``order``.
 

@@ -29,9 +29,9 @@ SHARD_IDS = 1_000_000
 #: A pair is replaced if it occurs so often: a rule takes the room of three symbols.
 LEAST = 4
 #: A round replaces pairs down to one so manieth of the limit of the round before, from the most frequent pair on.
-SHARE = 8
+SHARE = 64
 #: At the lowest limit a round must shorten the shard by one so manieth.
-PAYS = 128
+PAYS = 64
 #: Counters of pairs by hash.
 SLOTS = 1 << 20
 #: Documents that are encoded together.

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sigspark.operators import bpe, prompts, scoring, templates, tokens
+from sigspark.operators import bpe, prompts, scoring, templates
 from sigspark.sources import schemas, tables
 
 

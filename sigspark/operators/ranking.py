@@ -30,7 +30,8 @@ def take_lowest(df: DataFrame, key: str, wanted, group: list[str] | None = None)
     function from the group's row count (a column) to a column, or a table with
     the group columns and ``_wanted``. The cut value of each group is found from
     bucket counts plus a sort of the one bucket that the cut falls into, so the
-    rows themselves are only filtered.
+    rows themselves are only filtered. The tables of edges and cuts have one row
+    for each group; they are written, so that few are broadcast and no row moves.
     """
     constant = not group
     if constant:
@@ -42,14 +43,14 @@ def take_lowest(df: DataFrame, key: str, wanted, group: list[str] | None = None)
     else:
         starts = starts.join(wanted.select(*group, "_wanted"), group)
     cut_here = (F.col("_before") < F.col("_wanted")) & (F.col("_before") + F.col("_n") >= F.col("_wanted"))
-    edges = starts.filter(cut_here & (F.col("_wanted") < F.col("_total")))
-    in_edge = keyed.select(*group, "_bucket", key).join(
-        edges.select(*group, "_bucket", (F.col("_wanted") - F.col("_before")).alias("_need")), [*group, "_bucket"]
-    )
+    last = starts.filter((cut_here & (F.col("_wanted") < F.col("_total"))) | (F.col("_wanted") >= F.col("_total")))
+    need = F.when(F.col("_wanted") < F.col("_total"), F.col("_wanted") - F.col("_before"))  # null: the whole group
+    last = sized(last.select(*group, F.when(need.isNotNull(), F.col("_bucket")).alias("_bucket"), need.alias("_need")).distinct(), "edges")
+    in_edge = keyed.select(*group, "_bucket", key).join(last.filter("_need IS NOT NULL"), [*group, "_bucket"])
     place = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(key))
     cuts = in_edge.withColumn("_place", place).filter("_place = _need").select(*group, F.col(key).alias("_cut"))
-    whole = starts.filter("_wanted >= _total").select(*group, F.lit("g").alias("_cut")).distinct()
-    kept = df.join(cuts.unionByName(whole), group).filter(F.col(key) <= F.col("_cut"))
+    whole = last.filter("_need IS NULL").select(*group, F.lit("g").alias("_cut"))
+    kept = df.join(sized(cuts.unionByName(whole), "cuts"), group).filter(F.col(key) <= F.col("_cut"))
     return kept.drop("_cut", "_all") if constant else kept.drop("_cut")
 
 

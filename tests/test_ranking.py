@@ -139,3 +139,50 @@ def test_aligned_sample_needs_equal_rows(spark):
     with pytest.raises(ValueError):
         splits.sample_fraction(a, "row", 1.5)
     assert splits.sample_aligned(a, a, "row", 0.001).count() == 1
+
+
+@pytest.fixture
+def planned(spark):
+    """Only tables of a few rows are broadcast, and plans are carried out as they are made."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "20000", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def _joins(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_group_do_not_meet_to_be_cut(planned):
+    # The cut of a group is one row: the rows stay where they are instead of being dealt by the group.
+    rows = planned.range(30_000).select(F.col("id").alias("row"), F.lit("same").alias("grp"))
+    hashed = rows.withColumn("h", F.md5(F.col("row").cast("string")))
+    for got in (ranking.take_lowest(hashed, "h", lambda t: F.lit(5)), splits.sample_rows(rows, "row", 5)):
+        assert "SortMergeJoin" not in _joins(got)
+        assert got.count() == 5
+
+
+def test_aligned_sample_is_drawn_before_the_columns_are_joined(planned):
+    left = planned.range(300_000).select(F.col("id").alias("row"), (F.col("id") * 2).alias("x"))
+    right = planned.range(300_000).select(F.col("id").alias("row"), (F.col("id") * 3).alias("y"))
+    got = splits.sample_aligned(left, right, "row", 0.0001)
+    assert got.columns == ["row", "x", "y"]
+    assert got.filter("x <> 2 * row OR y <> 3 * row").count() == 0 and got.count() == 30
+    want = splits.sample_fraction(left, "row", 0.0001)
+    assert {r["row"] for r in got.collect()} == {r["row"] for r in want.collect()}
+    assert _joins(got).count("SortMergeJoin") <= 2  # the columns of the rows that stay, once each
+
+
+def test_large_group_is_not_dealt_to_one_task(planned):
+    rows = planned.range(20_000).select(F.col("id").alias("row"), F.when(F.col("id") % 2 == 0, "p1").otherwise(F.lit(None)).alias("p"))
+    split = splits.grouped_split(rows, "row", "p", folds=2)
+    assert split.count() == 40_000 and split.columns == ["row", "p", "fold", "split"]
+    assert split.filter("p IS NOT NULL").select("fold", "split").distinct().count() == 2
+    assert [r["n"] for r in split.filter("split = 'train'").groupBy("fold").agg(F.count("*").alias("n")).collect()] == [14_000] * 2
+    split = splits.grouped_split(rows, "row", "p")
+    sizes = split.groupBy(F.spark_partition_id()).count().orderBy(F.desc("count")).limit(1).collect()
+    assert sizes[0]["count"] < 10_000  # p1 has 10,000 rows

@@ -100,4 +100,6 @@ def sample_aligned(left: DataFrame, right: DataFrame, row: str, fraction: float,
     odd = sides.groupBy(row).agg(F.sum("_l").alias("l"), F.count("*").alias("n")).filter("l <> 1 or n <> 2")
     if not odd.limit(1).isEmpty():
         raise ValueError("lists must have the same rows")
-    return sample_fraction(left.join(right, row), row, fraction, seed, at_least=1)
+    # Both sides have the same rows, so the ids of one decide; the columns are joined for the rows that stay.
+    chosen = sample_fraction(left.select(row).filter(F.col(row).isNotNull()), row, fraction, seed, at_least=1)
+    return chosen.join(left, row).join(right, row)

@@ -4,8 +4,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.functions.hashing import hash_hex
+from sigspark.functions.session import sized
 from sigspark.operators.ranking import take_lowest
 
+HEAVY = 1000  # a group of more than this part of all rows is large
+
 
 def corpus_of(path: Column) -> Column:
     """Path part after the first part named ``data``; empty if there is none."""
@@ -43,14 +46,16 @@ def grouped_split(
     round(n * ratio). With sizes sorted, only the number of groups of each size
     matters, so the greedy walk runs over the size histogram. Its distinct sizes
     number at most sqrt(2n). Which groups of a size go to train is decided by hash,
-    a fresh one per fold, without sorting a whole size class in one task.
+    a fresh one per fold, without sorting a whole size class in one task. Groups
+    of more than a HEAVY-th of all rows are few; their rows meet their side by a
+    broadcast and are dealt out by row, so no task gets a whole large group.
     """
     # The prefixes keep a stand-alone row apart from a group with the same name.
     identity = F.when(F.col(group).isNotNull(), F.concat(F.lit("g"), F.col(group))).otherwise(
         F.concat(F.lit("r"), F.col(row))
     )
     keyed = df.withColumn("_group", identity)
-    groups = keyed.groupBy("_group").agg(F.count("*").alias("_size"))
+    groups = sized(keyed.groupBy("_group").agg(F.count("*").alias("_size")), "groups")
     histogram = [(r["_size"], r["n"]) for r in groups.groupBy("_size").agg(F.count("*").alias("n")).collect()]
     total = sum(size * n for size, n in histogram)
     takes = _greedy_takes(histogram, round(total * train_ratio))
@@ -61,7 +66,14 @@ def grouped_split(
     hashed = F.concat(F.md5(F.concat(F.lit(seed - 1) + F.col("fold"), F.lit(":"), F.col("_group"))), F.lit(":"), F.col("_group"))
     train = take_lowest(per_fold.withColumn("_hash", hashed), "_hash", wanted, ["fold", "_size"]).select("fold", "_group")
     in_train = train.groupBy("_group").agg(F.collect_set("fold").alias("_train"))
-    marked = keyed.join(in_train, "_group", "left").withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
+    large = groups.filter(F.col("_size") > max(1, total // HEAVY)).join(in_train, "_group", "left")
+    large = sized(large.select("_group", F.coalesce("_train", F.array().cast("array<int>")).alias("_of_large")), "large_groups")
+    apart = keyed.join(large, "_group", "left")
+    # A large group's rows have their side; where they go does not matter, as long as they do not go together.
+    place = F.when(F.col("_of_large").isNull(), F.col("_group")).otherwise(F.concat(F.lit("x"), F.xxhash64(row).cast("string")))
+    joined = apart.withColumn("_group", place).join(in_train, "_group", "left")
+    marked = joined.withColumn("_train", F.coalesce("_of_large", "_train")).drop("_of_large")
+    marked = marked.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
     is_train = F.coalesce(F.array_contains("_train", F.col("fold")), F.lit(False))
     return marked.withColumn("split", F.when(is_train, "train").otherwise("test")).drop("_group", "_train")
 

@@ -19,7 +19,8 @@ from sigspark.operators.long_features import order_statistics
 
 BLOCK_ROWS = 32768  # largest block; rows are copied once per block, so few large blocks move the least data
 BLOCK_BYTES = 128 << 20  # of the vectors of a block in double precision; wide vectors make blocks of fewer rows
-CHUNK_ROWS = 512  # rows of a block multiplied at a time, which bounds the memory of a task
+CHUNK_ROWS = 512  # most rows of a block multiplied at a time
+CHUNK_CELLS = 1 << 20  # entries of a product at a time; a step holds several arrays of this size, whatever the size of the blocks
 TIE_DIGITS = 9  # similarities equal to this many digits are ties; the lower id comes first
 
 
@@ -84,9 +85,10 @@ def _matrix(pdf: pd.DataFrame, column: str) -> np.ndarray:
     return np.stack(pdf[column].to_list()).astype(np.float64)
 
 
-def _chunks(x: np.ndarray):
-    """(first row, rows) pieces of a block."""
-    return ((start, x[start : start + CHUNK_ROWS]) for start in range(0, len(x), CHUNK_ROWS))
+def _chunks(x: np.ndarray, width: int):
+    """(first row, rows) pieces of a block that is multiplied by ``width`` rows."""
+    rows = max(1, min(CHUNK_ROWS, CHUNK_CELLS // max(1, width)))
+    return ((start, x[start : start + rows]) for start in range(0, len(x), rows))
 
 
 def neighbours(df: DataFrame, k: int, spaces=("a", "b"), block_rows: int | None = None) -> DataFrame:
@@ -114,7 +116,7 @@ def neighbours(df: DataFrame, k: int, spaces=("a", "b"), block_rows: int | None
             row_ids, col_ids = rows["id"].to_numpy(), cols["id"].to_numpy()
             for space in spaces:
                 turned = _matrix(cols, space).T
-                for start, x in _chunks(_matrix(rows, space)):
+                for start, x in _chunks(_matrix(rows, space), len(cols)):
                     sim = x @ turned
                     if rows is cols:
                         own = np.arange(len(x))
@@ -289,7 +291,7 @@ def cka_rbf(df: DataFrame, sigma: float = 1.0, unbiased: bool = False, block_row
             return pd.DataFrame(columns=["id", "k", "l", "kl", "kk", "ll"])
         xa, xb, ya, yb = (_matrix(side, c) for side in (first, second) for c in "ab")
         by_row, by_col = np.zeros((len(first), 5)), np.zeros((len(second), 5))
-        for start, x in _chunks(xa):
+        for start, x in _chunks(xa, len(second)):
             k, l = kernel(x, ya), kernel(xb[start : start + len(x)], yb)
             if first is second:
                 own = np.arange(len(x))
@@ -432,7 +434,7 @@ def contrastive_loss(df: DataFrame, temperature: float = 0.07, block_rows: int |
             return pd.DataFrame(columns=["id", "side", "total"])
         turned = _matrix(cols, "b").T
         by_row, by_col = np.zeros(len(rows)), np.zeros(len(cols))
-        for start, x in _chunks(_matrix(rows, "a")):
+        for start, x in _chunks(_matrix(rows, "a"), len(cols)):
             e = np.exp(x @ turned / temperature - shift)
             by_row[start : start + len(x)] = e.sum(axis=1)
             by_col += e.sum(axis=0)

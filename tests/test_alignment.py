@@ -166,3 +166,12 @@ def test_blocks_of_several_chunks(spark):
     s = a @ b.T / 0.07
     ce = lambda m: np.mean(np.log(np.exp(m).sum(axis=1)) - np.diag(m))
     assert value(alignment.contrastive_loss(frame, block_rows=1000)) == pytest.approx(ce(s) + ce(s.T), abs=1e-9)
+
+
+@pytest.mark.parametrize("width", [1, 700, 32768, 3 << 20])
+def test_a_product_does_not_grow_with_the_blocks(width):
+    block = np.arange(1500.0).reshape(750, 2)
+    pieces = list(alignment._chunks(block, width))
+    assert all(len(x) * width <= alignment.CHUNK_CELLS or len(x) == 1 for _, x in pieces)
+    assert np.array_equal(np.concatenate([x for _, x in pieces]), block)
+    assert [start for start, _ in pieces] == np.cumsum([0, *(len(x) for _, x in pieces)])[:-1].tolist()

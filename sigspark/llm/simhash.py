@@ -360,8 +360,10 @@ def hexadecimal(fp):
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id.
 
-    Near copies have a similarity of five-word shingles of 0.8 or more; all such
-    pairs count. A document is a doc_id with a text: of rows with one doc_id those
+    Items whose SimHash fingerprints are close are held against each other, and
+    whole sets check them (``similar``). Near copies have a similarity of
+    five-word shingles of 0.8 or more; all such pairs count, also those that
+    fingerprints lose. A document is a doc_id with a text: of rows with one doc_id those
     whose text is a copy go and others stay, and repeated rows stay or go
     together. A row whose doc_id is null stays. Null and empty texts are one
     group. An empty table gives an empty result; other columns than those of

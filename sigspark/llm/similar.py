@@ -1,9 +1,11 @@
-"""Near copies by an exact join of word shingles: no pair of a similarity of 0.8 or more is lost.
+"""Near copies by SimHash fingerprints and an exact check; a join of word shingles brings the pairs that fingerprints lose.
 
 The similarity of two texts is the number of shingles in both over the number
-in either. In any order of all shingles, two sets of that similarity share one
-among their first fifth; so documents meet at those shingles only, and whole
-sets decide. Frequent shingles come last in the order: few documents meet at one.
+in either. Sets whose fingerprints differ in few bits are held against each
+other first. In any order of all shingles, two sets of a similarity of 0.8 share
+one among their first fifth; so documents that are still apart meet at those
+shingles only, and whole sets decide. Frequent shingles come last in the order:
+few documents meet at one. No pair of a similarity of 0.8 or more is lost.
 """
 from __future__ import annotations
 
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sigspark.functions.session import drop_table
 from sigspark.llm.common import as_bytes, stored
-from sigspark.llm.simhash import components, hashes
+from sigspark.llm.simhash import components, fold, hashes, links
 
 SHINGLE = 5
 #: Shingles are counted in one of so many texts. The order they get changes the work, never the result.
@@ -32,6 +34,8 @@ ROUNDS = ((1, 2), (12, 6))
 MEMBERS = 256
 #: Buckets of a sketch, a byte each.
 BUCKETS = 512
+#: Texts whose sets a worker holds at once.
+ROWS = 256
 
 
 def alike(common: Column, a: Column, b: Column) -> Column:
@@ -39,6 +43,13 @@ def alike(common: Column, a: Column, b: Column) -> Column:
     return common * 9 >= (a + b) * 4
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, ROWS at a time."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, ROWS):
+            yield batch.slice(s, ROWS)
+
+
 def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[np.ndarray, int]]:
     """Distinct shingle hashes of each text, and their digest as a number."""
     for text in as_bytes(batch, "text"):
@@ -61,7 +72,7 @@ def frequent_shingles(docs: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarr
     """Shingles that three or more sampled texts have, sorted, with their counts; at most FREQUENT."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             parts = [s for s, _ in _sets(batch, shingle)]
             yield pa.record_batch([pa.array(np.concatenate(parts).view(np.int64) if parts else [], pa.int64())], names=["token"])
 
@@ -74,20 +85,21 @@ def frequent_shingles(docs: DataFrame, shingle: int = SHINGLE) -> tuple[np.ndarr
 
 
 def first_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text_hash, item, n, prefix, sketch): size of the set of every text, its first shingles in the common order, its sketch.
+    """(doc_id, text_hash, item, n, prefix, sketch, fp): size of the set of every text, its first shingles in the common order, its sketch and its fingerprint.
 
     Texts of the same set are one item.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))  # at most FREQUENT
     schema = pa.schema(
-        [(c, pa.int64()) for c in ("doc_id", "text_hash", "item")] + [("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary())]
+        [(c, pa.int64()) for c in ("doc_id", "text_hash", "item")] + [("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary()), ("fp", pa.int64())]
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = shared.value
-        for batch in batches:
-            rows = []
-            for s, item in _sets(batch, shingle):
+        for batch in _pieces(batches):
+            rows, sets = [], list(_sets(batch, shingle))
+            marks = fold([s for s, _ in sets], 1)[:, 0].view(np.int64).tolist()
+            for (s, item), mark in zip(sets, marks):
                 place = np.searchsorted(known, s)
                 count = np.zeros(len(s), np.int64)
                 if len(known):
@@ -95,13 +107,13 @@ def first_shingles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     same = known[place] == s
                     count[same] = often[place[same]]
                 first = len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0
-                rows.append((item, len(s), s[np.argsort(count, kind="stable")[:first]].view(np.int64), sketch(s)))
+                rows.append((item, len(s), s[np.argsort(count, kind="stable")[:first]].view(np.int64), sketch(s), mark))
             yield pa.record_batch(
                 [batch.column("doc_id"), batch.column("text_hash"), *(pa.array([r[k] for r in rows], f.type) for k, f in enumerate(list(schema)[2:]))],
                 schema=schema,
             )
 
-    return _keyed(docs).mapInArrow(work, "doc_id long, text_hash long, item long, n int, prefix array<long>, sketch binary")
+    return _keyed(docs).mapInArrow(work, "doc_id long, text_hash long, item long, n int, prefix array<long>, sketch binary, fp long")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -113,7 +125,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> Da
     schema = pa.schema([("item", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             # A hash may be that of other texts too.
             got = [(i, s.view(np.int64)) for i, (s, item) in zip(batch.column("item").to_pylist(), _sets(batch, shingle)) if i == item]
             yield pa.record_batch([pa.array([x[k] for x in got], f.type) for k, f in enumerate(schema)], schema=schema)
@@ -122,6 +134,36 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> Da
     return texts.mapInArrow(work, "item long, tokens array<long>").dropDuplicates(["item"])
 
 
+def fingerprint_groups(firsts: DataFrame) -> DataFrame:
+    """(item, fp, near): every item with its fingerprint and the group that chains of close fingerprints join it to.
+
+    Fingerprints are close by ``simhash.links``; equal ones meet as one.
+    """
+    rows = stored(firsts.select("item", "fp").distinct(), "fingerprints")
+    keys = stored(rows.select("fp").distinct().select(F.array("fp").alias("fps"), F.col("fp").alias("item")), "keys")
+    near = components(links(keys))
+    return rows.join(near.select(F.col("item").alias("fp"), "component"), "fp", "left").select("item", "fp", F.coalesce("component", "fp").alias("near"))
+
+
+def neighbours(groups: DataFrame) -> DataFrame:
+    """(a, b): items of a group that are next to each other in the order of their fingerprints.
+
+    Rows are dealt out by ranges of the whole order, so a large group is in many
+    tasks; its chain is open where a range ends.
+    """
+    order = ["near", "fp", "item"]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, item = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            near, item = (np.append(x[-1:], batch.column(c).to_numpy()) for x, c in ((near, "near"), (item, "item")))
+            same = np.flatnonzero(near[1:] == near[:-1])
+            yield pa.record_batch([pa.array(item[same]), pa.array(item[same + 1])], schema=schema)
+
+    return groups.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(work, "a long, b long")
+
+
 def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b, …) whose sketches allow a similarity of 0.8; none of that similarity is lost."""
     columns = pairs.columns
@@ -211,7 +253,8 @@ def _replaced(new: DataFrame, old: DataFrame | None, stem: str) -> DataFrame:
 def similar_links(docs: DataFrame, firsts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(item, component) over all pairs of a similarity of 0.8 or more; items without such a pair are absent.
 
-    Items meet at their first shingles. In the first round each is held against
+    First items with close fingerprints are held against each other. Then items
+    meet at their first shingles. In the first round each is held against
     its next one in a random order, so that a large group of copies becomes few
     components by a chain of a few links for each item; in the next ones those still
     apart are held against some more. Then components that share a shingle are held
@@ -245,11 +288,14 @@ def similar_links(docs: DataFrame, firsts: DataFrame, shingle: int = SHINGLE) ->
 
     at, found = stored(places.withColumn("component", F.col("item")), "apart"), None
     drop_table(places)
-    for turn in range(len(ROUNDS) + 1):
-        if turn < len(ROUNDS):
+    for turn in range(-1, len(ROUNDS) + 1):
+        if turn < 0:
+            met = neighbours(fingerprint_groups(firsts)).select("a", "b", F.col("a").alias("p"), F.col("b").alias("q"))
+            more = linked(possible(met, sketches))
+        elif turn < len(ROUNDS):
             one = F.struct("item", "n", "pos", "component")
-            neighbours, partners = ROUNDS[turn]
-            order = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "item"), "item").rowsBetween(-neighbours, -1)
+            earlier, partners = ROUNDS[turn]
+            order = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "item"), "item").rowsBetween(-earlier, -1)
             met = at.select(one.alias("x"), F.collect_list(one).over(order).alias("others"))
             met = met.select("x", F.explode("others").alias("y")).filter("x.component <> y.component")
             low, high = (f(F.struct("x.item", "x.component"), F.struct("y.item", "y.component")) for f in (F.least, F.greatest))
@@ -261,7 +307,7 @@ def similar_links(docs: DataFrame, firsts: DataFrame, shingle: int = SHINGLE) ->
         else:
             more = linked(across(at, sketches))
         joined = components(more.select(F.col("p").alias("a"), F.col("q").alias("b")))
-        further = stored(joined.select(F.col("item").alias("old"), F.col("component").alias("new")), f"further{turn}")
+        further = stored(joined.select(F.col("item").alias("old"), F.col("component").alias("new")), f"further{turn + 1}")
         drop_table(joined)
         drop_table(more)
         if found is None:

@@ -167,6 +167,34 @@ def test_stage_joins_every_similar_pair(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == set(want)
 
 
+def test_stage_goes_by_fingerprints_first(spark, monkeypatch):
+    """Groups of fingerprints against plain ones; the pairs they propose are checked on whole sets."""
+    from sigspark.llm import similar
+
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    values = base + [v ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for v in base * 3]
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    rows = similar.fingerprint_groups(spark.createDataFrame(list(enumerate(signed)), "item long, fp long")).collect()
+    near = {r["item"]: r["near"] for r in rows}
+    want = brute.reach(list(range(len(values))), values, lambda a, b: (a ^ b).bit_count() <= 3)
+    assert len({(near[i], w) for i, w in enumerate(want)}) == len(set(want)) == len(set(near.values()))
+    groups = spark.createDataFrame([tuple(r) for r in rows], "item long, fp long, near long").coalesce(1)
+    assert all(near[r["a"]] == near[r["b"]] for r in similar.neighbours(groups).collect())
+
+    proposed, real = [], similar.possible
+    monkeypatch.setattr(similar, "possible", lambda pairs, sketches: proposed.append(pairs.count()) or real(pairs, sketches))
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for _ in range(20):
+        words = [word() for _ in range(2000)]
+        texts += [" ".join(words), " ".join([*words[:-1], "changed"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_copies(df).collect()}
+    assert got == {i: i // 2 * 2 for i in range(40)}
+    assert proposed[0] >= 15 and not any(proposed[1:])  # all but those whose fingerprints differ, or whose chain a range cuts
+
+
 def test_stage_keeps_other_texts_of_a_removed_number(spark):
     one, two = "first text that is long enough to have shingles", "second, unlike any other of these texts"
     rows = [(3, one), (5, one), (5, two), (5, two), (None, one), (9, None), (8, "")]

@@ -6,6 +6,7 @@ is one narrow pass and one small aggregation, whatever the words are.
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -213,8 +214,12 @@ def lcs_words(a: list, b: list) -> set:
     """Words of the longest common subsequence found by walking back from both ends, towards earlier ``b`` on ties.
 
     A row of the length table is kept as one integer: bit j is clear where the
-    length grows at position j, which is all that walking back has to know.
+    length grows at position j, which is all that walking back has to know. If
+    one side is a subsequence of the other, it is the longest common one.
     """
+    short, rest = (a, iter(b)) if len(a) < len(b) else (b, iter(a))
+    if all(w in rest for w in short):
+        return set(short)
     at = defaultdict(int)
     for j, w in enumerate(b):
         at[w] |= 1 << j
@@ -294,26 +299,55 @@ def average(scores: DataFrame) -> DataFrame:
     return scores.agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("value"))
 
 
+def _gram_codes(words: list, split: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each order up to MAX_N: a number for every n-gram before place ``split`` and behind it, and how many numbers there are."""
+    number = {}
+    code = word = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    size, out = len(number), []
+    for n in ORDERS:
+        if n > 1:  # an n-gram is one that is a word shorter and a word
+            code, size = code[: max(len(word) - n + 1, 0)] * len(number) + word[n - 1 :], 0
+            distinct, code = np.unique(code, return_inverse=True)
+            size = len(distinct)
+        out.append((code[: max(split - n + 1, 0)], code[split:], size))
+    return out
+
+
+def pair_counts(ref: str, hyp: str) -> tuple:
+    """All counts of a pair that its scores need, from its two texts."""
+    r, h = ref.split(), hyp.split()  # the white space of ``words``
+    matched = [int(np.minimum(np.bincount(a, minlength=size), np.bincount(b, minlength=size)).sum()) for a, b, size in _gram_codes(r + h, len(r))]
+    sides = [[" ".join(s.split()) for s in text.split(".") if s] for text in (ref, hyp)]
+    flat = [[w for s in side for w in s.split(" ")] for side in sides]
+    sets = [[set(w), set(zip(w, w[1:]))] for w in flat]
+    overlaps = [x for one, two in zip(*sets) for x in (len(one & two), len(two), len(one))]
+    return (len(r), len(h), matched, *aligned_runs([w.lower() for w in r], [w.lower() for w in h], True), *overlaps, common_subsequence_words(*sides))
+
+
+def _pair_counts():
+    @F.pandas_udf(
+        "ref_len int, hyp_len int, matched array<bigint>, aligned int, runs int, "
+        "both1 int, hyp1 int, ref1 int, both2 int, hyp2 int, ref2 int, found int"
+    )
+    def count(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
+        names = ["ref_len", "hyp_len", "matched", "aligned", "runs", "both1", "hyp1", "ref1", "both2", "hyp2", "ref2", "found"]
+        return pd.DataFrame([pair_counts(r, h) for r, h in zip(refs, hyps)], columns=names)
+
+    return count("ref", "hyp")
+
+
 def report(pairs: DataFrame, by: tuple = ()) -> DataFrame:
     """(by…, metric, sub_metric, value) of all scores, alignments with stems: one narrow pass over the pairs, one aggregation.
 
-    Without ``by``, zeros when no pair is admitted.
+    A pair's texts are split into words once for all scores. Without ``by``,
+    zeros when no pair is admitted.
     """
-    each = admitted(pairs).select(
-        *by, "ref", "hyp", _word_counts().alias("c"), _aligned(True).alias("a"), _subsequence_words().alias("_found")
-    )
-    scored = each.select(
-        *by,
-        "c.*",
-        "a.*",
-        _set_score(F.col("ref"), F.col("hyp"), 1).alias("_r1"),
-        _set_score(F.col("ref"), F.col("hyp"), 2).alias("_r2"),
-        _subsequence_score(F.col("_found")).alias("_rl"),
-        (F.col("ref") == F.col("hyp")).cast("double").alias("_acc"),
-    )
+    each = admitted(pairs).select(*by, (F.col("ref") == F.col("hyp")).cast("double").alias("_acc"), _pair_counts().alias("c"))
+    f1 = lambda overlap, n: _f1(F.col(overlap), F.col(f"hyp{n}"), F.col(f"ref{n}"))
+    scored = each.select(*by, "_acc", "c.*")
     means = {
         "BLEU_sent:": _sentence_score(), "METEOR:": _alignment_score(),
-        "ROUGE:rouge-1": F.col("_r1"), "ROUGE:rouge-2": F.col("_r2"), "ROUGE:rouge-l": F.col("_rl"), "ACC:": F.col("_acc"),
+        "ROUGE:rouge-1": f1("both1", 1), "ROUGE:rouge-2": f1("both2", 2), "ROUGE:rouge-l": f1("found", 1), "ACC:": F.col("_acc"),
     }
     sums = scored.groupBy(*by).agg(*_corpus_sums(), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(name) for name, c in means.items()])
     wide = sums.select(*by, _corpus_score().alias("BLEU:"), *[F.col(f"`{name}`") for name in means])

@@ -59,11 +59,16 @@ class Encoder:
 
     Words are folded to fewer ones where that changes no token: the vocabulary
     lower-cases anyway, and a mark behind a letter begins a new piece. Texts that
-    may hold a special token or a combining mark are left as they are.
+    may hold a special token or a combining mark are left as they are. New words of
+    letters alone go to the tokenizer many in one text: each is at least one piece,
+    and the last token of a piece alone has the mark of an end.
     """
 
     def __init__(self, path: str):
         self.codec = bpe.codec(path)
+        vocabulary = self.codec.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # the generation before: a word in use moves up
 
@@ -73,6 +78,15 @@ class Encoder:
             return text.split()
         return MARKED.sub(rb"\1 \2", text.lower()).split()
 
+    def pieces(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words of letters, from one text of them all; none if some word is more than one piece."""
+        ids = np.array(self.codec.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<i4")
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+        if len(ends) != len(words):
+            return {}
+        data = ids.tobytes()
+        return {w: data[a:b] for w, a, b in zip(words, [0, *ends], ends)}
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as bytes of 32-bit numbers."""
         cut = [self.words(t) for t in texts]
@@ -86,7 +100,10 @@ class Encoder:
                 else:
                     new.append(w)
         long = [w for w in new if len(w) > bpe.UNSPLIT]
-        short = [w for w in new if len(w) <= bpe.UNSPLIT]
+        plain = [w for w in new if len(w) <= bpe.UNSPLIT and w.decode().isalpha()]
+        for s in range(0, len(plain), 1024):
+            known.update(self.pieces(plain[s : s + 1024]))
+        short = [w for w in new if len(w) <= bpe.UNSPLIT and w not in known]
         for s in range(0, len(short), 4096):
             some = short[s : s + 4096]
             for w, e in zip(some, self.codec.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):

@@ -110,6 +110,39 @@ def test_files_hold_what_the_library_encodes(docs, monkeypatch, shard):  # noqa:
     assert got == want
 
 
+def test_new_words_go_to_the_tokenizer_together(monkeypatch):
+    """Words of letters in a few texts, also where one of them is more than one piece; ids are those of the library."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCéÉñßſüöçžłøæﬁǆαβγΩжщדش中文字한글"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 12)))
+    several = ["İstanbul", "\u0958क", "x\u0301", "don't", "a1b22", "<|endoftext|>", "</w>", "ªº"]
+    sent = []
+
+    class Spy:
+        def __init__(self, real):
+            self.real = real
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def encode_batch_fast(self, some, **more):
+            sent.extend(some)
+            return self.real.encode_batch_fast(some, **more)
+
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    for odd_words in ([], several):
+        e = repair.Encoder(bpe.default_vocabulary())
+        sent.clear()
+        with monkeypatch.context() as m:
+            m.setattr(e.codec, "tokenizer", Spy(e.codec.tokenizer))
+            texts = [" ".join([*(word() for _ in range(300)), *odd_words]) for _ in range(10)]
+            got = e.encode([t.encode() for t in texts])
+        assert [np.frombuffer(g, "<i4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert odd_words or len(sent) <= 4  # 3000 words
+
+
 def test_files_of_odd_rows_and_ranges(spark, odd, none, tmp_path):  # noqa: F811
     repair.write(odd, str(tmp_path / "ids"))
     shards = repair.read(spark, str(tmp_path / "ids"))

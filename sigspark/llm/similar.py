@@ -277,14 +277,16 @@ def similar_links(docs: DataFrame, firsts: DataFrame, shingle: int = SHINGLE) ->
         left = F.least(*(F.col(f"{x}.n") - F.col(f"{x}.pos") for x in (a, b)))
         return alike(left, F.col(f"{a}.n"), F.col(f"{b}.n"))
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame) -> DataFrame | None:
         pairs = stored(pairs, "pairs")
+        if not pairs.head(1):
+            return None
         tokens = sets.of(pairs)
         both = pairs.join(tokens.select(F.col("item").alias("a"), F.col("tokens").alias("s")), "a")
         both = both.join(tokens.select(F.col("item").alias("b"), F.col("tokens").alias("t")), "b")
         out = stored(both.filter(alike(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select("p", "q").distinct(), "found")
         drop_table(pairs)
-        return out
+        return out if out.head(1) else None
 
     at, found = stored(places.withColumn("component", F.col("item")), "apart"), None
     drop_table(places)
@@ -306,6 +308,8 @@ def similar_links(docs: DataFrame, firsts: DataFrame, shingle: int = SHINGLE) ->
             more = linked(possible(met.select("a", "b", "p", "q"), sketches))
         else:
             more = linked(across(at, sketches))
+        if more is None:
+            continue
         joined = components(more.select(F.col("p").alias("a"), F.col("q").alias("b")))
         further = stored(joined.select(F.col("item").alias("old"), F.col("component").alias("new")), f"further{turn + 1}")
         drop_table(joined)
@@ -326,7 +330,7 @@ def similar_links(docs: DataFrame, firsts: DataFrame, shingle: int = SHINGLE) ->
     sets.drop()
     for table in (at, sketches):
         drop_table(table)
-    return found
+    return docs.sparkSession.createDataFrame([], "item long, component long") if found is None else found
 
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -10,13 +10,15 @@ from __future__ import annotations
 import functools
 import re
 import struct
+import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +36,12 @@ SHARE = 64
 PAYS = 64
 #: Counters of pairs by hash.
 SLOTS = 1 << 20
-#: Documents that are encoded together.
-ROWS = 256
+#: Documents and bytes of text that are encoded together; one longer text is alone.
+ROWS, BYTES = 1024, 4 << 20
+#: Documents that are handed on together.
+HANDED = 256
 #: Distinct words of a generation that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Ends every document.
 END = 1
 #: Requests that go to a shard together.
@@ -50,8 +54,19 @@ _SHARDS = pa.schema(
 )
 
 
-#: A letter and a mark behind it: the vocabulary splits a word there, so the two are encoded by themselves.
-MARKED = re.compile(rb"([a-z])([!-/:-@\[-`{-~])")
+#: Kinds of bytes: white space, letters, and marks. The vocabulary splits a word between a letter and a mark behind it, so the two are encoded by themselves.
+BLANK, LETTER, MARKS = 1, 2, 3
+KIND = bytes(
+    BLANK if c in b" \t\n\r\x0b\x0c" else LETTER if 97 <= c <= 122 else MARKS if 33 <= c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126 else 0
+    for c in range(256)
+)
+#: Small letters that every version of Unicode has as such, that no normal form changes and that join to no neighbour: Latin, Greek, Cyrillic, Hebrew, kana, Han.
+SMALL = re.compile(
+    "[a-z" + "".join(
+        chr(c) for a, b in ((0xDF, 0x17F), (0x3B1, 0x3C9), (0x430, 0x45F), (0x5D0, 0x5EA), (0x3041, 0x3094), (0x30A1, 0x30FA), (0x4E00, 0x9FA5)) for c in range(a, b + 1)
+        if chr(c).isalpha() and chr(c).lower() == chr(c) == unicodedata.normalize("NFC", chr(c))
+    ) + "]+"
+).fullmatch
 
 
 class Encoder:
@@ -61,59 +76,105 @@ class Encoder:
     lower-cases anyway, and a mark behind a letter begins a new piece. Texts that
     may hold a special token or a combining mark are left as they are. New words of
     letters alone go to the tokenizer many in one text: each is at least one piece,
-    and the last token of a piece alone has the mark of an end.
+    and the last token of a piece alone has the mark of an end. Words of small
+    letters are as the tokenizer's normalizer leaves them and one piece each, so
+    they go to its model at once.
     """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
         self.codec = bpe.codec(path)
         vocabulary = self.codec.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.letters, self.model = (Tokenizer(self.codec.tokenizer.model) for _ in range(2))  # the same model, not a copy
+        blanks = pre_tokenizers.WhitespaceSplit()
+        self.letters.pre_tokenizer = blanks  # a letter from a to z stands for its byte
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([blanks, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # the generation before: a word in use moves up
 
     @staticmethod
-    def words(text: bytes) -> list[bytes]:
-        if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
-            return text.split()
-        return MARKED.sub(rb"\1 \2", text.lower()).split()
-
-    def pieces(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """Words of all texts in a row, and how many each text has."""
+        odd = [b"<|" in t or b"\xcc" in t or b"\xcd" in t for t in texts]
+        line = b" ".join([*(t if o else t.lower() for t, o in zip(texts, odd)), b""])
+        stops = np.cumsum([len(t) + 1 for t in texts])
+        kind = np.frombuffer(line.translate(KIND), np.uint8)
+        blank = kind == BLANK
+        new = np.empty(len(kind), bool)
+        new[:1] = True
+        np.logical_or(blank[:-1], (kind[:-1] == LETTER) & (kind[1:] == MARKS), out=new[1:])
+        for k in np.flatnonzero(odd).tolist():
+            a, b = int(stops[k]) - len(texts[k]) - 1, int(stops[k])
+            new[a + 1 : b] = blank[a : b - 1]
+        new &= ~blank
+        counts = np.diff(np.searchsorted(np.flatnonzero(new), stops), prepend=0)
+        # Without the white space, each word ends where the next one begins.
+        data = np.frombuffer(line, np.uint8)[~blank]
+        offsets = np.append(np.flatnonzero(new[~blank]), len(data))
+        return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]), counts
+
+    def pieces(self, words: list[bytes], by) -> dict[bytes, bytes]:
         """Ids of words of letters, from one text of them all; none if some word is more than one piece."""
-        ids = np.array(self.codec.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<i4")
+        ids = np.array(by.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<i4")
         ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
         if len(ends) != len(words):
             return {}
         data = ids.tobytes()
         return {w: data[a:b] for w, a, b in zip(words, [0, *ends], ends)}
 
+    def learn(self, new: list[bytes]) -> None:
+        """Adds words to those known."""
+        known, english, small, plain, short = self.known, [], [], [], []
+        for w in new:
+            if len(w) > bpe.UNSPLIT:
+                known[w] = array("i", self.codec.long_word(w.decode())).tobytes()
+            elif w.isalpha() and w.islower():  # of bytes: a-z only
+                english.append(w)
+            else:
+                text = w.decode()
+                (small if SMALL(text) else plain if text.isalpha() else short).append(w)
+        for some, by in ((english, self.letters), (small, self.model), (plain, self.codec.tokenizer)):
+            for s in range(0, len(some), 1024):
+                got = self.pieces(some[s : s + 1024], by)
+                known.update(got)
+                if not got:
+                    short += some[s : s + 1024]
+        for s in range(0, len(short), 4096):
+            some = short[s : s + 4096]
+            for w, e in zip(some, self.codec.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                known[w] = array("i", e.ids).tobytes()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as bytes of 32-bit numbers."""
-        cut = [self.words(t) for t in texts]
+        words, counts = self.words(texts)
+        if not len(words):
+            return [b""] * len(texts)
+        coded = words.dictionary_encode()
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         known, older, new = self.known, self.older, []
-        for w in {w for words in cut for w in words}:
-            if w not in known:
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    new.append(w)
-        long = [w for w in new if len(w) > bpe.UNSPLIT]
-        plain = [w for w in new if len(w) <= bpe.UNSPLIT and w.decode().isalpha()]
-        for s in range(0, len(plain), 1024):
-            known.update(self.pieces(plain[s : s + 1024]))
-        short = [w for w in new if len(w) <= bpe.UNSPLIT and w not in known]
-        for s in range(0, len(short), 4096):
-            some = short[s : s + 4096]
-            for w, e in zip(some, self.codec.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                known[w] = array("i", e.ids).tobytes()
-        for w in long:
-            known[w] = array("i", self.codec.long_word(w.decode())).tobytes()
-        out = [b"".join([known[w] for w in words]) for words in cut]
-        for w in long:
-            del known[w]
-        return out
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(known.get, distinct))
+        missing = [k for k, x in enumerate(found) if x is None]
+        for k in missing:
+            w = distinct[k]
+            if w in older:
+                known[w] = older[w]
+            else:
+                new.append(w)
+        self.learn(new)
+        for k in missing:
+            found[k] = known[distinct[k]]
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[np.append(0, np.cumsum(counts))].tolist()
+        data = memoryview(ids.buffers()[2])
+        for w in new:
+            if len(w) > bpe.UNSPLIT:
+                del known[w]
+        return [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 @functools.lru_cache(maxsize=1)
@@ -131,6 +192,17 @@ class Grammar(NamedTuple):
     symbols: np.ndarray  # of all documents in a row
 
 
+def by_pair(place: np.ndarray, a: np.ndarray, b: np.ndarray, symbols: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and their pairs, by pair and then by place. Where both fit into one number, numbers are sorted instead of places."""
+    wide, low = symbols.bit_length(), n.bit_length()
+    if 2 * wide + low > 63:
+        pair = a << 32 | b
+        order = np.argsort(pair, kind="stable")
+        return place[order], pair[order]
+    key = np.sort((a << wide | b) << low | place)
+    return key & (1 << low) - 1, key >> low
+
+
 def compressed(ids: np.ndarray, counts: np.ndarray) -> Grammar:
     """The grammar of documents of ``counts`` ids each; pairs do not cross documents.
 
@@ -139,34 +211,34 @@ def compressed(ids: np.ndarray, counts: np.ndarray) -> Grammar:
     one symbol every second place counts. What was in the way is counted again
     in the next round. It ends when the pairs that are left do not pay.
     """
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     base = int(seq.max()) + 1 if len(seq) else 0
-    owner = np.repeat(np.arange(len(counts)), counts)
+    owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     rounds, left, right, lengths = [], [], [], [np.ones(base, np.int64)]
     total, limit = base, len(seq)
     while len(seq) > 1:
         place = np.flatnonzero(owner[1:] == owner[:-1])
         a, b = seq[place], seq[place + 1]
         # Counts by a hash of the pair are too high at most: few places are left to be sorted by pair.
-        slot = (a * 0x9E3779B1 + b * 0x85EBCA6B >> 7) & SLOTS - 1
+        slot = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B) >> np.uint32(7)) & np.uint32(SLOTS - 1)
         rough = np.bincount(slot, minlength=SLOTS)
         limit = max(LEAST, min(limit, int(rough.max(initial=0))) // SHARE)
         some = np.flatnonzero((rough >= limit)[slot])
-        place, pair = place[some], a[some] << 32 | b[some]
-        order = np.argsort(pair)
-        first = np.flatnonzero(np.append(True, pair[order][1:] != pair[order][:-1])) if len(pair) else np.zeros(0, np.int64)
+        place, pair = by_pair(place[some], a[some].astype(np.int64), b[some].astype(np.int64), total, len(seq))
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
         times = np.diff(np.append(first, len(pair)))
         frequent = np.flatnonzero(times >= limit)
-        rank = np.full(len(times), len(times))
+        rank = np.full(len(times), len(times), np.int32)
         rank[frequent[np.argsort(-times[frequent], kind="stable")]] = np.arange(len(frequent))
-        at = np.full(len(seq) + 1, len(times))  # rank of the pair that begins at a place
-        at[place[order]] = np.repeat(rank, times)
+        at = np.full(len(seq) + 1, len(times), np.int32)  # rank of the pair that begins at a place
+        at[place] = np.repeat(rank, times)
         here, before = at[1:-1], at[:-2]
-        run = np.append(False, (here == before) & (here < len(times)))
-        if run.any():
-            start = np.maximum.accumulate(np.where(run, 0, np.arange(len(run))))
-            at[: len(run)][(np.arange(len(run)) - start) % 2 == 1] = len(times)
-        taken = (at[:-1] < len(times)) & (at[:-1] < at[1:]) & (at[:-1] < np.append(len(times), at[:-2]))
+        run = np.flatnonzero((here == before) & (here < len(times))) + 1
+        if len(run):
+            start = np.maximum.accumulate(np.where(np.append(True, run[1:] != run[:-1] + 1), run, 0))
+            at[run[(run - start) % 2 == 0]] = len(times)
+        taken = (at[:-1] < len(times)) & (at[:-1] < at[1:])
+        taken[1:] &= at[1:-1] < at[:-2]
         spot = np.flatnonzero(taken)
         often = np.bincount(at[spot], minlength=len(frequent))
         kept = np.flatnonzero(often >= LEAST - 1)
@@ -193,7 +265,7 @@ def compressed(ids: np.ndarray, counts: np.ndarray) -> Grammar:
     none = np.zeros(0, np.int64)
     return Grammar(
         base, np.array(rounds, np.int64), np.concatenate([none, *left]), np.concatenate([none, *right]),
-        np.concatenate([none, *lengths[1:]]), np.bincount(owner, minlength=len(counts)), seq,
+        np.concatenate([none, *lengths[1:]]), np.bincount(owner, minlength=len(counts)), seq.astype(np.int64),
     )
 
 
@@ -264,6 +336,17 @@ def between(g: Grammar, nth: int, start: int, stop: int) -> list[int]:
     return out
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, ROWS or BYTES of text at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+    ends, s = np.cumsum(sizes, dtype=np.int64), 0
+    while s < len(ends):
+        stop = int(np.searchsorted(ends, ends[s] - sizes[s] + BYTES, "right"))
+        n = min(ROWS, max(1, stop - s))
+        yield batch.slice(s, n)
+        s += n
+
+
 def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
     """Encodes every whole text, ends it with ``END``, and writes shards in ascending doc_id order below ``path``.
 
@@ -287,8 +370,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
             return pa.record_batch([pa.array([x], f.type) for x, f in zip((part, shard, before, held, docs, data), _SHARDS)], schema=_SHARDS)
 
         for batch in batches:
-            for s in range(0, batch.num_rows, ROWS):
-                some = batch.slice(s, ROWS)
+            for some in portions(batch):
                 part = some.column("part")[0].as_py()
                 for doc_id, ids in zip(some.column("doc_id").to_pylist(), words.encode(as_bytes(some, "text"))):
                     texts.append(ids + end)
@@ -308,28 +390,35 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SHARDS).parquet(path)
 
 
-def documents(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, ids): every document of the files, with the number of ids of all documents before it."""
+def _opened(shards: DataFrame, schema: pa.Schema, kind: str, columns: Callable[[np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
+    """(doc_id, start, …): every document of the files, with the number of ids of all documents before it.
+
+    ``columns`` makes the other columns from the ids of some documents and from where each begins, the end of the last one behind.
+    """
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row for each part, as many as tasks wrote
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long")).alias("earlier"))
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 ids, n = expanded(unpacked(batch.column("data")[r].as_py()))
-                offsets = np.append(0, np.cumsum(n)).astype(np.int32)
-                start = batch.column("earlier")[r].as_py() + batch.column("before")[r].as_py() + offsets[:-1].astype(np.int64)
+                offsets = np.append(0, np.cumsum(n))
+                start = batch.column("earlier")[r].as_py() + batch.column("before")[r].as_py() + offsets[:-1]
+                docs = batch.column("docs")[r].values
                 # Some documents at a time: what a shard expands to is handed on in pieces.
-                whole = pa.record_batch(
-                    [batch.column("docs")[r].values, pa.array(start), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], schema=schema
-                )
-                for s in range(0, whole.num_rows, ROWS):
-                    yield whole.slice(s, ROWS)
+                for s in range(0, len(n), HANDED):
+                    some = offsets[s : s + HANDED + 1]
+                    yield pa.record_batch([docs.slice(s, HANDED), pa.array(start[s : s + HANDED]), *columns(ids[some[0] : some[-1]], some - some[0])], schema=schema)
 
     rows = shards.join(F.broadcast(totals), "part").select("earlier", "before", "docs", "data")
-    return rows.mapInArrow(work, "doc_id long, start long, ids array<int>")
+    return rows.mapInArrow(work, f"doc_id long, start long, {kind}")
+
+
+def documents(shards: DataFrame) -> DataFrame:
+    """(doc_id, start, ids): every document of the files, with the number of ids of all documents before it."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    return _opened(shards, schema, "ids array<int>", lambda ids, offsets: [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))])
 
 
 def lookup(shards: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -361,23 +450,22 @@ def lookup(shards: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def checksums(read: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32): the ids of a document as little-endian unsigned 32-bit numbers."""
+def checksums(shards: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document of the files: its ids as little-endian unsigned 32-bit numbers.
+
+    Ids are summed up where they are read; they do not leave the task.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, n = ids.flatten().to_numpy().astype("<u4"), ids.value_lengths().to_numpy()
-            ends = np.cumsum(n)
-            crc = [zlib.crc32(flat[e - k : e].tobytes()) for e, k in zip(ends.tolist(), n.tolist())]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("start"), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64())], schema=schema)
+    def sums(ids: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        data, ends = memoryview(ids.astype("<u4").tobytes()), (offsets * 4).tolist()
+        return [pa.array(np.diff(offsets)), pa.array([zlib.crc32(data[a:b]) for a, b in zip(ends, ends[1:])], pa.int64())]
 
-    return read.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _opened(shards, schema, "n_tokens long, ids_crc32 long", sums)
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Writes all documents to files in the shared folder and returns the checksums of what is read back."""
     path = scratch_path(docs.sparkSession, "token_ids")
     write(docs, path, vocabulary)
-    return checksums(documents(read(docs.sparkSession, path)))
+    return checksums(read(docs.sparkSession, path))

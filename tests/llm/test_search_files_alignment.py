@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +144,64 @@ def test_new_words_go_to_the_tokenizer_together(monkeypatch):
         assert odd_words or len(sent) <= 4  # 3000 words
 
 
+def test_words_of_small_letters_skip_the_normalizer(monkeypatch):
+    """They go to the model at once, also in texts with marks on every side; others still go to the whole tokenizer."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    small = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéñßſøæαςжщש中文かカ") for _ in range(rng.randrange(1, 12))) for _ in range(2000)]
+    other = ["Été", "ÇA", "İx", "한글", "ﬁn", "ǆa", "é\u0301", "x1y", "\u3042\u3099", "a\u00adb"]
+    marked = ["it's", "a,b", ",,a", "(small),", "a\tb\x0bc", "x\u00a0y", "\x1cq\x1f", "a<b>", "don't've", "...", "a--b"]
+    sent = []
+
+    class Spy:
+        def __init__(self, real):
+            self.real = real
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def encode_batch_fast(self, some, **more):
+            sent.extend(w for x in some for w in x.split())
+            return self.real.encode_batch_fast(some, **more)
+
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    e = repair.Encoder(bpe.default_vocabulary())
+    monkeypatch.setattr(e.codec, "tokenizer", Spy(e.codec.tokenizer))
+    texts = [" ".join(rng.sample([*small, *other, *marked], 400)) for _ in range(12)] + [" ".join([*other[:4], *marked]), "", " ", "\n\n", "A,", ",", " a", "<|endoftext|>A, b", "a <| b,C"]
+    for some in (texts, texts[::-1], texts[:1], [""], []):
+        got = e.encode([t.encode() for t in some])
+        assert [np.frombuffer(g, "<i4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in some]
+    assert not {w for w in small if len(w) > 3} & set(sent) and {"Été", "한글"} <= set(sent)
+
+
+def test_texts_are_encoded_by_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(repair, "ROWS", 3)
+    monkeypatch.setattr(repair, "BYTES", 10)
+    texts = ["a" * 4, None, "b" * 6, "c", "d" * 50, "", "e", "f", "g" * 10, "h"]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"]).slice(1)
+    got = [p.column("doc_id").to_pylist() for p in repair.portions(batch)]
+    assert [x for p in got for x in p] == list(range(1, 10))
+    assert got == [[1, 2, 3], [4], [5, 6, 7], [8], [9]]
+
+
+def test_pairs_are_sorted_alike_in_one_number_and_in_two():
+    rng = np.random.default_rng(5)
+    place, a, b = rng.permutation(3000), rng.integers(0, 40, 3000), rng.integers(0, 40, 3000)
+    one, two = repair.by_pair(np.sort(place), a, b, 40, 3000), repair.by_pair(np.sort(place), a, b, 1 << 30, 3000)
+    assert one[0].tolist() == two[0].tolist()
+    assert np.flatnonzero(np.diff(one[1])).tolist() == np.flatnonzero(np.diff(two[1])).tolist()
+
+
+def test_checksums_stay_in_the_task_that_reads(spark, odd, tmp_path):  # noqa: F811
+    repair.write(odd, str(tmp_path / "ids"))
+    shards = repair.read(spark, str(tmp_path / "ids"))
+    sums = repair.checksums(shards)
+    assert sums._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = [(r["doc_id"], r["start"], len(r["ids"]), zlib.crc32(struct.pack(f"<{len(r['ids'])}I", *r["ids"]))) for r in repair.documents(shards).collect()]
+    assert sorted(map(tuple, sums.collect()), key=str) == sorted(want, key=str)
+
+
 def test_files_of_odd_rows_and_ranges(spark, odd, none, tmp_path):  # noqa: F811
     repair.write(odd, str(tmp_path / "ids"))
     shards = repair.read(spark, str(tmp_path / "ids"))

@@ -112,62 +112,78 @@ def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class Index:
-    """Run-length index of distinct byte strings of up to 112 bytes, each with a document."""
+    """Run-length index of distinct byte strings of up to 112 bytes, each with a document.
+
+    Places and rows are numbers of 32 bits and symbols of 16, and what only the
+    sorting needs goes as soon as it can: a worker holds few arrays at a time.
+    """
 
     def __init__(self, strings: list[bytes], docs: np.ndarray):
         sizes = np.fromiter(map(len, strings), np.int64, len(strings))
         self.starts = np.cumsum(sizes + 1) - sizes - 1
         self.sizes = sizes
-        self.sym = np.frombuffer(b"\x00".join(strings) + b"\x00", np.uint8).astype(np.int64) + 1
+        self.sym = np.frombuffer(b"\x00".join(strings) + b"\x00", np.uint8).astype(np.int16) + np.int16(1)
         stops = self.starts + sizes
         self.sym[stops] = 0
         n = self.n = len(self.sym)
-        stop = np.repeat(stops, sizes + 1)
-        place = np.arange(n)
+        stop = np.repeat(stops.astype(np.int32), sizes + 1)
+        place = np.arange(n, dtype=np.int32)
         # Suffixes end at their string's mark: seven symbols in one number, then doubled.
         key, alive = np.zeros(n, np.int64), np.ones(n, bool)
-        padded = np.r_[self.sym, np.zeros(8, np.int64)]
+        padded = np.append(self.sym, np.zeros(8, np.int16))
         for j in range(7):
-            key = key << 9 | np.where(alive, padded[j : j + n], 0)
+            key <<= 9
+            key |= np.where(alive, padded[j : j + n], np.int16(0))
             alive &= padded[j : j + n] != 0
+        del padded, alive
         rank, depth, fifty = self._ranks(key), 7, None
         while True:
+            del key
             if depth == 28:
                 fifty = self._paired(rank, WINDOW - 28, stop, place)
             key = self._paired(rank, depth, stop, place)
             if depth >= 56:
                 break
             rank, depth = self._ranks(key), depth * 2
-        self.order = order = np.argsort(key, kind="stable")  # equal suffixes by place, as if each mark were its own
+        del rank, stop, place
+        self.order = order = np.argsort(key, kind="stable").astype(np.int32)  # equal suffixes by place, as if each mark were its own
+        del key
         before = self.sym[order - 1]
         head = np.r_[True, before[1:] != before[:-1]]
-        self.run_start = np.flatnonzero(head)
+        self.run_start = np.flatnonzero(head).astype(np.int32)
         self.run_char = before[self.run_start]
-        self.run_of = (np.cumsum(head) - 1).astype(np.int32)
-        run_end = np.r_[self.run_start[1:], n] - 1
+        self.run_of = np.cumsum(head, dtype=np.int32) - np.int32(1)
+        del before, head
+        run_end = np.append(self.run_start[1:], np.int32(n)) - np.int32(1)
         self.first_sample, self.last_sample = order[self.run_start], order[run_end]
         self.run_end = run_end
         # Runs by symbol: the rows before a run in this order are the rows that its first row maps to.
-        self.by_char = np.argsort(self.run_char, kind="stable")
+        self.by_char = np.argsort(self.run_char, kind="stable").astype(np.int32)
         lengths = (run_end - self.run_start + 1)[self.by_char]
-        self.base = np.empty(len(lengths), np.int64)
-        self.base[self.by_char] = np.cumsum(lengths) - lengths
-        self.char_key = self.run_char[self.by_char] * len(lengths) + self.by_char
+        self.base = np.empty(len(lengths), np.int32)
+        self.base[self.by_char] = np.cumsum(lengths, dtype=np.int32) - lengths
+        self.char_key = self.run_char[self.by_char].astype(np.int64) * len(lengths) + self.by_char
         # Rows that agree in WINDOW bytes, and the lowest document among them.
-        agree = np.r_[True, fifty[order][1:] != fifty[order][:-1]]
-        self.group_start = np.flatnonzero(agree)
+        fifty = fifty[order]
+        self.group_start = np.flatnonzero(np.append(True, fifty[1:] != fifty[:-1])).astype(np.int32)
+        del fifty
         self.lowest = np.minimum.reduceat(np.repeat(docs, sizes + 1)[order], self.group_start)
 
     def _ranks(self, key: np.ndarray) -> np.ndarray:
         order = np.argsort(key)
-        rank = np.empty(self.n, np.int64)
-        rank[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
+        key = key[order]
+        rank = np.empty(self.n, np.int32)
+        rank[order] = np.cumsum(np.append(False, key[1:] != key[:-1]), dtype=np.int32)
         return rank
 
     def _paired(self, rank, depth, stop, place) -> np.ndarray:
-        after = np.zeros(self.n, np.int64)
-        after[: self.n - depth] = rank[depth:] + 1
-        return rank * (self.n + 1) + np.where(place + depth <= stop, after, 0)
+        after = np.zeros(self.n, np.int32)
+        after[: self.n - depth] = rank[depth:] + np.int32(1)
+        after[place + np.int32(depth) > stop] = 0
+        key = rank.astype(np.int64)
+        key *= self.n + 1
+        key += after
+        return key
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Symbols that the suffixes at two places share, up to a bound."""
@@ -199,7 +215,7 @@ class Index:
             r = self.run_of[q].astype(np.int64)
             off = np.flatnonzero(self.run_char[r] != c)
             if len(off):
-                i = np.searchsorted(self.char_key, c[off] * runs + r[off])
+                i = np.searchsorted(self.char_key, c[off].astype(np.int64) * runs + r[off])
                 up, down = np.maximum(i - 1, 0), np.minimum(i, runs - 1)
                 has_up = (i > 0) & (self.run_char[self.by_char[up]] == c[off])
                 has_down = (i < runs) & (self.run_char[self.by_char[down]] == c[off])
@@ -231,7 +247,7 @@ class Index:
         for some, behind, n, q in self.stream(self.sym, self.starts, self.sizes):
             long = np.flatnonzero(n >= WINDOW)
             if len(long):
-                group = np.searchsorted(self.group_start, q[long], "right") - 1
+                group = np.searchsorted(self.group_start, q[long].astype(np.int32), "right") - 1
                 out[some[long], self.sizes[some[long]] - behind] = self.lowest[group]
         return out
 

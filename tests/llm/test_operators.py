@@ -326,6 +326,20 @@ def test_index_matching_statistics():
             assert k == max((m for m in range(len(rest) + 1) if any(rest[:m] in s for s in strings)), default=0)
 
 
+def test_index_holds_few_bytes_for_a_symbol():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = random.Random(2)
+    strings = [bytes(rng.choices(range(97, 123), k=80)) for _ in range(4000)]
+    tracemalloc.start()
+    index = suffix.Index(strings, np.arange(4000))
+    left, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert left <= 70 * index.n and most <= 100 * index.n
+
+
 def _check_mix(rows, source_of, size_of):
     totals, weights, taken, target = defaultdict(int), {}, defaultdict(int), {}
     for r in rows:

@@ -2,14 +2,18 @@
 
 Neighbours and kernel sums need all pairs of rows. Rows are dealt into blocks of
 bounded size by a hash of their id, and each pair of blocks is one task: a matrix
-product that leaves only k neighbours or one partial sum per row. Linear kernels
-need no pairs at all, only sums over the dimensions.
+product that leaves only k neighbours or one partial sum per row. Products that
+only rule out neighbours are made in single precision, with its error allowed for;
+what they leave is judged in double precision. Linear kernels need no pairs at all,
+only sums over the dimensions.
 """
 import math
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +25,11 @@ BLOCK_ROWS = 32768  # largest block; rows are copied once per block, so few larg
 BLOCK_BYTES = 128 << 20  # of the vectors of a block in double precision; wide vectors make blocks of fewer rows
 CHUNK_ROWS = 512  # most rows of a block multiplied at a time
 CHUNK_CELLS = 1 << 20  # entries of a product at a time; a step holds several arrays of this size, whatever the size of the blocks
+NEAR_ROWS = 131072  # largest block in the search for neighbours, where a block holds one space; each block adds k rows to merge for every row
+NEAR_BYTES = 64 << 20  # of the vectors of such a block in double precision
+FIRST_COLUMNS = 512  # columns whose products are all ranked; they set the first bound of what may be a neighbour
+TILE_COLUMNS = 1024  # columns of a product that is held against these bounds
+DENSE = 16  # one in so many entries of such a product above its bound: it is made again in double precision
 TIE_DIGITS = 9  # similarities equal to this many digits are ties; the lower id comes first
 
 
@@ -49,10 +58,10 @@ def signal_states(states: DataFrame, n_layers: int, signal_pos: str) -> DataFram
 
 
 # --- blocks ----------------------------------------------------------------
-def _block_count(n: int, cores: int, width: int = 1) -> int:
-    """Blocks of at most BLOCK_ROWS and BLOCK_BYTES for ``width`` numbers a row; of a smaller input enough to keep all cores busy."""
+def _block_count(n: int, cores: int, width: int = 1, rows: int = BLOCK_ROWS, size: int = BLOCK_BYTES) -> int:
+    """Blocks of at most ``rows`` rows and ``size`` bytes for ``width`` numbers a row; of a smaller input enough to keep all cores busy."""
     busy = min(-(-n // CHUNK_ROWS), math.ceil(2 * math.sqrt(cores)))
-    most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, width))))
+    most = max(1, min(rows, size // (8 * max(1, width))))
     return max(1, -(-n // most), busy)
 
 
@@ -91,41 +100,176 @@ def _chunks(x: np.ndarray, width: int):
     return ((start, x[start : start + rows]) for start in range(0, len(x), rows))
 
 
+def _space_cells(df: DataFrame, spaces: list[str], block_rows: int | None) -> DataFrame:
+    """Rows copied, one space at a time, to every ordered pair of blocks they take part in: (_s, _i, _j, _as_row, id, vector).
+
+    On the diagonal the rows are the columns too and come once. Rows are dealt out
+    before they are copied, as a scan may give them all to one task. Pairs of blocks
+    are about equal in work and are dealt to many partitions, which stay as they are:
+    joined by their size, a few of them would hold up the rest.
+    """
+    n, *widths = df.agg(F.count("*"), *[F.max(F.size(s)) for s in spaces]).first()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    width = max((w for w in widths if w), default=1)
+    n_blocks = _block_count(n, cores, width, NEAR_ROWS, NEAR_BYTES) if block_rows is None else max(1, -(-n // block_rows))
+    block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
+    dealt = df.select("id", *spaces, block.alias("_b")).repartition(4 * cores, "id")
+    copies = dealt.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(2 * len(spaces) * n_blocks - 1))))
+    other, side = (F.col("_c") % n_blocks).cast("int"), F.floor(F.col("_c") / n_blocks).cast("int")
+    copies = copies.select("id", *spaces, "_b", other.alias("_o"), (side % 2 == 0).alias("_as_row"), F.floor(side / 2).cast("int").alias("_s"))
+    copies = copies.filter(F.col("_as_row") | (F.col("_b") != F.col("_o")))
+    ends = [F.when(F.col("_as_row"), F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in (("_b", "_o", "_i"), ("_o", "_b", "_j"))]
+    vector = reduce(lambda rest, s: F.when(F.col("_s") == s, F.col(spaces[s])).otherwise(rest), range(len(spaces) - 1), F.col(spaces[-1]))
+    partitions = min(4 * len(spaces) * n_blocks**2, 64 * cores)
+    return copies.select("_s", *ends, "_as_row", "id", vector.alias("vector")).repartition(partitions, "_s", "_i", "_j")
+
+
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    sizes = pc.min_max(pc.list_value_length(lists)).as_py()
+    if lists.null_count or sizes["min"] != sizes["max"]:
+        raise ValueError("vectors must be of one length and not null")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(lists), -1)
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    """Lengths of finite vectors, 1 for zero; large and small entries neither overflow nor vanish."""
+    most = np.abs(x).max(axis=1)
+    most[most == 0] = 1.0
+    part = x / most[:, None]
+    length = np.sqrt(np.einsum("nd,nd->n", part, part))
+    length[length == 0] = 1.0
+    with np.errstate(over="ignore"):
+        return most * np.minimum(length, np.finfo(np.float64).max / most)
+
+
+def _places(mask: np.ndarray) -> np.ndarray:
+    """Flat places that are set, mostly few: eight are looked at together."""
+    if mask.size % 8:
+        return np.flatnonzero(mask)
+    words = np.flatnonzero(mask.reshape(-1).view(np.uint64) != 0)
+    word, byte = np.nonzero(mask.reshape(-1, 8)[words])
+    return words[word] * 8 + byte
+
+
+def _scores(x: np.ndarray, y: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Products of single pairs: equal for equal vectors, wherever they stand."""
+    step = max(1, CHUNK_CELLS // max(1, x.shape[1]))
+    pieces = [np.einsum("nd,nd->n", x[r[i : i + step]], y[c[i : i + step]]) for i in range(0, len(r), step)]
+    return np.concatenate(pieces) if pieces else np.empty(0)
+
+
+def _best(n: int, k: int, r: np.ndarray, c: np.ndarray, sim: np.ndarray) -> tuple:
+    """The ``k`` best entries of each of ``n`` rows, best first, and the k-th best rounded value; entries of a row come by rising columns where they tie."""
+    rank = -np.round(sim, TIE_DIGITS)
+    order = np.argsort(rank, kind="stable")
+    order = order[np.argsort(r[order].astype(np.int16), kind="stable")]
+    r, c, sim, rank = r[order], c[order], sim[order], rank[order]
+    place = np.arange(len(r)) - np.searchsorted(r, np.arange(n))[r]
+    least = np.full(n, -np.inf)
+    least[r[place == k - 1]] = -rank[place == k - 1]
+    kept = place < k
+    return (r[kept], c[kept], sim[kept]), least
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, product): of each row of ``x`` the ``k`` largest finite products with rows of ``y``, best first; of equal ones the lower column.
+
+    ``own`` is the column that is the row itself, -1 if there is none; it is left out.
+    The k-th best product so far bounds what a further column must reach. Bounds
+    rise quickly, so nearly all columns are ruled out by a product in single
+    precision; it is off by no more than ``slack`` for vectors of length one. Few
+    are left to be scored, and the work on them does not depend on how they are cut.
+    """
+    real = [np.flatnonzero(np.isfinite(m).all(axis=1)) for m in (x, y)]
+    if len(real[0]) < len(x) or len(real[1]) < len(y):  # products with other vectors are not finite
+        place = np.full(len(y) + 1, -1)
+        place[real[1]] = np.arange(len(real[1]))
+        r, c, sim = _nearest(x[real[0]], y[real[1]], k, place[own[real[0]]])
+        return real[0][r], real[1][c], sim
+    if not len(x) or not len(y):
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    width, length, longest = x.shape[1], _lengths(x), _lengths(y).max()
+    x32, y32 = (x / length[:, None]).astype(np.float32), (y / longest).astype(np.float32)
+    slack, slack64 = (width + 8) * 2.0**-23, (width + 8) * 2.0**-52
+    first = max(FIRST_COLUMNS, k + 1)
+    found = []
+    product, above = np.empty((CHUNK_ROWS, TILE_COLUMNS), np.float32), np.empty((CHUNK_ROWS, TILE_COLUMNS), bool)
+    for start in range(0, len(x), CHUNK_ROWS):
+        rows = slice(start, start + CHUNK_ROWS)
+        a, a32, mine, scale = x[rows], x32[rows], own[rows], length[rows]
+        n = len(a)
+
+        def merged(best: tuple, r: np.ndarray, c: np.ndarray) -> tuple:
+            other = c != mine[r]
+            r, c = r[other], c[other]
+            sim = _scores(a, y, r, c)
+            real = np.isfinite(sim)
+            return _best(n, k, *(np.concatenate(v) for v in zip(best, (r[real], c[real], sim[real]))))
+
+        def bounds(least: np.ndarray) -> tuple:
+            """What a better entry reaches at least, rounding allowed for: in double, in single precision."""
+            reach = (least + 0.499 * 10.0**-TIE_DIGITS)[:, None]
+            with np.errstate(over="ignore"):
+                single = (reach / scale[:, None] / longest - slack).astype(np.float32)
+                return reach - slack64 * scale[:, None] * longest, np.nextafter(single, np.float32(-np.inf))
+
+        sim = a @ y[:first].T
+        ranked = min(k + 1, sim.shape[1])  # the row itself may be among them
+        last = -np.partition(-sim, ranked - 1, axis=1)[:, ranked - 1 : ranked]
+        near = 2 * 10.0**-TIE_DIGITS + slack64 * scale[:, None] * longest
+        best, least = merged((np.empty(0, int), np.empty(0, int), np.empty(0)), *np.nonzero(~(sim < last - near)))
+        done = min(first, len(y))
+        while done < len(y):
+            stop, pending, waiting = min(len(y), 2 * done), [], 0
+            exact, single = bounds(least)
+            for i in range(done, stop, TILE_COLUMNS):
+                j = min(i + TILE_COLUMNS, stop)
+                whole = n == CHUNK_ROWS and j - i == TILE_COLUMNS
+                p = np.matmul(a32, y32[i:j].T, out=product if whole else None)
+                hits = _places(np.greater_equal(p, single, out=above if whole else None))
+                if len(hits) * DENSE > p.size:
+                    hits = _places(~(a @ y[i:j].T < exact))
+                pending.append((hits // (j - i), hits % (j - i) + i))
+                waiting += len(hits)
+                if waiting * DENSE > CHUNK_CELLS or j == stop:
+                    best, least = merged(best, *(np.concatenate(v) for v in zip(*pending)))
+                    exact, single = bounds(least)
+                    pending, waiting = [], 0
+            done = stop
+        found.append((best[0] + start, *best[1:]))
+    return tuple(np.concatenate(v) for v in zip(*found))
+
+
 def neighbours(df: DataFrame, k: int, spaces=("a", "b"), block_rows: int | None = None) -> DataFrame:
     """(space, id, rank, other, sim): the ``k`` largest inner products of each row with the others, in each space."""
     spaces = list(spaces)
 
-    def top(sim: np.ndarray, rows: np.ndarray, cols: np.ndarray, space: str) -> pd.DataFrame:
-        take = min(k, sim.shape[1])
-        rank_by = -np.round(sim, TIE_DIGITS)
-        # All entries up to the k-th best, ties included; then the lower id first, as columns are in id order.
-        r, c = np.nonzero(rank_by <= np.partition(rank_by, take - 1, axis=1)[:, take - 1 : take])
-        order = np.lexsort((c, rank_by[r, c], r))
-        r, c = r[order], c[order]
-        place = np.arange(len(r)) - np.searchsorted(r, np.arange(len(rows)))[r]
-        r, c = r[place < take], c[place < take]
-        found = pd.DataFrame({"space": space, "id": rows[r], "other": cols[c], "sim": sim[r, c]})
-        return found[np.isfinite(found["sim"])]
-
-    def cell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        first, second = _sides(pdf, *key)
-        out = []
-        for rows, cols in ([(first, second)] if first is second else [(first, second), (second, first)]):
-            if len(rows) == 0 or len(cols) == 0:
-                continue
-            row_ids, col_ids = rows["id"].to_numpy(), cols["id"].to_numpy()
-            for space in spaces:
-                turned = _matrix(cols, space).T
-                for start, x in _chunks(_matrix(rows, space), len(cols)):
-                    sim = x @ turned
-                    if rows is cols:
-                        own = np.arange(len(x))
-                        sim[own, start + own] = -np.inf
-                    out.append(top(sim, row_ids[start : start + len(x)], col_ids, space))
-        return pd.concat(out) if out else pd.DataFrame(columns=["space", "id", "other", "sim"])
-
-    cells = _cells(df, spaces, block_rows)
-    found = cells.groupBy("_i", "_j").applyInPandas(cell, "space string, id bigint, other bigint, sim double")
+    def cell(key: tuple, table: pa.Table) -> pa.Table:
+        s, i, j = (v.as_py() for v in key)
+        as_row = table.column("_as_row")
+        table = table.select(["id", "vector"])
+        rows = table.filter(as_row)
+        cols = rows if i == j else table.filter(pc.invert(as_row))
+        row_ids, col_ids = (side.column("id").cast(pa.int64()).combine_chunks() for side in (rows, cols))
+        if len(row_ids) == 0 or len(col_ids) == 0:
+            r, c, sim = np.empty(0, int), np.empty(0, int), np.empty(0)
+            order = r
+        else:
+            order = pc.array_sort_indices(col_ids).to_numpy()  # of equal products the lower id counts
+            own = np.full(len(row_ids), -1)
+            if i == j:
+                own[order] = np.arange(len(order))
+            r, c, sim = _nearest(_vectors(rows.column("vector")), _vectors(cols.column("vector"))[order], k, own)
+        of_rows, starts = np.unique(r, return_index=True)
+        entries = pa.StructArray.from_arrays([col_ids.take(pa.array(order[c])), pa.array(sim)], names=["other", "sim"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(r)).astype(np.int32)), entries)
+        return pa.table([pa.repeat(spaces[s], len(of_rows)), row_ids.take(pa.array(of_rows)), lists], names=["space", "id", "found"])
+
+    cells = _space_cells(df, spaces, block_rows)
+    lists = cells.groupBy("_s", "_i", "_j").applyInArrow(cell, "space string, id bigint, found array<struct<other: bigint, sim: double>>")
+    # What a block of columns gives to a row travels as one row.
+    found = lists.repartition("space", "id").select("space", "id", F.explode("found").alias("_f")).select("space", "id", "_f.other", "_f.sim")
     order = Window.partitionBy("space", "id").orderBy(F.desc(F.round("sim", TIE_DIGITS)), "other")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

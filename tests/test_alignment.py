@@ -175,3 +175,93 @@ def test_a_product_does_not_grow_with_the_blocks(width):
     assert all(len(x) * width <= alignment.CHUNK_CELLS or len(x) == 1 for _, x in pieces)
     assert np.array_equal(np.concatenate([x for _, x in pieces]), block)
     assert [start for start, _ in pieces] == np.cumsum([0, *(len(x) for _, x in pieces)])[:-1].tolist()
+
+
+def unit(m):
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def vectors(kind, rng):
+    x = unit(rng.normal(size=(2500, 8)))
+    if kind == "copies":
+        return x[rng.integers(0, 40, len(x))]
+    if kind == "equal":
+        return np.repeat(x[:1], len(x), axis=0)
+    if kind == "close":
+        return x[0] + 1e-6 * rng.normal(size=x.shape)
+    if kind == "coarse":
+        return np.round(x, 1)
+    if kind == "scales":
+        return x * 10.0 ** rng.integers(-5, 6, len(x))[:, None]
+    if kind in ("tiny", "huge"):
+        return x * (1e-200 if kind == "tiny" else 1e160)
+    if kind == "gaps":
+        x[rng.integers(0, len(x), 500)] = 0
+        x[[3, 700]] = np.nan
+        x[1400, 2] = np.inf
+    return x
+
+
+@pytest.mark.parametrize("kind", ["plain", "copies", "equal", "close", "coarse", "scales", "tiny", "huge", "gaps"])
+def test_nearest_rows_of_a_block(kind):
+    y = vectors(kind, np.random.default_rng(4))
+    with np.errstate(invalid="ignore", over="ignore"):
+        sim = np.einsum("id,jd->ij", y[:600], y)
+    sim[np.arange(600), np.arange(600)] = -np.inf
+    sim[~np.isfinite(sim)] = -np.inf
+    order = np.argsort(-np.round(sim, alignment.TIE_DIGITS), axis=1, kind="stable")[:, :K] if kind != "huge" else None
+    r, c, found = alignment._nearest(y[:600], y, K, np.arange(600))
+    if order is None:  # every product overflows
+        assert len(r) == 0
+        return
+    want = [(i, j) for i in range(600) for j in order[i] if np.isfinite(sim[i, j])]
+    assert list(zip(r, c)) == want
+    assert np.array_equal(found, sim[r, c])
+
+
+def test_nearest_of_few_rows():
+    y = unit(np.random.default_rng(5).normal(size=(4, 3)))
+    r, c, _ = alignment._nearest(y, y, K, np.arange(4))
+    assert sorted(zip(r, c)) == [(i, j) for i in range(4) for j in range(4) if i != j]
+    for x, z in ((y, y[:0]), (y[:0], y)):
+        assert not any(len(v) for v in alignment._nearest(x, z, K, np.full(len(x), -1)))
+
+
+@pytest.mark.parametrize(("kind", "most"), [("plain", 0.02), ("copies", 0.1), ("equal", 0.3)])
+def test_few_products_are_made_twice(kind, most, monkeypatch):
+    """A further column is scored only where it may be a neighbour: not all pairs are ranked."""
+    y = vectors(kind, np.random.default_rng(6)) if kind != "plain" else unit(np.random.default_rng(6).normal(size=(6000, 8)))
+    scored, scores = [], alignment._scores
+    monkeypatch.setattr(alignment, "_scores", lambda x, y, r, c: scored.append(len(r)) or scores(x, y, r, c))
+    alignment._nearest(y[:1000], y, K, np.arange(1000))
+    assert sum(scored) <= most * 1000 * len(y)
+
+
+def test_pairs_of_blocks_are_not_joined_into_few_tasks(spark, frame):
+    cells = alignment._space_cells(frame, ["a", "b"], 20)
+    sizes = cells.groupBy("_s", "_i", "_j", F.spark_partition_id().alias("p")).count().collect()
+    keys = {(r["_s"], r["_i"], r["_j"]) for r in sizes}
+    assert len(keys) == len(sizes) == 2 * 3 * 3
+    assert len({r["p"] for r in sizes}) > len(keys) / 2
+    copies = cells.groupBy("_s", "id").count().select("count").distinct().collect()
+    assert [r["count"] for r in copies] == [2 * 3 - 1]  # as a row and as a column, once where they are the same
+
+
+def test_neighbours_of_odd_rows(spark):
+    x = unit(np.random.default_rng(7).normal(size=(40, 4)))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows[8] = (8, [None, 1.0, 0.0, 0.0])
+    schema = "id bigint, a array<double>"
+    near = lambda r, n: alignment.neighbours(spark.createDataFrame(r, schema).repartition(3), K, ["a"], n)
+    want = x @ x.T
+    want[8] = want[:, 8] = -np.inf
+    np.fill_diagonal(want, -np.inf)
+    for n in (6, None):
+        got = {(r["id"], r["rank"]): (r["other"], r["sim"]) for r in near(rows, n).collect()}
+        assert len(got) == 39 * K and all(i != 8 for i, _ in got)
+        assert all(j == np.argsort(-want[i], kind="stable")[k - 1] and s == pytest.approx(want[i, j]) for (i, k), (j, s) in got.items())
+    assert near(rows[:0], None).count() == 0
+    twice = sorted((r["id"], r["rank"], r["other"]) for r in near(rows[:3] + rows[:3], None).collect())
+    assert [t for t in twice if t[0] == 0][:2] == [(0, 1, 0), (0, 2, 0)]  # a second row of the same id is another row
+    with pytest.raises(Exception, match="not null"):
+        near([*rows, (41, None)], None).count()

@@ -197,11 +197,14 @@ class Aligner:
                     self.known[u] = self.older[u]
                 else:
                     new.append(u)
-        plain = [u for u in new if u[0] == " " and "▁" not in u]
+        # White space at the end of a text would run into that of another unit, and tokens with it.
+        plain = [u for u in new if u[0] == " " and u[-1] not in BLANK and "▁" not in u]
         for s in range(0, len(plain), 2048):
             self.known.update(zip(plain[s : s + 2048], self.together(plain[s : s + 2048])))
         for u in new:
-            if u[0] != " " or "▁" in u:
+            if u[0] == " " and u[-1] in BLANK and "▁" not in u:
+                self.known[u] = self.together([" x", u])[-1]
+            elif u[0] != " " or "▁" in u:
                 self.known[u] = self.unit_of(u, self.a.encode(u, add_special_tokens=False).ids, self.b.encode(u[1:] if u[0] == " " else u))
         out = [[self.known[u] for u in units] for units in cut]
         for u in new:

@@ -285,6 +285,15 @@ def test_alignment_equals_whole_texts(spark, odd, monkeypatch, chunk):  # noqa:
     assert sorted(map(tuple, alignment.align(df).collect()), key=str) == sorted(_aligned(given), key=str)
 
 
+def test_blanks_at_the_end_of_a_text_stay_apart():
+    """Units met together are encoded in one text: blanks at its end must not run into the next unit."""
+    texts = [f"x{end}" for end in (" ", "  ", " \n", " \n\n", " \t ")]
+    both = alignment.Aligner(*alignment.default_vocabularies())
+    found = both.units(texts + [f"y  b{k} \n c{k}" for k in range(60)])
+    say = lambda g: ";".join(",".join(map(str, xs)) + "|" + ",".join(map(str, ys)) for xs, ys in g)
+    assert [";".join(u[0] or "" for u in units) for units in found[: len(texts)]] == [say(_groups(t)) for t in texts]
+
+
 def test_alignment_of_the_smallest_tables(docs, none):  # noqa: F811
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     assert sorted(map(tuple, alignment.align(docs).collect())) == sorted(_aligned(rows))
